@@ -175,22 +175,18 @@ def _speller(key: tuple, ranks: dict[bytes, int], pattern: str) -> Speller:
     return _worker[key]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, decoded): token ids as little-endian unsigned 32-bit integers, and the bytes they decode to."""
-    shared = docs.sparkSession.sparkContext.broadcast((hash((pattern, len(ranks), frozenset(ranks.items()))), ranks))
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The ``keep`` columns, ids (little-endian unsigned 32-bit integers) and decoded (the bytes that the ids stand for)."""
+    shared = docs.sparkSession.sparkContext.broadcast((hash((pattern, frozenset(ranks.items()))), ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, table = shared.value
         speller = _speller((key, pattern), table, pattern)
         for batch in batches:
-            for part, ids in _slices(batch.column(0), batch.column(1)):
-                coded = speller.spell([t or "" for t in part.to_pylist()])
-                yield pa.RecordBatch.from_arrays([ids, pa.array(coded, pa.binary()), pa.array(map(speller.replay.decode, coded), pa.binary())], [id_col, "ids", "decoded"])
+            for k in range(0, len(batch), 1000):
+                part = batch.slice(k, 1000)
+                coded = speller.spell([t or "" for t in part.column(len(keep)).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(coded, pa.binary()), pa.array(map(speller.replay.decode, coded), pa.binary())], [*keep, "ids", "decoded"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded binary")
-
-
-def _slices(ids: pa.Array, text: pa.Array, most_rows: int = 1000):
-    for k in range(0, len(ids), most_rows):
-        yield text.slice(k, most_rows), ids.slice(k, most_rows)
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return docs.select(*keep, F.col(text_col).alias("encoded text")).mapInArrow(run, f"{kinds}ids binary, decoded binary")

@@ -114,5 +114,21 @@ def apply_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id",
     return docs.select(id_col, F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, cleaned_text string, lost_chars long")
 
 
+def clean_documents(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
+    """The kept rows of ``docs``, all columns, with the text of their kept lines."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), 1000):
+                part = batch.slice(k, 1000)
+                judged = [judge(t, rules) for t in part.column(at).to_pylist()]
+                text = pa.array([j[7] for j in judged], pa.string())
+                columns = [text if i == at else c for i, c in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names).filter(pa.array([j[6] for j in judged], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "cleaned_text", "lost_chars")
 _TYPES = (pa.int64(),) * 5 + (pa.bool_(),) * 2 + (pa.string(), pa.int64())

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, quality_rules, simhash
+from weftgraph.llm import bpe, decontamination, line_dedup, quality_rules, simhash
 from weftgraph.llm.common import table
 
 
@@ -23,6 +23,15 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -35,8 +44,35 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_line_dedup": op6_line_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_line_dedup": r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (
+  SELECT doc_id, i - 1 AS no, ls[i] AS line, doc_id::HUGEINT * 2147483648 + i - 1 AS ord
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)
+  WHERE regexp_matches(ls[i], '[^ \t-\r]')),
+u AS (SELECT line, min(ord) AS first FROM l GROUP BY line),
+p AS (
+  SELECT line, first, unnest([
+    'p' || (length(line) // 2) || left(line, length(line) // 2), 's' || (length(line) // 2) || right(line, length(line) // 2),
+    'p' || ((length(line) - 1) // 2) || left(line, (length(line) - 1) // 2), 's' || ((length(line) - 1) // 2) || right(line, (length(line) - 1) // 2)]) AS k
+  FROM u WHERE length(line) >= 16),
+near AS (
+  SELECT DISTINCT a.line FROM p a JOIN p b ON a.k = b.k AND b.first < a.first AND abs(length(a.line) - length(b.line)) <= 1
+  WHERE levenshtein(a.line, b.line) = 1),
+gone AS (
+  SELECT l.doc_id, l.no FROM l JOIN u ON l.line = u.line LEFT JOIN near n ON l.line = n.line
+  WHERE l.ord <> u.first OR n.line IS NOT NULL),
+g AS (SELECT doc_id, list(no) AS nos FROM gone GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::INTEGER AS n_lines, coalesce(len(g.nos), 0)::INTEGER AS n_removed,
+  sha256(array_to_string(list_transform(list_filter(range(1, len(d.ls) + 1), lambda i: g.nos IS NULL OR NOT list_contains(g.nos, i - 1)), lambda i: d.ls[i]), chr(10))) AS kept_sha256
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
+""",
+}
