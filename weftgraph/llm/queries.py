@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, decontamination, line_dedup, quality_rules, simhash
+from weftgraph.llm import bpe, decontamination, license_scan, line_dedup, quality_rules, sharding, simhash, url_filter
 from weftgraph.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents"))
+    return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,15 +47,95 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("cleaned_text")
 
 
+#: Rules and listed sites of the url query, as fixed values.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+LISTED_SITES = [f"{name}.example.{top}/" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, LISTED_SITES))).alias("url"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, listed)
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: one directory for each source and language in it, and for each 64 ids below.
+
+    Ids divisible by 1,024 are the licence files of a language's directory,
+    others divisible by 64 those of theirs.
+    """
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    own = F.when(F.col("doc_id") % 1024 == 0, "LICENSE").when(F.col("doc_id") % 64 == 0, F.concat(part("bucket"), F.lit("/LICENSE"))).otherwise(F.concat(part("bucket"), F.lit("/"), part("doc_id"), F.lit(".txt")))
+    files = table(spark, sf_dir, "documents").withColumn("bucket", F.floor(F.col("doc_id") / 64))
+    files = files.select(F.col("doc_id").alias("id"), F.concat(part("source"), F.lit("/"), part("lang"), F.lit("/"), own).alias("path"), "text")
+    return license_scan.scan(files).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_ring_sharding": op2_ring_sharding,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_url_filter": op9_url_filter,
+    "op10_license_scan": op10_license_scan,
 }
 
+_TEMPLATE_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in license_scan.TEMPLATES.items())
+_RULE_ROWS = ", ".join(f"('{a}', '{r}')" for a, r in URL_RULES)
+_SITE_ROWS = ", ".join(f"('{u}')" for u in LISTED_SITES)
+
 ORACLES: dict[str, str] = {
+    "op9_url_filter": rf"""
+WITH rules(action, rule) AS (VALUES {_RULE_ROWS}), sites(site) AS (VALUES {_SITE_ROWS}),
+p AS (
+  SELECT page_id, url,
+    CASE WHEN contains(url, '://') THEN translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN contains(url, '://') THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM (SELECT page_id, url, substring(url, strpos(url, '://') + 3) AS rest FROM pages)),
+fit AS (
+  SELECT p.page_id, p.url, max_by(struct_pack(a := action, r := rule), struct_pack(n := length(rule), r := rule)) AS best
+  FROM p JOIN rules ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
+    AND starts_with(path, substring(rule, strpos(rule, '/')))
+  GROUP BY p.page_id, p.url)
+SELECT p.page_id, p.host, p.path, fit.best.r AS rule,
+  EXISTS (SELECT 1 FROM sites WHERE p.host || '/' = site OR ends_with(p.host || '/', '.' || site)) AS listed,
+  coalesce(fit.best.a, CASE WHEN EXISTS (SELECT 1 FROM sites WHERE p.host || '/' = site OR ends_with(p.host || '/', '.' || site)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fit ON p.page_id = fit.page_id AND p.url IS NOT DISTINCT FROM fit.url
+""",
+    "op10_license_scan": rf"""
+WITH templates(license, notice) AS (VALUES {_TEMPLATE_ROWS}),
+f AS (
+  SELECT doc_id, text, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' AS lang_dir, doc_id // 64 AS b FROM documents),
+files AS (
+  SELECT doc_id, text, CASE WHEN doc_id % 1024 = 0 THEN lang_dir || 'LICENSE' WHEN doc_id % 64 = 0 THEN lang_dir || b || '/LICENSE' ELSE lang_dir || b || '/' || doc_id || '.txt' END AS path
+  FROM f),
+named AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) = 'LICENSE' AS is_file, regexp_replace(path, '/[^/]*$', '') AS dir FROM files),
+lined AS (
+  SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)licen[sc]|copyright|all rights reserved|spdx|redistribution and use')) AS cued FROM named),
+terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(lower(array_to_string(CASE WHEN len(cued) > 0 OR NOT is_file THEN cued ELSE string_split(text, chr(10)) END, chr(10))), '[a-z0-9]+([.][0-9]+)*')) AS term
+  FROM lined),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+tt AS (SELECT license, term, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+([.][0-9]+)*')) AS term FROM templates) GROUP BY ALL),
+n AS (SELECT (SELECT count(DISTINCT doc_id) FROM tf) + (SELECT count(*) FROM templates) AS n),
+idf AS (SELECT term, ln((1 + (SELECT n FROM n))::DOUBLE / (1 + count(*))) + 1 AS idf FROM (SELECT term FROM tf UNION ALL SELECT term FROM tt) GROUP BY term),
+w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+v AS (SELECT license, term, tf * idf AS v FROM tt JOIN idf USING (term)),
+cosines AS (
+  SELECT doc_id, license, round(dot / (sqrt(wn) * sqrt(vn)), 6) AS cosine
+  FROM (SELECT doc_id, license, sum(w * v) AS dot FROM w JOIN v USING (term) GROUP BY ALL)
+  JOIN (SELECT doc_id, sum(w * w) AS wn FROM w GROUP BY ALL) USING (doc_id) JOIN (SELECT license, sum(v * v) AS vn FROM v GROUP BY ALL) USING (license)),
+best AS (SELECT doc_id, max(cosine) AS cosine, arg_min(license, struct_pack(c := -cosine, l := license)) AS license FROM cosines WHERE cosine >= 0.6 GROUP BY doc_id),
+own AS (SELECT named.doc_id, path, dir, is_file, license, cosine FROM named LEFT JOIN best USING (doc_id)),
+licensed AS (SELECT dir, arg_min(license, struct_pack(c := -cosine, l := license)) AS license FROM own WHERE is_file AND license IS NOT NULL GROUP BY dir),
+near AS (
+  SELECT own.doc_id, arg_max(licensed.license, length(licensed.dir)) AS license
+  FROM own JOIN licensed ON own.dir = licensed.dir OR starts_with(own.dir, licensed.dir || '/') GROUP BY own.doc_id)
+SELECT own.doc_id, own.path, coalesce(own.license, near.license) AS license, own.cosine,
+  CASE WHEN own.license IS NOT NULL THEN CASE WHEN is_file THEN 'file' ELSE 'header' END WHEN near.license IS NOT NULL THEN 'inherited' END AS origin
+FROM own LEFT JOIN near USING (doc_id)
+""",
     "op6_line_dedup": r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (
