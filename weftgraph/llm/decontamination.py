@@ -37,8 +37,8 @@ MIN_TOKENS = 12
 PENALTY = 3
 #: Broadcast a test table of hashes up to so many rows; beyond, it is shuffled.
 BROADCAST_ROWS = 500_000
-#: Bits of the Bloom filter: 16 for each test hash, and 2 ** 27 (16 MB) at most.
-MAX_BLOOM_LOG2 = 27
+#: Bits of the Bloom filter: 64 for each test hash, four of them set, and 2 ** 27 (16 MB) at most.
+MAX_BLOOM_LOG2, PROBES = 27, 4
 
 _CLEAN = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 _MULTIPLIERS = np.array([xxhash.xxh64_intdigest(bytes([k]), 7) | 1 for k in range(16)], dtype=np.uint64)
@@ -97,8 +97,9 @@ def test_seeds(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
 
 def _bloom(hashes: DataFrame, n: int) -> tuple[int, np.ndarray]:
     """(log2 of its bits, its words); the words are gathered, so their number is bounded above."""
-    log2 = min(MAX_BLOOM_LOG2, max(16, (16 * n).bit_length()))
-    at = F.explode(F.array(F.shiftrightunsigned("h", 64 - log2), F.col("h").bitwiseAND((1 << log2) - 1))).alias("at")
+    log2 = min(MAX_BLOOM_LOG2, max(16, (64 * n).bit_length()))
+    high, low = F.shiftrightunsigned("h", 32), F.col("h").bitwiseAND(2**32 - 1)
+    at = F.explode(F.array(*((high + k * low).bitwiseAND((1 << log2) - 1) for k in range(PROBES)))).alias("at")
     rows = hashes.select(at).groupBy(F.shiftright("at", 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(31).cast("int"))).alias("bits")).toArrow()
     words = np.zeros(1 << (log2 - 5), np.uint32)
     words[rows["w"].to_numpy()] = rows["bits"].to_numpy()
@@ -106,10 +107,13 @@ def _bloom(hashes: DataFrame, n: int) -> tuple[int, np.ndarray]:
 
 
 def _may_hold(bloom: tuple[int, np.ndarray], h: np.ndarray) -> np.ndarray:
+    """Positions of the hashes that the filter lets through."""
     log2, words = bloom
-    has = lambda at: (words[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1)
-    hits = np.flatnonzero(has(h >> np.uint64(64 - log2)))
-    return hits[has(h[hits] & np.uint64((1 << log2) - 1)) != 0]
+    left = np.arange(len(h))
+    for k in range(PROBES):
+        at = ((h[left] >> np.uint64(32)) + np.uint64(k) * (h[left] & np.uint64(2**32 - 1))) & np.uint64((1 << log2) - 1)
+        left = left[(words[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) != 0]
+    return left
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
