@@ -1 +1 @@
-
+"""Scalar functions, losses, metrics and scaling."""

@@ -1 +1 @@
-
+"""Partitioning, classification of nodes, and neighbour aggregation."""

@@ -1 +1 @@
-
+"""Loaders of graphs, and writers."""
