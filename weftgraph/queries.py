@@ -449,7 +449,7 @@ def cross_entropy_loss(spark, sf_dir):
 
 def multilabel_rows(spark, sf_dir) -> DataFrame:
     given = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("node_id")).agg(F.array(F.max("quality").cast("double"), F.max("toxic").cast("double")).alias("labels"))
-    nodes = with_embeddings(spark, sf_dir, given)
+    nodes = with_embeddings(spark, sf_dir, given, WIDTH)
     return agg.linear(nodes, [("x", dyadic(WIDTH, 2))], dyadic_bias(2))
 
 
