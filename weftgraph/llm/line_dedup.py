@@ -162,6 +162,7 @@ def _counts(line: str) -> np.ndarray:
 
 def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, text_col: str = "text") -> DataFrame:
     """``docs`` with the text of its kept lines, and n_lines, n_removed (of lines with a word)."""
+    docs = docs.drop("row", "gone", "n_lines", "n_removed")
     lines = lines_of(docs, text_col)
     found = segment_keys(F.col("line"), max_edits)
     keys = F.when(F.char_length("line") >= min_chars, F.array(*(k for _, k in found)))
@@ -183,5 +184,5 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
     kept = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("gone", i)), "\n"))
     n_lines = F.coalesce(F.size(F.filter(split, lambda x: x.rlike("[^ \\t-\\r]"))), F.lit(0))
     out = docs.withColumn("row", row_key()).join(gone, "row", "left")
-    columns = [kept.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed", "row", "gone")]
+    columns = [kept.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     return out.select(*columns, F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))
