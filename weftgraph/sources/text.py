@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph, masks_by_lists
@@ -27,16 +27,17 @@ def cached_edges(spark: SparkSession, path: str, cache: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of a text file or of the parts of one, from 0, in file order.
+    """(line, value) of a text file, or of the files of a folder in the order of their names, from 0.
 
-    Lines of a part are numbered in the part and shifted by the parts before
-    it; the parts' sizes are the only thing that meets in one task.
+    Lines are numbered within each block of a file and shifted by the blocks
+    before it; the blocks' sizes are the only thing that meets in one task.
     """
-    rows = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    rows = rows.select("value", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("own"))
-    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    return rows.join(F.broadcast(before), "part").select((F.col("own") + F.col("before")).alias("line"), "value")
+    block = ["file", "start"]
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    rows = rows.withColumn("at", F.monotonically_increasing_id())
+    sizes = rows.groupBy(*block).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy(*block)) - F.col("n"))
+    return rows.join(F.broadcast(before), block).select((F.col("at") - F.col("first") + F.col("before")).alias("line"), "value")
 
 
 def read_adjacency(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
