@@ -200,13 +200,16 @@ def test_decontamination_finds_copies_with_substitutions(spark, odd, nothing):
     changed = list(items[1])
     for k in (5, 12, 19, 25):
         changed[k] = "other"
-    texts = [noise(100) + items[0] + noise(100), noise(10) + changed + noise(500), items[2][20:45], noise(300), items[0][:6] + noise(40), items[1], items[3] + noise(9), noise(50) + items[4]]
+    two_changed = list(items[0])
+    two_changed[3] = two_changed[12] = "other"
+    texts = [noise(100) + items[0] + noise(100), noise(10) + changed + noise(500), items[2][20:45], noise(300), items[0][:6] + noise(40), items[1], items[3] + noise(9), noise(50) + items[4], noise(20) + two_changed + noise(5)]
     frame = docs(spark, [" ".join(t).upper() + "!" for t in texts]).unionByName(odd.withColumn("doc_id", F.col("doc_id") + 100))
     benchmark = spark.createDataFrame([(i, ", ".join(t)) for i, t in enumerate(items)] + [(9, None)], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r for r in decontamination.find_overlaps(frame, benchmark).collect()}
-    assert set(got) == {(0, 0), (1, 1), (2, 2), (5, 1), (6, 3)}
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (5, 1), (6, 3), (8, 0)}
     assert (got[0, 0]["doc_start"], got[0, 0]["item_start"], got[0, 0]["length"], got[0, 0]["matched"]) == (100, 0, 15, 15)
     assert (got[1, 1]["length"], got[1, 1]["matched"]) == (30, 26)
+    assert (got[8, 0]["doc_start"], got[8, 0]["length"], got[8, 0]["matched"]) == (20, 15, 13)
     assert (got[2, 2]["item_start"], got[2, 2]["length"]) == (20, 25)
     assert decontamination.find_overlaps(nothing, benchmark).count() == 0
     assert decontamination.find_overlaps(frame, benchmark.limit(0)).count() == 0

@@ -5,8 +5,8 @@ substituted token under an ignored position does not hide a copy. Test and
 training texts are hashed with the same masks. A Bloom filter of the test
 hashes, whose size is bounded, drops most training hashes where they are made;
 the rest are joined with the test hashes exactly. Each hit names a test item
-and a diagonal; along it the tokens are compared, and the best stretch that
-tolerates substitutions decides.
+and a diagonal; along it the tokens are compared: the whole item, most of
+which must be equal, or else the best stretch that tolerates substitutions.
 
 Tokens are maximal runs of letters and digits in the lower-cased text. Items
 with fewer tokens than the narrowest mask cannot be told from chance and are
@@ -33,8 +33,10 @@ MASKS = ("11111111", "1110110111", "11011001111", "110100110111")
 MARGIN = 48
 #: A stretch is reported from so many equal tokens on (or all of a shorter item).
 MIN_TOKENS = 12
-#: What an unequal token costs a stretch, in equal tokens: a copy keeps four of five or more.
+#: What an unequal token costs a stretch, in equal tokens.
 PENALTY = 3
+#: A whole item is reported where so large a share of it, and eight tokens, are equal.
+WHOLE_SHARE = 0.8
 #: Broadcast a test table of hashes up to so many rows; beyond, it is shuffled.
 BROADCAST_ROWS = 500_000
 #: Bits of the Bloom filter: 64 for each test hash, four of them set, and 2 ** 27 (16 MB) at most.
@@ -159,9 +161,14 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for lo, diagonal, toks, test in zip(*(batch.column(c).to_pylist() for c in (2, 3)), *(batch.column(c) for c in (4, 5)), strict=True):
                 own, test = toks.values.to_numpy(), test.values.to_numpy()
                 first, last = max(lo, diagonal, 0), min(lo + len(own), diagonal + len(test))
-                start, length, matched = best_stretch(own[first - lo : last - lo] == test[first - diagonal : last - diagonal])
-                need = min(MIN_TOKENS, len(test))
-                out.append((first + start, first - diagonal + start, length, matched) if matched >= need else (None,) * 4)
+                equal = own[first - lo : last - lo] == test[first - diagonal : last - diagonal]
+                start, length, matched = best_stretch(equal)
+                if equal.sum() >= max(8, WHOLE_SHARE * len(test)):
+                    start, length, matched = 0, len(equal), int(equal.sum())
+                elif matched < min(MIN_TOKENS, len(test)):
+                    out.append((None,) * 4)
+                    continue
+                out.append((first + start, first - diagonal + start, length, matched))
             cols = [pa.array(c, pa.int32()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int32())] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["id", "item", "doc_start", "item_start", "length", "matched"])
 
