@@ -1 +1 @@
-
+"""Keeping graph figures up to date as edge files arrive."""
