@@ -22,7 +22,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import cut
@@ -34,8 +34,8 @@ def _cell(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 64 - CELL_BITS).cast("int")
 
 
-def ring(spark, shards: int = SHARDS, virtual: int = VIRTUAL) -> DataFrame:
-    """(cell, point, clockwise): the point that serves each cell, and all shards in the order met from it."""
+def ring(spark: SparkSession, shards: int = SHARDS, virtual: int = VIRTUAL) -> tuple[DataFrame, DataFrame]:
+    """(point, clockwise) of each point, all shards in the order met from it; and (cell, point), the point that serves each cell."""
     points = spark.range(shards * virtual).select((F.col("id") % shards).cast("int").alias("shard"), F.floor(F.col("id") / shards).alias("copy"))
     points = points.select(F.struct(_cell(F.lit("point"), "shard", "copy").alias("cell"), "shard", "copy").alias("p"))
     points = points.agg(F.sort_array(F.collect_list("p")).alias("all"))  # shards * virtual entries
@@ -46,7 +46,8 @@ def ring(spark, shards: int = SHARDS, virtual: int = VIRTUAL) -> DataFrame:
     own = F.when(F.col("p.cell") > before, F.sequence(before + 1, F.col("p.cell"))).otherwise(F.array().cast("array<int>"))
     last = F.get("all", F.size("all") - 1)["cell"]
     over = F.when((F.col("point") == 0) & (last < 2**CELL_BITS - 1), F.sequence(last + 1, F.lit(2**CELL_BITS - 1))).otherwise(F.array().cast("array<int>"))
-    return each.select("point", clockwise.alias("clockwise"), F.explode(F.concat(own, over)).alias("cell"))
+    cells = each.select("point", F.concat(own, over).alias("cells"))
+    return each.select("point", clockwise.alias("clockwise")), cells.select("point", F.explode("cells").alias("cell"))
 
 
 def _serve(points: DataFrame, shards: int) -> DataFrame:
@@ -78,9 +79,10 @@ def assign(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, id_col
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("crc"))
     rows = cut(rows.withColumn("hash", F.xxhash64("id", "crc")).withColumn("cell", F.shiftrightunsigned("hash", 64 - CELL_BITS).cast("int")))
-    cells = rows.groupBy("cell").agg(F.count("*").alias("n")).join(F.broadcast(ring(docs.sparkSession, shards, virtual)), "cell")
+    points, ring_cells = ring(docs.sparkSession, shards, virtual)
+    cells = rows.groupBy("cell").agg(F.count("*").alias("n")).join(F.broadcast(ring_cells), "cell")
     cells = cut(cells)  # 65,536 rows at most
-    served = _serve(cells.groupBy("point", "clockwise").agg(F.sum("n").alias("n")), shards)
+    served = _serve(cells.groupBy("point").agg(F.sum("n").alias("n")).join(F.broadcast(points), "point"), shards)
     taken = served.groupBy("point").agg(F.collect_list(F.struct("lo", "hi", "shard", "slot")).alias("taken"))
     below = F.sum("n").over(Window.partitionBy("point").orderBy("cell")) - F.col("n")
     places = cells.select("cell", "point", below.alias("below")).join(taken, "point").select("cell", "below", "taken")
