@@ -1,32 +1,18 @@
-"""Reading tables and cutting lineage, shared by the operators here."""
+"""What the operators here share; reading tables and cutting lineage are the library's."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The columns of ``documents``, in order.
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
+from weftgraph.common import cut, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["DOCUMENT_COLUMNS", "cut", "row_key", "table"]
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and read it from there.
-
-    The folder is the session's own (``spark.checkpoint.dir``); only where
-    none is set, as in tests on one machine, a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-"))
-    return df.checkpoint()
+#: The columns of ``documents``, in order.
+DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def row_key():
+def row_key() -> Column:
     """A key that tells rows apart by id and text, null ids included."""
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text"))

@@ -105,6 +105,30 @@ _RULE_ROWS = ", ".join(f"('{a}', '{r}')" for a, r in URL_RULES)
 _SITE_ROWS = ", ".join(f"('{u}')" for u in LISTED_SITES)
 
 ORACLES: dict[str, str] = {
+    "op8_quality_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (
+  SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+judged AS (
+  SELECT doc_id, line, length(array_to_string(w, '')) AS chars,
+    (len(list_filter(w, lambda x: x = '|')) > 0 AND len(list_filter(w, lambda x: x = '|')) >= 0.3::DOUBLE * len(w))
+    OR regexp_matches(line, '(?i)\b(licen[sc]ed under|released under the|all rights reserved|copyright \(c\)|terms of (use|service)|privacy policy|accept (all )?cookies|share (this|on))')
+    OR (regexp_matches(line, '[#*$%&<>]{2,}|!!') AND len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&<>]{2,}|!!'))) >= 0.3::DOUBLE * len(w))
+    OR (len(w) >= 8 AND len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) >= 0.6::DOUBLE * (len(w) - 1)) AS fault
+  FROM l WHERE len(w) > 0),
+by_line AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(chars) FILTER (fault), 0)::BIGINT AS lost_chars FROM judged GROUP BY doc_id),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], chr(1)) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 9)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM win) WHERE n > 1),
+inside AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM twice, (SELECT unnest(range(0, 8)) AS o) GROUP BY doc_id),
+base AS (
+  SELECT d.doc_id, len(d.w)::BIGINT AS n_words, length(array_to_string(d.w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(b.n_dup_lines, 0) AS n_dup_lines, coalesce(i.n, 0) AS n_repeat_words, coalesce(b.lost_chars, 0) AS lost_chars
+  FROM d LEFT JOIN by_line b ON d.doc_id = b.doc_id LEFT JOIN inside i ON d.doc_id = i.doc_id)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost_chars <= 0.6::DOUBLE * word_chars AS kept
+FROM base
+""",
     "op9_url_filter": rf"""
 WITH rules(action, rule) AS (VALUES {_RULE_ROWS}), sites(site) AS (VALUES {_SITE_ROWS}),
 p AS (
