@@ -18,6 +18,7 @@ columns are ignored; an empty table of either kind gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ MIN_TOKENS = 12
 PENALTY = 3
 #: A whole item is reported where so large a share of it, and eight tokens, are equal.
 WHOLE_SHARE = 0.8
+#: Texts that are hashed together.
+SLICE = 100
 #: Broadcast a test table of hashes up to so many rows; beyond, it is shuffled.
 BROADCAST_ROWS = 500_000
 #: Bits of the Bloom filter: 64 for each test hash, four of them set, and 2 ** 27 (16 MB) at most.
@@ -58,21 +61,32 @@ _tokens = _Hashes()
 
 
 def token_hashes(text: str | None) -> np.ndarray:
-    words = (text or "").lower().encode().translate(_CLEAN).split()
+    return _hashed([_words(text)])
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode().translate(_CLEAN).split()
+
+
+def _hashed(texts: list[list[bytes]]) -> np.ndarray:
+    """The hashes of the words of all texts, end to end."""
     if len(_tokens) > 500_000:
         _tokens.clear()
-    return np.fromiter(map(_tokens.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(_tokens.__getitem__, chain.from_iterable(texts)), np.uint64, sum(map(len, texts)))
 
 
 def seeds(tokens: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(mask, hash at each position) for every mask that fits the tokens."""
-    for m, mask in enumerate(MASKS):
+    """(width, hash at each position) for every mask that fits the tokens."""
+    mixed = [tokens * m for m in _MULTIPLIERS[: MASKS[0].count("1")]]
+    for number, mask in enumerate(MASKS):
         n = len(tokens) - len(mask) + 1
         if n > 0:
-            h = np.full(n, m + 1, np.uint64)
-            for k, at in enumerate(i for i, c in enumerate(mask) if c == "1"):
-                h = (h ^ (h >> np.uint64(29))) + tokens[at : at + n] * _MULTIPLIERS[k]
-            yield m, (h ^ (h >> np.uint64(32))) * _MULTIPLIERS[15]
+            h = np.full(n, number + 1, np.uint64)
+            for part, at in zip(mixed, (i for i, c in enumerate(mask) if c == "1"), strict=True):
+                h += part[at : at + n]
+            h ^= h >> np.uint64(32)
+            h *= _MULTIPLIERS[15]
+            yield len(mask), h
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
@@ -129,19 +143,25 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def regions(batches):
         for batch in batches:
             found = []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                toks = token_hashes(text)
-                hits = [(hs, _may_hold(bloom.value, hs)) for _, hs in seeds(toks)]
-                at = np.concatenate([p for _, p in hits]) if hits else np.empty(0, int)
-                if not len(at):
+            for begin in range(0, len(batch), SLICE):  # texts end to end, so that few array operations serve many
+                words = [_words(t) for t in batch.column(1).slice(begin, SLICE).to_pylist()]
+                ends = np.cumsum([len(w) for w in words])
+                toks = _hashed(words)
+                hits = [(p, hs[p], p + width) for width, hs in seeds(toks) for p in [_may_hold(bloom.value, hs)]]
+                if not sum(len(p) for p, _, _ in hits):
                     continue
-                h = np.concatenate([hs[p] for hs, p in hits])
-                order = np.argsort(at, kind="stable")
-                at, h = at[order], h[order]
-                for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * MARGIN) + 1):
-                    lo = max(0, int(at[part[0]]) - MARGIN)
-                    own = toks[lo : int(at[part[-1]]) + len(MASKS[-1]) + MARGIN]
-                    found.append((i, lo, own.view(np.int64), [{"pos": p, "h": x} for p, x in zip(at[part].tolist(), h[part].view(np.int64).tolist(), strict=True)]))
+                at, h, to = (np.concatenate(x) for x in zip(*hits, strict=True))
+                doc = np.searchsorted(ends, at, side="right")
+                inside = to <= ends[doc]
+                order = np.argsort(at[inside], kind="stable")
+                at, h, doc = (x[inside][order] for x in (at, h, doc))
+                breaks = np.flatnonzero((np.diff(at) > 2 * MARGIN) | (np.diff(doc) > 0)) + 1
+                for part in np.split(np.arange(len(at)), breaks) if len(at) else []:
+                    d = int(doc[part[0]])
+                    start = int(ends[d]) - len(words[d])
+                    lo = max(start, int(at[part[0]]) - MARGIN)
+                    own = toks[lo : min(int(ends[d]), int(at[part[-1]]) + len(MASKS[-1]) + MARGIN)]
+                    found.append((begin + d, lo - start, own.view(np.int64), [{"pos": p, "h": x} for p, x in zip((at[part] - start).tolist(), h[part].view(np.int64).tolist(), strict=True)]))
             rows, lo, own, hit = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(lo, pa.int32()), pa.array(own, pa.list_(pa.int64())), pa.array(hit, pa.list_(pa.struct([("pos", pa.int32()), ("h", pa.int64())])))], ["id", "lo", "tokens", "hits"])
 
