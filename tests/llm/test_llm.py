@@ -68,7 +68,9 @@ def test_bpe_equals_the_library(spark, vocabulary, odd, nothing):
     assert bpe.encode(nothing, ranks, pattern).count() == 0
 
 
-def test_bpe_forgets_and_respects_lower_ranks():
+@pytest.mark.parametrize("many", [3, 10**9])
+def test_bpe_forgets_and_respects_lower_ranks(monkeypatch, many):
+    monkeypatch.setattr(bpe, "MANY_WORDS", many)
     ranks = {bytes([b]): b for b in range(256)} | {b"ab": 300, b"bc": 301, b"abc": 256, b"cd": 299, b"abcd": 257}
     speller = bpe.Speller(ranks, r"\w+|\W", cache_words=2)
 
@@ -85,6 +87,13 @@ def test_bpe_forgets_and_respects_lower_ranks():
         text = " ".join("".join(rng.choices("abcd", k=rng.randint(1, 12))) for _ in range(4))
         want = [i for w in speller.find(text) for i in ([ranks[w.encode()]] if w.encode() in ranks else naive(w.encode()))]
         assert np.frombuffer(speller.spell([text])[0], "<u4").tolist() == want
+    rng = random.Random(5)
+    tokens = sorted({"".join(rng.choices("abcd", k=rng.randint(2, 5))).encode() for _ in range(160)}, key=lambda t: rng.random())
+    ranks = {bytes([b]): b for b in range(256)} | {t: 256 + i for i, t in enumerate(tokens)}
+    replay = bpe.MergeReplay(ranks)
+    words = ["".join(rng.choices("abcd", k=rng.randint(1, 16))).encode() for _ in range(4000)]
+    for w, ids in zip(words, replay.encode_words(words), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == ([ranks[w]] if w in ranks else naive(w))
 
 
 # Sharding

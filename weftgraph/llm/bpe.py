@@ -27,6 +27,10 @@ from pyspark.sql import functions as F
 
 #: Encoded pre-tokens that a worker remembers before it starts afresh.
 CACHE_WORDS = 500_000
+#: Texts that are encoded together, about 13 MB of ordinary ones.
+SLICE = 4000
+#: From so many words on, a rank's places are merged together.
+MANY_WORDS = 2000
 _SHIFT, _SEP, _DEAD = 20, (1 << 20) - 1, (1 << 20) - 2  # ids stay below 2 ** 20 - 2
 
 
@@ -49,6 +53,8 @@ class MergeReplay:
                 a, b = ranks.get(t[:k]), ranks.get(t[k:])
                 if a is not None and b is not None:
                     self.merged[a << _SHIFT | b] = i
+        self.pairs = np.array(sorted(self.merged) or [-1], dtype=np.int64)
+        self.pair_ranks = np.array([self.merged.get(k, -1) for k in self.pairs.tolist()], dtype=np.int64)
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as little-endian unsigned 32-bit integers."""
@@ -68,16 +74,94 @@ class MergeReplay:
         return out  # type: ignore[return-value]
 
     def _replay(self, words: list[bytes]) -> list[bytes]:
-        merged = self.merged.get
+        """Applies each rank's merge to all its positions at once, or where few words are left, one by one."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1)  # of each word's separator, one more for the first
-        n = int(ends[-1]) + 1
-        flat = np.full(n, _SEP, dtype=np.int64)
-        inside = np.ones(n, dtype=bool)
-        inside[0] = False
+        ends = np.concatenate(([0], np.cumsum(lengths + 1)))  # of the separators, one before each word and one at the end
+        flat = np.full(int(ends[-1]) + 1, _SEP, dtype=np.int64)
+        inside = np.ones(len(flat), dtype=bool)
         inside[ends] = False
         flat[inside] = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-        index = self._first_index(flat)
+        odd = self._merge_one_by_one(flat) if len(words) < MANY_WORDS else self._merge_together(flat)
+        done = flat[flat != _DEAD]
+        cuts = np.flatnonzero(done == _SEP).tolist()
+        raw = done.astype("<u4").tobytes()
+        out = [raw[4 * a + 4 : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        if len(odd):
+            again = np.unique(np.searchsorted(ends, odd) - 1).tolist()
+            for k in range(0, len(again), MANY_WORDS - 1):
+                some = again[k : k + MANY_WORDS - 1]
+                for i, ids in zip(some, self._replay([words[i] for i in some]), strict=True):
+                    out[i] = ids
+        return out
+
+    def _ranks_of(self, keys: np.ndarray) -> np.ndarray:
+        """The rank that each pair merges to, or -1."""
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == keys, self.pair_ranks[at], -1)
+
+    def _merge_together(self, tok: np.ndarray) -> np.ndarray:
+        """Merges in place; returns positions in words where a merge made one of lower rank, which are to be done anew.
+
+        ``pair`` holds for every live position the rank of the merge that begins
+        there. The index holds the positions of each rank, with some that have
+        changed since; ``pair`` tells them apart.
+        """
+        n = len(tok)
+        left, right = np.arange(-1, n - 1), np.arange(1, n + 1)
+        pair = np.append(self._ranks_of(tok[:-1] << _SHIFT | tok[1:]), -1)
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def enter(at: np.ndarray, ranks: np.ndarray) -> None:
+            order = np.argsort(ranks, kind="stable")
+            ranks, at = ranks[order], at[order]
+            starts = np.flatnonzero(np.concatenate(([True], ranks[1:] != ranks[:-1])))
+            for r, a, b in zip(ranks[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
+                if r in index:
+                    index[r].append(at[a:b])
+                else:
+                    index[r] = [at[a:b]]
+                    heapq.heappush(heap, r)
+
+        if len(at := np.flatnonzero(pair >= 0)):
+            enter(at, pair[at])
+        odd = [np.empty(0, np.int64)]
+        while heap:
+            rank = heapq.heappop(heap)
+            p = np.unique(np.concatenate(index.pop(rank)))
+            p = p[pair[p] == rank]
+            if not len(p):
+                continue
+            q = right[p]
+            over = np.concatenate(([False], q[:-1] == p[1:]))  # shares a token with the place before it
+            if over.any():
+                step = np.arange(len(p))
+                p = p[(step - np.maximum.accumulate(np.where(over, 0, step))) % 2 == 0]
+                q = right[p]
+            after = right[q]
+            if (touch := after[:-1] == p[1:]).any():  # one by one, the first of two would meet the second unmerged
+                between = self._ranks_of(rank << _SHIFT | tok[p[1:][touch]])
+                odd.append(p[1:][touch][(between >= 0) & (between < rank)])
+            tok[p], tok[q], pair[q], right[p], left[after] = rank, _DEAD, -1, after, p
+            before = left[p]
+            one, two = self._ranks_of(tok[before] << _SHIFT | rank), self._ranks_of(rank << _SHIFT | tok[after])
+            pair[before], pair[p] = one, two
+            at, new = np.concatenate((before, p)), np.concatenate((one, two))
+            known = new >= 0
+            if known.any():
+                at, new = at[known], new[known]
+                enter(at, new)
+                if new.min() < rank:
+                    odd.append(at[new < rank])
+        return np.concatenate(odd)
+
+    def _merge_one_by_one(self, flat: np.ndarray) -> np.ndarray:
+        """The same with plain lists; a merge of lower rank interrupts the places of the rank at hand."""
+        merged, n = self.merged.get, len(flat)
+        ranks = self._ranks_of(flat[:-1] << _SHIFT | flat[1:])
+        index: dict[int, list[int]] = {}
+        for p in np.flatnonzero(ranks >= 0).tolist():
+            index.setdefault(int(ranks[p]), []).append(p)
         tok, left, right = flat.tolist(), list(range(-1, n - 1)), list(range(1, n + 1))
         heap = list(index)
         heapq.heapify(heap)
@@ -94,18 +178,13 @@ class MergeReplay:
                     continue
                 before, after = left[p], right[q]
                 tok[p], tok[q], right[p], left[after] = rank, _DEAD, after, p
-                if (new := merged(tok[before] << _SHIFT | rank)) is not None:
-                    if new in index:
-                        index[new].append(before)
-                    else:
-                        index[new] = [before]
-                        push(heap, new)
-                        lower = new < rank
-                if (new := merged(high | tok[after])) is not None:
+                for at, new in ((before, merged(tok[before] << _SHIFT | rank)), (p, merged(high | tok[after]))):
+                    if new is None:
+                        continue
                     if new in index:
-                        index[new].append(p)
+                        index[new].append(at)
                     else:
-                        index[new] = [p]
+                        index[new] = [at]
                         push(heap, new)
                         lower = lower or new < rank
                 if lower:  # such a merge comes before this rank's further places
@@ -113,20 +192,8 @@ class MergeReplay:
                         index[rank] = rest
                         push(heap, rank)
                     break
-        done = np.array(tok, dtype=np.int64)
-        done = done[done != _DEAD]
-        cuts = np.flatnonzero(done == _SEP).tolist()
-        raw = done.astype("<u4").tobytes()
-        return [raw[4 * a + 4 : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def _first_index(self, flat: np.ndarray) -> dict[int, list[int]]:
-        keys = flat[:-1] << _SHIFT | flat[1:]
-        kinds, which = np.unique(keys, return_inverse=True)
-        rank = np.array([self.merged.get(k, -1) for k in kinds.tolist()], dtype=np.int64)[which]
-        at = np.flatnonzero(rank >= 0)
-        at = at[np.argsort(rank[at], kind="stable")]
-        ranks, starts = np.unique(rank[at], return_index=True)
-        return {r: x.tolist() for r, x in zip(ranks.tolist(), np.split(at, starts[1:]), strict=True)} if len(at) else {}
+        flat[:] = tok
+        return np.empty(0, np.int64)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -183,8 +250,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[s
         key, table = shared.value
         speller = _speller((key, pattern), table, pattern)
         for batch in batches:
-            for k in range(0, len(batch), 1000):
-                part = batch.slice(k, 1000)
+            for k in range(0, len(batch), SLICE):
+                part = batch.slice(k, SLICE)
                 coded = speller.spell([t or "" for t in part.column(len(keep)).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(coded, pa.binary()), pa.array(map(speller.replay.decode, coded), pa.binary())], [*keep, "ids", "decoded"])
 
