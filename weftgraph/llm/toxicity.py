@@ -69,9 +69,8 @@ def shared_backoff(grams: DataFrame) -> DataFrame:
     levels = [grams.select(_tail().alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))]
     for _ in range(ORDER - 2):
         levels.append(levels[-1].select(_tail().alias("gram")).groupBy("gram").agg(F.count("*").alias("n")))
-    total = levels[-1].agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
-    lowest = levels[-1].join(F.broadcast(total))  # one row; single characters, an eighth of whose mass is spread evenly
-    p = lowest.select("gram", (0.875 * F.col("n") / F.col("all") + 0.125 / F.col("kinds")).alias("p"))
+    single = cut(levels[-1])  # characters; an eighth of their mass is spread evenly
+    p = single.select("gram", (0.875 * F.col("n") / single.agg(F.sum("n")).scalar() + 0.125 / single.agg(F.count("*")).scalar()).alias("p"))
     for level in reversed(levels[:-1]):
         level = level.withColumn("context", _head())
         after = level.groupBy("context").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
