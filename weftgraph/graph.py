@@ -51,7 +51,8 @@ class Graph:
 
 
 def both_directions(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    """Each edge and its reverse, in one pass over the edges."""
+    return edges.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))))
 
 
 def graph_of_edges(edges: DataFrame) -> Graph:

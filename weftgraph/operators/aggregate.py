@@ -31,7 +31,8 @@ def _packed(rows: DataFrame, width: int, name: str = "a") -> DataFrame:
 
 def neighbour_mean(h: DataFrame, edges: DataFrame, width: int) -> DataFrame:
     """(node_id, a) for nodes with an in-edge."""
-    return _packed(_over_edges(edges, h).groupBy("dst").agg(*_components("x", width, F.avg)), width)
+    rows = _over_edges(edges, h).groupBy("dst").agg(F.count("*").alias("n"), *_components("x", width, F.sum))  # one count for all
+    return rows.select(F.col("dst").alias("node_id"), F.array(*(F.col(f"c{j}") / F.col("n") for j in range(width))).alias("a"))
 
 
 def neighbour_sum(h: DataFrame, edges: DataFrame, width: int) -> DataFrame:
