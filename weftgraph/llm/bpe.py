@@ -21,15 +21,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.llm.common import slices
+
 #: Encoded pre-tokens that a worker remembers before it starts afresh.
 CACHE_WORDS = 350_000
-#: Bytes of text that are encoded together, or else one text.
-SLICE_BYTES = 6 << 20
 #: From so many words on, a rank's places are merged together.
 MANY_WORDS = 2000
 _SHIFT, _SEP, _DEAD = 20, (1 << 20) - 1, (1 << 20) - 2  # ids stay below 2 ** 20 - 2
@@ -243,17 +242,6 @@ def _speller(key: tuple, ranks: dict[bytes, int], pattern: str) -> Speller:
     return _worker[key]
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of so many bytes of text."""
-    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    begin = 0
-    while begin < len(batch):
-        spent = int(total[begin - 1]) if begin else 0
-        end = max(begin + 1, int(np.searchsorted(total, spent + SLICE_BYTES, side="right")))
-        yield batch.slice(begin, end - begin)
-        begin = end
-
-
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The ``keep`` columns, ids (little-endian unsigned 32-bit integers) and decoded (the bytes that the ids stand for)."""
     shared = docs.sparkSession.sparkContext.broadcast((hash((pattern, frozenset(ranks.items()))), ranks))

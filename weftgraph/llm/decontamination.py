@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import cut
+from weftgraph.llm.common import cut, slices
 
 #: Selected positions of each mask, eight of eight to twelve.
 MASKS = ("11111111", "1110110111", "11011001111", "110100110111")
@@ -38,8 +38,8 @@ MIN_TOKENS = 12
 PENALTY = 3
 #: A whole item is reported where so large a share of it, and eight tokens, are equal.
 WHOLE_SHARE = 0.8
-#: Texts that are hashed together.
-SLICE = 100
+#: Bytes of text that are hashed together.
+SLICE_BYTES = 1 << 19
 #: Broadcast a test table of hashes up to so many rows; beyond, it is shuffled.
 BROADCAST_ROWS = 500_000
 #: Bits of the Bloom filter: 64 for each test hash, four of them set, and 2 ** 27 (16 MB) at most.
@@ -142,9 +142,10 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def regions(batches):
         for batch in batches:
-            found = []
-            for begin in range(0, len(batch), SLICE):  # texts end to end, so that few array operations serve many
-                words = [_words(t) for t in batch.column(1).slice(begin, SLICE).to_pylist()]
+            found, begin, behind = [], 0, 0
+            for part in slices(batch, 1, SLICE_BYTES):  # texts end to end, so that few array operations serve many
+                begin, behind = behind, behind + len(part)
+                words = [_words(t) for t in part.column(1).to_pylist()]
                 ends = np.cumsum([len(w) for w in words])
                 toks = _hashed(words)
                 hits = [(p, hs[p], p + width) for width, hs in seeds(toks) for p in [_may_hold(bloom.value, hs)]]
@@ -156,12 +157,12 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 order = np.argsort(at[inside], kind="stable")
                 at, h, doc = (x[inside][order] for x in (at, h, doc))
                 breaks = np.flatnonzero((np.diff(at) > 2 * MARGIN) | (np.diff(doc) > 0)) + 1
-                for part in np.split(np.arange(len(at)), breaks) if len(at) else []:
-                    d = int(doc[part[0]])
+                for run in np.split(np.arange(len(at)), breaks) if len(at) else []:
+                    d = int(doc[run[0]])
                     start = int(ends[d]) - len(words[d])
-                    lo = max(start, int(at[part[0]]) - MARGIN)
-                    own = toks[lo : min(int(ends[d]), int(at[part[-1]]) + len(MASKS[-1]) + MARGIN)]
-                    found.append((begin + d, lo - start, own.view(np.int64), [{"pos": p, "h": x} for p, x in zip((at[part] - start).tolist(), h[part].view(np.int64).tolist(), strict=True)]))
+                    lo = max(start, int(at[run[0]]) - MARGIN)
+                    own = toks[lo : min(int(ends[d]), int(at[run[-1]]) + len(MASKS[-1]) + MARGIN)]
+                    found.append((begin + d, lo - start, own.view(np.int64), [{"pos": p, "h": x} for p, x in zip((at[run] - start).tolist(), h[run].view(np.int64).tolist(), strict=True)]))
             rows, lo, own, hit = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(lo, pa.int32()), pa.array(own, pa.list_(pa.int64())), pa.array(hit, pa.list_(pa.struct([("pos", pa.int32()), ("h", pa.int64())])))], ["id", "lo", "tokens", "hits"])
 

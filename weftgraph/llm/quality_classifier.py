@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.common import slices
 from weftgraph.llm.labelled import sample, with_texts
 from weftgraph.llm.words import WordValues
 
@@ -144,8 +145,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             _worker.update(key=key, words=WordValues(values))
         for batch in batches:
             out = []
-            for k in range(0, len(batch), 1000):
-                texts = [(t or "").split() for t in batch.column(1).slice(k, 1000).to_pylist()]
+            for part in slices(batch, 1):
+                texts = [(t or "").split() for t in part.column(1).to_pylist()]
                 for rows in _worker["words"].look_up(texts):
                     pairs = _pairs(np.ascontiguousarray(rows[:, 2]).view(np.uint64))
                     logit = (table[CONSTANT] + rows[:, 0].sum() + table[pairs].sum()) / (1 + rows[:, 1].sum() + len(pairs))

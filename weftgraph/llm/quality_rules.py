@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.common import slices
+
 WINDOW = 8
 _SYMBOLS, _SPACES = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
 _BOILERPLATE = re.compile(rb"\b(licen[sc]ed under|released under the|all rights reserved|copyright \(c\)|terms of (use|service)|privacy policy|accept (all )?cookies|share (this|on))", re.I)
@@ -105,8 +107,7 @@ def apply_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, len(batch), 1000):
-                part = batch.slice(k, 1000)
+            for part in slices(batch, 1):
                 judged = list(zip(*(judge(t, rules) for t in part.column(1).to_pylist()), strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, t) for x, t in zip(judged, _TYPES, strict=True))], [id_col, *_NAMES])
 
@@ -120,8 +121,7 @@ def clean_documents(docs: DataFrame, rules: Rules = Rules(), text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, len(batch), 1000):
-                part = batch.slice(k, 1000)
+            for part in slices(batch, at):
                 judged = [judge(t, rules) for t in part.column(at).to_pylist()]
                 text = pa.array([j[7] for j in judged], pa.string())
                 columns = [text if i == at else c for i, c in enumerate(part.columns)]

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import cut
+from weftgraph.llm.common import cut, slices
 from weftgraph.llm.labelled import sample, with_texts
 from weftgraph.llm.words import WordValues
 
@@ -142,8 +142,8 @@ def measure(docs: DataFrame, model: Model, keep: tuple[str, ...], text_col: str
             _worker.update(key=key, words=WordValues(lambda words: word_ratios(words, m)))
         for batch in batches:
             found = []
-            for k in range(0, len(batch), 1000):
-                texts = [(t or "").lower().split() for t in batch.column(len(keep)).slice(k, 1000).to_pylist()]
+            for part in slices(batch, len(keep)):
+                texts = [(t or "").lower().split() for t in part.column(len(keep)).to_pylist()]
                 found += [features(rows) for rows in _worker["words"].look_up(texts)]
             x = np.array(found, dtype=float).reshape(len(found), N_FEATURES)
             p = 1 / (1 + np.exp(-(x @ m.weights[:-1] + m.weights[-1])))
