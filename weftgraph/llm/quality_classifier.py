@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col:
 
     chosen = with_texts(docs, sample(labels, per_class, "quality", id_col), id_col, text_col)
     rows = chosen.select("y", "text").mapInArrow(run, "y int, buckets array<int>, shares array<float>").toArrow()
-    kept = [(y, b.values.to_numpy().astype(np.int64), s.values.to_numpy()) for y, b, s in zip(rows["y"].to_pylist(), rows["buckets"], rows["shares"], strict=True)]
+    kept = [(y, b.values.to_numpy(), s.values.to_numpy()) for y, b, s in zip(rows["y"].to_pylist(), rows["buckets"], rows["shares"], strict=True)]
     return train(sorted(kept, key=lambda r: (r[0], len(r[1]), r[1].tobytes())))
 
 
