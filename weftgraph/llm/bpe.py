@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import slices
 
 #: Encoded pre-tokens that a worker remembers before it starts afresh.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 150_000
+#: Bytes of text that are encoded together.
+SLICE_BYTES = 2 << 20
 #: From so many words on, a rank's places are merged together.
 MANY_WORDS = 2000
 _SHIFT, _SEP, _DEAD = 20, (1 << 20) - 1, (1 << 20) - 2  # ids stay below 2 ** 20 - 2
@@ -250,7 +252,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[s
         key, table = shared.value
         speller = _speller((key, pattern), table, pattern)
         for batch in batches:
-            for part in slices(batch, len(keep)):
+            for part in slices(batch, len(keep), SLICE_BYTES):
                 coded = speller.spell([t or "" for t in part.column(len(keep)).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(coded, pa.binary()), pa.array(map(speller.replay.decode, coded), pa.binary())], [*keep, "ids", "decoded"])
 

@@ -70,7 +70,7 @@ def _words(text: str | None) -> list[bytes]:
 
 def _hashed(texts: list[list[bytes]]) -> np.ndarray:
     """The hashes of the words of all texts, end to end."""
-    if len(_tokens) > 500_000:
+    if len(_tokens) > 150_000:
         _tokens.clear()
     return np.fromiter(map(_tokens.__getitem__, chain.from_iterable(texts)), np.uint64, sum(map(len, texts)))
 
