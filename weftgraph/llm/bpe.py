@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import slices
 
-#: Encoded pre-tokens that a worker remembers before it starts afresh.
+#: Encoded pre-tokens that a worker remembers before it keeps only those of the slice at hand.
 CACHE_WORDS = 150_000
 #: Bytes of text that are encoded together.
 SLICE_BYTES = 2 << 20
@@ -217,16 +217,19 @@ class Speller:
         self.words: dict[str, bytes] = {}
         self.cache_words = cache_words
 
+    def _kept(self, known: dict[str, bytes], needed: set[str]) -> dict[str, bytes]:
+        """``known``, or where it is too large, only what is needed now: mostly the frequent ones."""
+        return known if len(known) <= self.cache_words else {x: known[x] for x in needed & known.keys()}
+
     def spell(self, texts: Iterable[str]) -> list[bytes]:
         cuts = [None if self.whole(t) else t.replace("\n", " \n").split(" ") for t in texts]
         found = [(self.find(t), ()) if c is None else (self.find(c[0]), c[1:]) for t, c in zip(texts, cuts, strict=True)]
-        if len(self.pieces) > self.cache_words:
-            self.pieces.clear()
-        if len(self.words) > self.cache_words:
-            self.words.clear()
-        new = set().union(*(c for _, c in found)) - self.pieces.keys()
-        spelled = {c: self.find(c if c[:1] == "\n" else " " + c) for c in new}
-        words = list(set().union(*spelled.values(), *(w for w, _ in found)) - self.words.keys())
+        needed = set().union(*(c for _, c in found))
+        self.pieces = self._kept(self.pieces, needed)
+        spelled = {c: self.find(c if c[:1] == "\n" else " " + c) for c in needed - self.pieces.keys()}
+        needed = set().union(*spelled.values(), *(w for w, _ in found))
+        self.words = self._kept(self.words, needed)
+        words = list(needed - self.words.keys())
         self.words.update(zip(words, self.replay.encode_words([w.encode() for w in words]), strict=True))
         word, piece = self.words.__getitem__, self.pieces.__getitem__
         for c, w in spelled.items():
