@@ -185,6 +185,26 @@ def test_toxicity_on_held_out_rows(spark, odd, nothing):
     assert toxicity.score(nothing, model).count() == 0
 
 
+def test_toxicity_keeps_every_five(spark):
+    import itertools
+
+    import xxhash
+
+    bucket = lambda w: xxhash.xxh64_intdigest(w, 42) >> 44
+    seen = {bucket(w): w for w in map("".join, itertools.product("abcdef", repeat=5))}
+    stranger = next(w for w in map("".join, itertools.product("stuvwx", repeat=5)) if bucket(w) in seen)
+    toxic = seen[bucket(stranger)]
+    frame = docs(spark, [f"{toxic} mnop"] * 40 + ["mnop ponm"] * 40)
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "doc_id long, y int")
+    model = toxicity.fit(frame, labels)
+    known, unseen, other = toxicity.word_ratios([toxic, stranger, "yyyyy"], model)[:, 0]
+    assert known > 0 and unseen == pytest.approx(other)  # a five reads its own ratio or the backoff
+    joined = toxicity.fit(frame, labels, held=0)
+    more = docs(spark, [toxic, stranger, f"{stranger} {toxic.upper()}  mnop mnop", None, "", toxic, "\u0130 \u00c9"], [0, 1, 2, 3, 4, None, 5])
+    a, b = (sorted((str(r["doc_id"]), round(r["score"], 5)) for r in toxicity.score(more, m).collect()) for m in (model, joined))
+    assert a == b and len(a) == 7
+
+
 def test_kneser_ney_sums_to_one(spark):
     texts = spark.createDataFrame([(1, "abra cadabra"), (0, "abra abba"), (0, "cab")], "y int, text string")
     grams = toxicity.count_grams(texts)

@@ -8,9 +8,10 @@ aggregates and joins over all training rows, and grow with them.
 
 For an unseen five after a seen context both models fall back on the same
 lower order, so their ratio depends on the context alone. The models therefore
-come down to the log ratio of each five and of each context. They are kept in
-two tables of 2 ** 20 buckets (4 MB each), a bound that no input exceeds; in
-the rare bucket that two share, the more frequent one is kept.
+come down to the log ratio of each five and of each context, all of them kept.
+Up to ``HELD`` of both together, tasks hold them by the 64-bit hash of their
+characters (12 bytes each); beyond, the distinct words of the texts are joined
+with them in Spark, and each text with its words, to the same ratios.
 
 A text is scored by the length-normalised log-likelihood ratio of the whole
 and the highest one of any window of a few words, so that one expression in a
@@ -38,7 +39,9 @@ from weftgraph.llm.common import cut, slices
 from weftgraph.llm.labelled import sample, with_texts
 from weftgraph.llm.words import WordValues
 
-ORDER, DISCOUNT, LOG2_BUCKETS, CALIBRATION = 5, 0.75, 20, 2000
+ORDER, DISCOUNT, CALIBRATION = 5, 0.75, 2000
+#: Fives and contexts that tasks hold (12 bytes each); more are joined.
+HELD = 6_000_000
 #: Counts that the shared backoff is worth after any context, so that few counts decide little.
 PRIOR = 4.0
 WINDOWS = (1, 4)  # words
@@ -50,10 +53,15 @@ def count_grams(texts: DataFrame) -> DataFrame:
     """(gram, toxic, ordinary): how often each run of five characters stands in either class's words, a word once a text; texts has (y, text)."""
     words = texts.select("y", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word")).where("word <> ''")
     words = words.groupBy("word").agg(F.sum("y").cast("double").alias("toxic"), F.sum(1 - F.col("y")).cast("double").alias("ordinary"))
+    grams = words.select(_fives().alias("gram"), "toxic", "ordinary")
+    return grams.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+
+def _fives() -> Column:
+    """A row for each run of five characters of a word and its ends."""
     padded = F.concat(F.lit(_START * (ORDER - 1)), "word", F.lit(_END))
     at = F.sequence(F.lit(1), F.char_length("word") + 1)
-    grams = words.select(F.explode(F.transform(at, lambda i: F.substring(padded, i, F.lit(ORDER)))).alias("gram"), "toxic", "ordinary")
-    return grams.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    return F.explode(F.transform(at, lambda i: F.substring(padded, i, F.lit(ORDER))))
 
 
 def _head(gram: str = "gram") -> Column:
@@ -81,41 +89,70 @@ def shared_backoff(grams: DataFrame) -> DataFrame:
 
 
 def log_ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(bucket, ratio) of the seen fives, and of the contexts where a five is unseen."""
+    """(gram, ratio) of the seen fives, and of the contexts where a five is unseen."""
     after = grams.groupBy(_head().alias("context")).agg(*(f(F.when(F.col(c) > 0, v)).alias(f"{n}_{c}") for c in ("toxic", "ordinary") for n, f, v in (("all", F.sum, F.col(c)), ("kinds", F.count, F.lit(1)))))
     after = after.fillna(0)
     rest = {c: (DISCOUNT * F.col(f"kinds_{c}") + PRIOR) / (F.col(f"all_{c}") + PRIOR) for c in ("toxic", "ordinary")}
     lower = shared_backoff(grams).withColumnRenamed("gram", "tail")
     seen = grams.withColumns({"context": _head(), "tail": _tail()}).join(after, "context").join(lower, "tail")
     p = {c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / (F.col(f"all_{c}") + PRIOR) + rest[c] * F.col("p") for c in ("toxic", "ordinary")}
-    count = F.col("toxic") + F.col("ordinary")
-    whole = F.col("all_toxic") + F.col("all_ordinary")
-    bucket = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - LOG2_BUCKETS).cast("int").alias("bucket")
-    fives = seen.select(bucket("gram"), F.log(p["toxic"] / p["ordinary"]).alias("r"), count.alias("n"))
-    contexts = after.select(bucket("context"), F.log(rest["toxic"] / rest["ordinary"]).alias("r"), whole.alias("n"))
-    most = F.max(F.struct("n", "r")).alias("m")
-    return tuple(x.groupBy("bucket").agg(most).select("bucket", F.col("m.r").cast("float").alias("ratio")) for x in (fives, contexts))
+    fives = seen.select("gram", F.log(p["toxic"] / p["ordinary"]).cast("float").alias("ratio"))
+    return fives, after.select(F.col("context").alias("gram"), F.log(rest["toxic"] / rest["ordinary"]).cast("float").alias("ratio"))
+
+
+@dataclass
+class Held:
+    keys: np.ndarray  # hashes of grams, ascending
+    ratios: np.ndarray
+
+    def get(self, keys: np.ndarray, other: np.ndarray | float) -> np.ndarray:
+        if not len(self.keys):
+            return np.broadcast_to(np.float32(other), keys.shape)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.ratios[at], other)
 
 
 @dataclass
 class Model:
-    fives: np.ndarray  # log ratio by bucket, NaN where no five is
-    contexts: np.ndarray  # zero where no context is
+    fives: Held | DataFrame  # log ratios of the seen ones
+    contexts: Held | DataFrame  # of a five that is unseen after them; zero after others
     weights: np.ndarray  # of the features, the constant last
 
 
+def _hold(ratios: DataFrame) -> Held:
+    got = ratios.select(F.xxhash64("gram").alias("key"), "ratio").toArrow()
+    keys, values = got["key"].to_numpy().view(np.uint64), got["ratio"].to_numpy()
+    order = np.argsort(keys)
+    return Held(keys[order], values[order])
+
+
+def ratio_model(grams: DataFrame, held: int = HELD) -> Model:
+    """The log ratios, without weights of the features."""
+    found = [cut(x) for x in log_ratios(grams)]
+    if sum(x.count() for x in found) <= held:
+        found = [_hold(x) for x in found]
+    return Model(*found, np.zeros(N_FEATURES + 1))
+
+
 def word_ratios(words: list[str], model: Model) -> np.ndarray:
-    """(log ratio, characters) of each word, its end included."""
-    h64, shift = xxhash.xxh64_intdigest, 64 - LOG2_BUCKETS
+    """(log ratio, characters) of each word, its end included, by a model that is held."""
+    h64 = xxhash.xxh64_intdigest
     sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
     padded = [f"{_START * (ORDER - 1)}{w}{_END}" for w in words]
-    grams = np.fromiter((h64(p[i : i + ORDER], 42) >> shift for p, n in zip(padded, sizes.tolist(), strict=True) for i in range(n)), np.int64, int(sizes.sum()))
-    heads = np.fromiter((h64(p[i : i + ORDER - 1], 42) >> shift for p, n in zip(padded, sizes.tolist(), strict=True) for i in range(n)), np.int64, int(sizes.sum()))
-    ratio = model.fives[grams]
-    ratio = np.where(np.isnan(ratio), model.contexts[heads], ratio)
+    grams = np.fromiter((h64(p[i : i + ORDER], 42) for p, n in zip(padded, sizes.tolist(), strict=True) for i in range(n)), np.uint64, int(sizes.sum()))
+    heads = np.fromiter((h64(p[i : i + ORDER - 1], 42) for p, n in zip(padded, sizes.tolist(), strict=True) for i in range(n)), np.uint64, int(sizes.sum()))
+    ratio = model.fives.get(grams, model.contexts.get(heads, 0.0))
     return np.stack([np.bincount(np.repeat(np.arange(len(words)), sizes), ratio, len(words)), sizes.astype(float)], axis=1)
 
 
+def joined_word_ratios(words: DataFrame, model: Model) -> DataFrame:
+    """(word, ratio, size) of each of the distinct words, by a model that is joined."""
+    fives, contexts = model.fives.withColumnRenamed("ratio", "own"), model.contexts.select(F.col("gram").alias("head"), F.col("ratio").alias("after"))
+    grams = words.select("word", _fives().alias("gram")).withColumn("head", _head()).join(fives, "gram", "left").join(contexts, "head", "left")
+    ratio = F.coalesce("own", "after", F.lit(0.0)).cast("double")
+    return grams.groupBy("word").agg(F.sum(ratio).alias("ratio"), F.count("*").cast("double").alias("size"))
+
+
 def features(rows: np.ndarray) -> list[float]:
     """Mean log ratio a character over the whole text and over its highest windows, the highest of a word, and the log of its words."""
     if not len(rows):
@@ -134,23 +171,53 @@ _worker: dict = {}
 
 def measure(docs: DataFrame, model: Model, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
     """The ``keep`` columns, features, and score by the model's weights."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, hash((model.fives.tobytes(), model.contexts.tobytes()))))
+    held = isinstance(model.fives, Held)
+    at, weights = len(keep), model.weights
+    rows = docs.select(*keep, F.col(text_col).alias("measured text"))
+    if held:
+        shared = docs.sparkSession.sparkContext.broadcast((model, hash(tuple(x.tobytes() for t in (model.fives, model.contexts) for x in (t.keys, t.ratios)))))
+    else:
+        rows = _with_ratios(rows, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, key = shared.value
-        if _worker.get("key") != key:
-            _worker.update(key=key, words=WordValues(lambda words: word_ratios(words, m)))
+        if held:
+            m, key = shared.value
+            if _worker.get("key") != key:
+                _worker.update(key=key, words=WordValues(lambda words: word_ratios(words, m)))
         for batch in batches:
             found = []
-            for part in slices(batch, len(keep)):
-                texts = [(t or "").lower().split() for t in part.column(len(keep)).to_pylist()]
-                found += [features(rows) for rows in _worker["words"].look_up(texts)]
+            for part in slices(batch, at):
+                texts = [(t or "").lower().split() for t in part.column(at).to_pylist()]
+                if held:
+                    found += [features(rows) for rows in _worker["words"].look_up(texts)]
+                    continue
+                for words, of in zip(texts, part.column(at + 1), strict=True):
+                    ratio = {w["word"]: (w["ratio"], w["size"]) for w in of.as_py() or ()}
+                    found.append(features(np.array([ratio[w] for w in words]).reshape(-1, 2)))
             x = np.array(found, dtype=float).reshape(len(found), N_FEATURES)
-            p = 1 / (1 + np.exp(-(x @ m.weights[:-1] + m.weights[-1])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(list(x), pa.list_(pa.float64())), pa.array(p)], [*keep, "features", "score"])
+            p = 1 / (1 + np.exp(-(x @ weights[:-1] + weights[-1])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(list(x), pa.list_(pa.float64())), pa.array(p)], [*keep, "features", "score"])
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*keep, F.col(text_col).alias("measured text")).mapInArrow(run, f"{kinds}features array<double>, score double")
+    return rows.mapInArrow(run, f"{kinds}features array<double>, score double")
+
+
+def _with_ratios(rows: DataFrame, model: Model) -> DataFrame:
+    """The rows with (word, ratio, size) of each word of their text."""
+    rows = rows.withColumns({"measured 1": F.xxhash64("measured text"), "measured 2": F.xxhash64(F.lit("again"), "measured text")})
+    key = ["measured 1", "measured 2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2):
+                words = [list(set((t or "").lower().split())) for t in part.column(2).to_pylist()]
+                row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array([w for t in words for w in t], pa.string())], [*key, "word"])
+
+    pairs = rows.select(*key, "measured text").mapInArrow(run, "`measured 1` long, `measured 2` long, word string").distinct()
+    known = joined_word_ratios(pairs.select("word").distinct(), model)
+    of = pairs.join(known, "word").groupBy(*key).agg(F.collect_list(F.struct("word", "ratio", "size")).alias("measured words"))
+    return rows.join(of, key, "left").drop(*key)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, share: float, penalty: float = 1e-2) -> np.ndarray:
@@ -169,16 +236,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, share: float, penalty: float = 1e-2)
     return np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum())
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> Model:
     """``labels`` has (id, y). A quarter of them, by the hash of the id, serves to calibrate; all others are counted."""
     labels = cut(labels)
     kept_out = F.pmod(F.xxhash64(F.lit("calibrate"), F.col(id_col)), F.lit(4)) == 0
-    grams = cut(count_grams(with_texts(docs, labels.where(~kept_out), id_col, text_col)))
-    size = 1 << LOG2_BUCKETS
-    model = Model(np.full(size, np.nan, np.float32), np.zeros(size, np.float32), np.zeros(N_FEATURES + 1))
-    for table, rows in zip((model.fives, model.contexts), log_ratios(grams), strict=True):
-        got = rows.toArrow()  # one row a bucket at most
-        table[got["bucket"].to_numpy()] = got["ratio"].to_numpy()
+    model = ratio_model(cut(count_grams(with_texts(docs, labels.where(~kept_out), id_col, text_col))), held)
     chosen = with_texts(docs, sample(labels.where(kept_out), CALIBRATION, "toxicity", id_col), id_col, text_col)
     rows = measure(chosen, model, ("y",)).select("y", "features").toArrow()
     y = rows["y"].to_numpy()
