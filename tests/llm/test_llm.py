@@ -205,6 +205,15 @@ def test_toxicity_keeps_every_five(spark):
     assert a == b and len(a) == 7
 
 
+def test_toxicity_counts_the_calibration_rows(spark):
+    ids = [(r["id"], r["q"]) for r in spark.range(80).select("id", (F.pmod(F.xxhash64(F.lit("calibrate"), "id"), F.lit(4)) == 0).alias("q")).orderBy("id").collect()]
+    toxic = [i % 2 == 0 for i, _ in ids]
+    frame = docs(spark, [("quxzy mnop" if q else "blarg mnop") if y else "mnop ponm" for (_, q), y in zip(ids, toxic, strict=True)])
+    model = toxicity.fit(frame, spark.createDataFrame([(i, int(y)) for (i, _), y in zip(ids, toxic, strict=True)], "doc_id long, y int"))
+    only, strange = toxicity.word_ratios(["quxzy", "yyyyy"], model)[:, 0]  # quxzy stands in the quarter that calibrates only
+    assert only > strange + 1
+
+
 def test_kneser_ney_sums_to_one(spark):
     texts = spark.createDataFrame([(1, "abra cadabra"), (0, "abra abba"), (0, "cab")], "y int, text string")
     grams = toxicity.count_grams(texts)

@@ -15,9 +15,9 @@ with them in Spark, and each text with its words, to the same ratios.
 
 A text is scored by the length-normalised log-likelihood ratio of the whole
 and the highest one of any window of a few words, so that one expression in a
-long text is not averaged away. A logistic function, fitted on labelled rows
-kept out of the counts (``CALIBRATION`` of either label at most), turns them
-into a score.
+long text is not averaged away. A logistic function turns them into a score.
+It is fitted on a quarter of the labelled rows (``CALIBRATION`` of either label
+at most), measured by counts without these; they are counted afterwards.
 
 An empty or null text has ratio zero. Null or repeated ids are scored row by
 row. Without labels of both kinds all ratios are zero and the score is that of
@@ -237,11 +237,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, share: float, penalty: float = 1e-2)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> Model:
-    """``labels`` has (id, y). A quarter of them, by the hash of the id, serves to calibrate; all others are counted."""
+    """``labels`` has (id, y), all of them counted in the end. Some of a quarter, by the hash of the id, serve to calibrate."""
     labels = cut(labels)
-    kept_out = F.pmod(F.xxhash64(F.lit("calibrate"), F.col(id_col)), F.lit(4)) == 0
-    model = ratio_model(cut(count_grams(with_texts(docs, labels.where(~kept_out), id_col, text_col))), held)
-    chosen = with_texts(docs, sample(labels.where(kept_out), CALIBRATION, "toxicity", id_col), id_col, text_col)
+    quarter = F.pmod(F.xxhash64(F.lit("calibrate"), F.col(id_col)), F.lit(4)) == 0
+    kept_out = cut(sample(labels.where(quarter), CALIBRATION, "toxicity", id_col))
+    rest = labels.join(F.broadcast(kept_out.select(id_col)), id_col, "left_anti")
+    chosen = cut(with_texts(docs, kept_out, id_col, text_col))
+    grams = cut(count_grams(with_texts(docs, rest, id_col, text_col)))
+    model = ratio_model(grams, held)
     rows = measure(chosen, model, ("y",)).select("y", "features").toArrow()
     y = rows["y"].to_numpy()
     if len(set(y.tolist())) < 2:
@@ -249,7 +252,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     else:
         share = labels.agg(F.avg("y")).first()[0]
         model.weights = _logistic(np.array(rows["features"].to_pylist()), y, share)
-    return model
+    every = grams.unionByName(count_grams(chosen)).groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    whole = ratio_model(cut(every), held)
+    whole.weights = model.weights
+    return whole
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
