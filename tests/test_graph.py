@@ -87,6 +87,18 @@ def test_grown_parts_are_even(spark):
     assert sum(sizes) == 34 and max(sizes) - min(sizes) <= 1
 
 
+def test_swap_loop_ends_by_its_stop_rule(spark, monkeypatch):
+    from weftgraph import queries
+
+    graph, swaps, choose = karate(spark), [], partitioning.choose_swap
+    monkeypatch.setattr(queries, "co_located", lambda spark, sf_dir: (graph, partitioning.chunk_parts(graph.nodes, 4)))
+    monkeypatch.setattr(partitioning, "choose_swap", lambda *a, **b: swaps.append(1) or choose(*a, **b))
+    assert queries.QUERIES["swap_loop"](spark, "").count() == 34
+    assert len(swaps) > 10 and len(swaps) % 10 == 1  # a check that compares two rates
+    with pytest.warns(UserWarning, match="max_iter=1"):
+        partitioning.refine(graph, partitioning.chunk_parts(graph.nodes, 4), max_iter=1)
+
+
 def test_swap_golden_steps(spark):
     graph = simple_graph(spark).symmetrised()
     parts = partitioning.chunk_parts(graph.nodes, 2)

@@ -290,12 +290,12 @@ def swap_one_step(spark, sf_dir):
 @query
 def swap_loop(spark, sf_dir):
     graph, parts = co_located(spark, sf_dir)
-    return partitioning.refine(graph, parts, max_iter=3)
+    return partitioning.refine(graph, parts)
 
 
 @query
 def grown_partition(spark, sf_dir):
-    return partitioning.grown_parts(part_supplier(spark, sf_dir), K, rounds=2)
+    return partitioning.grown_parts(part_supplier(spark, sf_dir), K)
 
 
 @query
