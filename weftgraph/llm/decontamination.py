@@ -5,18 +5,26 @@ substituted token under an ignored position does not hide a copy. Test and
 training texts are hashed with the same masks. A Bloom filter of the test
 hashes, whose size is bounded, drops most training hashes where they are made;
 the rest are joined with the test hashes exactly. Each hit names a test item
-and a diagonal; along it the tokens are compared: the whole item, most of
-which must be equal, or else the best stretch that tolerates substitutions.
-
-Tokens are maximal runs of letters and digits in the lower-cased text. Items
-with fewer tokens than the narrowest mask cannot be told from chance and are
-never reported. Null and empty texts have no tokens. Rows equal in id and text
-give one result; rows with a null id give results with a null id. Extra
+and a diagonal; along the whole of it the tokens are compared: the whole item,
+most of which must be equal, or else the best stretch that tolerates
+substitutions.
+
+What is found: items of eight tokens or more of which four fifths are equal in
+place, and stretches of 12 equal tokens, a substitution costing three. Items
+of four to seven tokens are found where they stand unchanged, and items of
+fewer where they are all of a document.
+
+Tokens are maximal runs of letters and digits in the lower-cased text; signs
+of scripts without spaces are tokens of their own. Null and empty texts have
+no tokens; very long texts are read whole, and of a text that holds an item
+twice the longer overlap counts, of equal ones the first. Rows equal in id and
+text give one result; rows with a null id give results with a null id. Extra
 columns are ignored; an empty table of either kind gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -26,12 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import cut, slices
+from weftgraph.llm.common import cut, join_unique, slices
 
-#: Selected positions of each mask, eight of eight to twelve.
-MASKS = ("11111111", "1110110111", "11011001111", "110100110111")
-#: Tokens kept on either side of a hit, for the comparison.
-MARGIN = 48
+#: Selected positions of each mask, six of six to nine. Of ten tokens with any two substituted, one mask or another has its six.
+MASKS = ("111111", "1110111", "1011111", "11011011", "110110101", "111000111")
+#: Items with fewer tokens are compared for equality only, and with fewer still, with whole documents only.
+MIN_MASKED, MIN_INSIDE = 8, 4
 #: A stretch is reported from so many equal tokens on (or all of a shorter item).
 MIN_TOKENS = 12
 #: What an unequal token costs a stretch, in equal tokens.
@@ -46,6 +54,8 @@ BROADCAST_ROWS = 500_000
 MAX_BLOOM_LOG2, PROBES = 27, 4
 
 _CLEAN = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
+_MARKS = re.compile("[\x80-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\u2000-\u206f\u20a0-\u20bf\u2190-\u2bff\u3000-\u3004\u3008-\u3020\ufe30-\ufe4f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3021-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _MULTIPLIERS = np.array([xxhash.xxh64_intdigest(bytes([k]), 7) | 1 for k in range(16)], dtype=np.uint64)
 
 
@@ -65,7 +75,12 @@ def token_hashes(text: str | None) -> np.ndarray:
 
 
 def _words(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().translate(_CLEAN).split()
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _MARKS.sub(" ", text)
+        if _UNSPACED.search(text):
+            text = _UNSPACED.sub(r" \g<0> ", text)
+    return text.encode().translate(_CLEAN).split()
 
 
 def _hashed(texts: list[list[bytes]]) -> np.ndarray:
@@ -75,18 +90,23 @@ def _hashed(texts: list[list[bytes]]) -> np.ndarray:
     return np.fromiter(map(_tokens.__getitem__, chain.from_iterable(texts)), np.uint64, sum(map(len, texts)))
 
 
-def seeds(tokens: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(width, hash at each position) for every mask that fits the tokens."""
-    mixed = [tokens * m for m in _MULTIPLIERS[: MASKS[0].count("1")]]
-    for number, mask in enumerate(MASKS):
+def seeds(tokens: np.ndarray, masks: dict[int, str]) -> Iterator[tuple[int, str, np.ndarray]]:
+    """(number, mask, hash at each position) for every numbered mask that fits the tokens."""
+    mixed = [tokens * m for m in _MULTIPLIERS[: max((m.count("1") for m in masks.values()), default=0)]]
+    for number, mask in masks.items():
         n = len(tokens) - len(mask) + 1
         if n > 0:
             h = np.full(n, number + 1, np.uint64)
-            for part, at in zip(mixed, (i for i, c in enumerate(mask) if c == "1"), strict=True):
+            for part, at in zip(mixed, (i for i, c in enumerate(mask) if c == "1"), strict=False):
                 h += part[at : at + n]
             h ^= h >> np.uint64(32)
             h *= _MULTIPLIERS[15]
-            yield len(mask), h
+            yield number, mask, h
+
+
+def masks_for(n: int) -> dict[int, str]:
+    """The masks of an item with so many tokens: the spaced ones, or one of all its tokens."""
+    return dict(enumerate(MASKS)) if n >= MIN_MASKED else {100 + n: "1" * n} if n else {}
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
@@ -104,7 +124,7 @@ def test_seeds(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
     def run(batches):
         for batch in batches:
             toks = [token_hashes(t) for t in batch.column(1).to_pylist()]
-            rows = [[{"pos": p, "h": h} for _, hs in seeds(t) for p, h in enumerate(hs.view(np.int64).tolist())] for t in toks]
+            rows = [[{"pos": p, "h": h} for _, _, hs in seeds(t, masks_for(len(t))) for p, h in enumerate(hs.view(np.int64).tolist())] for t in toks]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.view(np.int64) for t in toks], pa.list_(pa.int64())), pa.array(rows, pa.list_(pa.struct([("pos", pa.int32()), ("h", pa.int64())])))], ["item", "tokens", "seeds"])
 
     kind = benchmark.schema[item_col].dataType.simpleString()
@@ -139,6 +159,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hashes = tests.select("item", F.explode("seeds").alias("s")).select("item", "s.pos", "s.h")
     n = hashes.count()
     bloom = spark.sparkContext.broadcast(_bloom(hashes, n))
+    sizes = [r["n"] for r in tests.select(F.least(F.size("tokens"), F.lit(MIN_MASKED)).alias("n")).distinct().collect()]  # eight at most
+    masks = {k: m for size in sizes for k, m in masks_for(size).items()}
+    margin = tests.agg(F.max(F.size("tokens"))).first()[0] or 0  # so that a hit's tokens hold the whole of any item around it
 
     def regions(batches):
         for batch in batches:
@@ -146,33 +169,42 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for part in slices(batch, 1, SLICE_BYTES):  # texts end to end, so that few array operations serve many
                 begin, behind = behind, behind + len(part)
                 words = [_words(t) for t in part.column(1).to_pylist()]
-                ends = np.cumsum([len(w) for w in words])
+                sizes = np.array([len(w) for w in words])
+                ends = np.cumsum(sizes)
                 toks = _hashed(words)
-                hits = [(p, hs[p], p + width) for width, hs in seeds(toks) for p in [_may_hold(bloom.value, hs)]]
+                hits = []
+                for number, mask, hs in seeds(toks, masks):
+                    p = _may_hold(bloom.value, hs)
+                    d = np.searchsorted(ends, p, side="right")
+                    inside = p + len(mask) <= ends[d]
+                    if number >= 100 and len(mask) < MIN_INSIDE:
+                        inside &= sizes[d] == len(mask)
+                    hits.append((p[inside], hs[p[inside]], d[inside]))
                 if not sum(len(p) for p, _, _ in hits):
                     continue
-                at, h, to = (np.concatenate(x) for x in zip(*hits, strict=True))
-                doc = np.searchsorted(ends, at, side="right")
-                inside = to <= ends[doc]
-                order = np.argsort(at[inside], kind="stable")
-                at, h, doc = (x[inside][order] for x in (at, h, doc))
-                breaks = np.flatnonzero((np.diff(at) > 2 * MARGIN) | (np.diff(doc) > 0)) + 1
-                for run in np.split(np.arange(len(at)), breaks) if len(at) else []:
+                at, h, doc = (np.concatenate(x) for x in zip(*hits, strict=True))
+                order = np.argsort(at, kind="stable")
+                at, h, doc = at[order], h[order], doc[order]
+                breaks = np.flatnonzero((np.diff(at) > 2 * margin) | (np.diff(doc) > 0)) + 1
+                for run in np.split(np.arange(len(at)), breaks):
                     d = int(doc[run[0]])
-                    start = int(ends[d]) - len(words[d])
-                    lo = max(start, int(at[run[0]]) - MARGIN)
-                    own = toks[lo : min(int(ends[d]), int(at[run[-1]]) + len(MASKS[-1]) + MARGIN)]
+                    start = int(ends[d] - sizes[d])
+                    lo = max(start, int(at[run[0]]) - margin)
+                    own = toks[lo : min(int(ends[d]), int(at[run[-1]]) + margin)]
                     found.append((begin + d, lo - start, own.view(np.int64), [{"pos": p, "h": x} for p, x in zip((at[run] - start).tolist(), h[run].view(np.int64).tolist(), strict=True)]))
             rows, lo, own, hit = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(lo, pa.int32()), pa.array(own, pa.list_(pa.int64())), pa.array(hit, pa.list_(pa.struct([("pos", pa.int32()), ("h", pa.int64())])))], ["id", "lo", "tokens", "hits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     found = docs.select(id_col, F.col(text_col)).mapInArrow(regions, f"id {kind}, lo int, tokens array<long>, hits array<struct<pos:int,h:long>>")
-    found = cut(found.withColumn("region", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("null")), "lo", "tokens")))
+    key = F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("lo"), F.col("tokens")
+    found = cut(found.withColumn("region", F.struct(F.xxhash64(*key).alias("a"), F.xxhash64(F.lit("again"), *key).alias("b"))))
 
     held = (lambda df: F.broadcast(df)) if n <= BROADCAST_ROWS else (lambda df: df)  # the items' tokens are fewer than their hashes
     hits = found.select("region", F.explode("hits").alias("s")).select("region", F.col("s.pos").alias("at"), "s.h")
-    lines = hits.join(held(hashes), "h").select("region", "item", (F.col("at") - F.col("pos")).alias("diagonal")).distinct()
+    places = hashes.groupBy("h").agg(F.collect_list(F.struct("item", "pos")).alias("places"))
+    met = hits.join(F.broadcast(places), "h") if n <= BROADCAST_ROWS else join_unique(hits, cut(places), ["h"])
+    lines = met.select("region", "at", F.explode("places").alias("p")).select("region", "p.item", (F.col("at") - F.col("p.pos")).alias("diagonal")).distinct()
     apart = found.select("region", "id", "lo", "tokens").dropDuplicates(["region"])
     both = lines.join(apart, "region").join(held(tests.select("item", F.col("tokens").alias("test"))), "item")
 
@@ -184,9 +216,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 first, last = max(lo, diagonal, 0), min(lo + len(own), diagonal + len(test))
                 equal = own[first - lo : last - lo] == test[first - diagonal : last - diagonal]
                 start, length, matched = best_stretch(equal)
-                if equal.sum() >= max(8, WHOLE_SHARE * len(test)):
+                if equal.sum() >= (max(MIN_MASKED, WHOLE_SHARE * len(test)) if len(test) >= MIN_MASKED else len(test)):
                     start, length, matched = 0, len(equal), int(equal.sum())
-                elif matched < min(MIN_TOKENS, len(test)):
+                elif matched < MIN_TOKENS:
                     out.append((None,) * 4)
                     continue
                 out.append((first + start, first - diagonal + start, length, matched))

@@ -85,9 +85,9 @@ def assign(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, id_col
     served = _serve(cells.groupBy("point").agg(F.sum("n").alias("n")).join(F.broadcast(points), "point"), shards)
     taken = served.groupBy("point").agg(F.collect_list(F.struct("lo", "hi", "shard", "slot")).alias("taken"))
     below = F.sum("n").over(Window.partitionBy("point").orderBy("cell")) - F.col("n")
-    places = cells.select("cell", "point", below.alias("below")).join(taken, "point").select("cell", "below", "taken")
+    places = cells.select("cell", "point", below.alias("below"))  # 65,536 rows at most
     own = F.row_number().over(Window.partitionBy("cell").orderBy("hash", "id", "crc", "size")) - 1
-    ranked = rows.withColumn("own", own).join(F.broadcast(places), "cell").withColumn("rank", F.col("below") + F.col("own"))
+    ranked = rows.withColumn("own", own).join(F.broadcast(places), "cell").join(F.broadcast(taken), "point").withColumn("rank", F.col("below") + F.col("own"))
     hit = F.get(F.filter("taken", lambda t: (F.col("rank") >= t["lo"]) & (F.col("rank") < t["hi"])), F.lit(0))
     placed = ranked.select("id", "size", "crc", "rank", hit.alias("t"))
     return placed.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.col("t.shard").alias("shard"), (F.col("t.slot") + F.col("rank") - F.col("t.lo")).alias("slot"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import cut
+from weftgraph.llm.common import cut, hot_keys, join_unique
 from weftgraph.llm.components import components
 
 BITS, QUARTER, BUDGET = 64, 16, 3
@@ -235,8 +235,9 @@ def _split(nodes: DataFrame, depth: int, budget: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) for every row; component_id is the least id among the rows linked with it."""
     marked = cut(fingerprints(docs, id_col=id_col, text_col=text_col))
-    distinct = marked.groupBy("fp").agg(F.min(id_col).alias("least"))
+    distinct = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")))
     roots = components(links(distinct, budget)).withColumnRenamed("node", "fp")
     named = cut(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(named.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    least = cut(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    of = cut(join_unique(named.select("fp", "root"), least.select("root", "component_id"), ["root"], hot=hot_keys(least, ["root"])).select("fp", "component_id"))
+    return join_unique(marked, of, ["fp"], hot=hot_keys(distinct, ["fp"])).select(id_col, "fp", "component_id")

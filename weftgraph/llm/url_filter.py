@@ -3,22 +3,26 @@
 A url is looked up by its canonical form and by the root of its host and of
 every parent host with two labels or more; the list holds canonical URLs of
 pages or of whole sites. One 64-bit word of the filter answers for a key, with
-four bits set in it, so a lookup is one equi-join with a table of words whose
-number is bounded; possible hits go to an exact hash join with the list, which
-drops the false positives. Urls are distinct in all this, so a hot host or
-repeated page costs one lookup.
+four bits set in it. The words, whose number is bounded, are an array that
+the scan of the pages tests in place; only urls that may be listed go on, each
+once, to an exact hash join with the list, which drops the false positives.
+Where a url stands on very many pages, its verdict is joined back by broadcast.
 
 A null url, or one without ``://``, has empty host and path, fits no rule and
-is never listed. Repeated and null ids are judged row by row; extra columns
-are ignored; an empty table or list is fine.
+is never listed. Of rules that fit, the longest wins, and of equally long ones
+the last in the alphabet. Repeated and null ids are judged row by row, urls of
+any length whole; extra columns are ignored; an empty table or list is fine.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import cut
+from weftgraph.llm.common import cut, join_unique
 
 #: Words of the Bloom filter: one for four listed URLs, and this many (8 MB) at most.
 MAX_WORDS = 1 << 20
@@ -53,33 +57,69 @@ def lookup_keys(url: Column) -> Column:
     return F.array_distinct(F.concat(F.array(canonical(url)), parents))
 
 
-def _word(key: Column, words: int) -> tuple[Column, Column]:
-    """(word, mask) of a key in the filter."""
-    h = F.xxhash64(key)
-    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 6 * k).bitwiseAND(63).cast("int"))
+def _bloom(exact: DataFrame, words: int) -> np.ndarray:
+    """The words of the filter, whose number is bounded; a key's word and bits come from its 64-bit hash."""
+    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned("h", 6 * k).bitwiseAND(63).cast("int"))
     mask = one(0)
     for k in range(1, BITS):
         mask = mask.bitwiseOR(one(k))
-    return F.shiftrightunsigned(h, 32).bitwiseAND(words - 1), mask
+    rows = exact.select(F.xxhash64("key").alias("h")).select(F.shiftrightunsigned("h", 32).bitwiseAND(words - 1).alias("word"), mask.alias("mask"))
+    found = rows.groupBy("word").agg(F.bit_or("mask").alias("bits")).toArrow()
+    out = np.zeros(words, np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
 
 
-def listed_urls(urls: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFrame:
+def _passes(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    mask = np.zeros(len(h), np.uint64)
+    for k in range(BITS):
+        mask |= np.uint64(1) << (h >> np.uint64(6 * k) & np.uint64(63))
+    return words[h >> np.uint64(32) & np.uint64(len(words) - 1)] & mask == mask
+
+
+class Listed:
+    """A list of canonical URLs, in its column ``url``: its filter, and itself for the exact join."""
+
+    def __init__(self, listed: DataFrame, max_words: int = MAX_WORDS):
+        self.exact = cut(listed.select(F.col("url").alias("key")).where("key is not null").distinct())
+        self.n = self.exact.count()
+        self.shared = listed.sparkSession.sparkContext.broadcast(_bloom(self.exact, min(max_words, 1 << max(6, (self.n // 4).bit_length()))))
+
+    def may_hold(self, url: Column) -> Column:
+        """Whether a key of the url passes the filter."""
+        shared = self.shared
+
+        def run(hashes: pa.Array) -> pa.Array:
+            hits = np.concatenate(([0], np.cumsum(_passes(hashes.flatten().to_numpy().view(np.uint64), shared.value))))
+            ends = np.cumsum(pc.list_value_length(hashes).to_numpy())
+            return pa.array(hits[ends] > hits[np.concatenate(([0], ends[:-1]))] if len(ends) else [], pa.bool_())
+
+        keys = F.when(url.contains("://"), F.transform(lookup_keys(url), lambda k: F.xxhash64(k))).otherwise(F.array().cast("array<bigint>"))
+        return F.arrow_udf(run, "boolean")(F.coalesce(keys, F.array().cast("array<bigint>")))
+
+    def holding(self, urls: DataFrame) -> DataFrame:
+        """The distinct urls of those in ``urls`` that are listed."""
+        looked = urls.select("url").distinct().select("url", F.explode(lookup_keys(F.col("url"))).alias("key"))
+        return looked.join(F.broadcast(self.exact) if self.n <= BROADCAST_URLS else self.exact, "key", "left_semi").select("url").distinct()
+
+
+def listed_urls(urls: DataFrame, listed: DataFrame, url_col: str = "url", max_words: int = MAX_WORDS) -> DataFrame:
     """The distinct urls that are listed; ``listed`` has canonical URLs in its column ``url``."""
-    exact = cut(listed.select(F.col("url").alias("key")).where("key is not null").distinct())
-    n = exact.count()
-    words = min(MAX_WORDS, 1 << max(6, (n // 4).bit_length()))
-    word, mask = _word(F.col("key"), words)
-    bloom = exact.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
-    looked = urls.select(F.col(url_col).alias("url")).where(F.col("url").contains("://")).distinct()
-    looked = looked.select("url", F.explode(lookup_keys(F.col("url"))).alias("key")).withColumns({"word": word, "mask": mask})
-    possible = looked.join(F.broadcast(bloom), "word").where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))
-    return possible.join(F.broadcast(exact) if n <= BROADCAST_URLS else exact, "key", "left_semi").select("url").distinct()
+    known = Listed(listed, max_words)
+    rows = urls.select(F.col(url_col).alias("url"))
+    return known.holding(rows.where(known.may_hold(F.col("url"))))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, listed, verdict); rules are (block or allow, host/path), and the longest that fits wins over the list."""
-    host, path = host_and_path(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
+    known = Listed(listed)
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
+    maybe = cut(rows.where(known.may_hold(F.col("url"))))
+    found = cut(known.holding(maybe))
+    hits = join_unique(maybe, found.withColumn("listed", F.lit(True)), ["url"], "left").select("id", "url", F.coalesce("listed", F.lit(False)).alias("listed"))
+    rows = rows.where(~known.may_hold(F.col("url"))).withColumn("listed", F.lit(False)).unionByName(hits)
+    host, path = host_and_path(F.col("url"))
+    rows = rows.select("id", "listed", host.alias("host"), path.alias("path"))
     rule = F.lit(None).cast("string")
     verdict = F.lit(None).cast("string")
     for action, text in sorted(rules, key=lambda r: (len(r[1]), r[1])):  # the longest is tried first, being outermost
@@ -87,6 +127,4 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFrame, id_
         site = F.lit(text[:at])
         fits = ((F.col("host") == site) | F.col("host").endswith(F.concat(F.lit("."), site))) & F.col("path").startswith(text[at:])
         rule, verdict = F.when(fits, text).otherwise(rule), F.when(fits, action).otherwise(verdict)
-    found = listed_urls(pages, listed, url_col).withColumn("hit", F.lit(True))
-    rows = rows.join(found, "url", "left").withColumn("listed", F.coalesce("hit", F.lit(False)))
     return rows.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), "listed", F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
