@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.common import cut, table
+from weftgraph.common import cut, new_folder, table
 from weftgraph.functions import activations, losses
 from weftgraph.functions.scaling import standard_scale
 from weftgraph.graph import Graph, fill_missing, gather, masks_by_position, num_classes, num_nodes, scatter
@@ -567,7 +566,7 @@ def throughput_metrics(spark, sf_dir):
 @query
 def text_roundtrip(spark, sf_dir):
     """Edges written as an adjacency file and read back."""
-    folder = _folder(spark)
+    folder = new_folder(spark, "files")
     graph = part_supplier(spark, sf_dir)
     text.write_adjacency(graph, f"{folder}/graph")
     return text.read_adjacency(spark, f"{folder}/graph")[1]
@@ -575,14 +574,14 @@ def text_roundtrip(spark, sf_dir):
 
 @query
 def assignment_roundtrip(spark, sf_dir):
-    folder = _folder(spark)
+    folder = new_folder(spark, "files")
     text.write_assignment(chunked(spark, sf_dir)[1], f"{folder}/parts")
     return text.read_assignment(spark, f"{folder}/parts")
 
 
 @query
 def edge_list_roundtrip(spark, sf_dir):
-    folder = _folder(spark)
+    folder = new_folder(spark, "files")
     part_supplier(spark, sf_dir).edges.select(F.concat_ws(" ", "src", "dst")).write.text(f"{folder}/edges.txt")
     return text.cached_edges(spark, f"{folder}/edges.txt", f"{folder}/edges.parquet")
 
@@ -590,22 +589,15 @@ def edge_list_roundtrip(spark, sf_dir):
 @query
 def part_files_roundtrip(spark, sf_dir):
     """The nodes of part 1, its own and its halo, from the written parts."""
-    folder = _folder(spark)
+    folder = new_folder(spark, "files")
     sinks.materialise(*co_located(spark, sf_dir), f"{folder}/parts")
     return sinks.load_part(spark, f"{folder}/parts", 1).nodes.select("node_id", "owner_part", "is_local")
 
 
 @query
 def checkpoint_roundtrip(spark, sf_dir):
-    folder = _folder(spark)
+    folder = new_folder(spark, "files")
     params = [sage_params(WIDTH, HIDDEN, 0), sage_params(HIDDEN, CLASSES, 3)]
     sinks.save_checkpoint(spark, f"{folder}/params", params)
     found, _ = sinks.load_checkpoint(spark, f"{folder}/params", [{n: m.shape for n, m in p.items()} for p in params])
     return sinks.params_frame(spark, found).select("layer", "name", "i", "j", "value")
-
-
-def _folder(spark) -> str:
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/files-{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix="weftgraph-")
