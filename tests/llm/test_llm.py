@@ -286,13 +286,19 @@ def test_banded_edit_distance():
             assert line_dedup.edit_distance_within(a, b, k) == (d if d <= k else None)
 
 
+def one_stretch(x, y):
+    """Whether a twenty-fifth of the longer one, in one place, makes the difference."""
+    rest = max(len(x), len(y)) - max(len(x), len(y)) // 25
+    return any(x[:i] == y[:i] and (i == rest or x[-(rest - i) :] == y[-(rest - i) :]) for i in range(rest + 1) if max(i, rest - i) <= min(len(x), len(y)))
+
+
 def brute_dedup(rows, k, min_chars):
     """rows: (doc_id, text) with distinct ids; the kept text of each."""
     lines = [((i if i is not None else 2**63 - 1, no), x) for i, t in rows if t is not None for no, x in enumerate(t.split("\n")) if x.strip(" \t\r\x0b\x0c")]
     first = {}
     for at, x in sorted(lines):
         first.setdefault(x, at)
-    near = {x for x in first for y in first if x != y and first[y] < first[x] and min(len(x), len(y)) >= min_chars and abs(len(x) - len(y)) <= k and edits(x, y) <= k}
+    near = {x for x in first for y in first if x != y and first[y] < first[x] and min(len(x), len(y)) >= min_chars and (one_stretch(x, y) or abs(len(x) - len(y)) <= k and edits(x, y) <= k)}
     kept = {}
     for i, t in rows:
         key = i if i is not None else 2**63 - 1
@@ -305,10 +311,13 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, k, hot):
     monkeypatch.setattr(line_dedup, "HOT_KEY", hot)
     monkeypatch.setattr(line_dedup, "BLOCK", 4)
     rng = random.Random(k)
-    base = [prose(rng, rng.randint(3, 8)) for _ in range(12)]
+    base = [prose(rng, rng.randint(3, 8)) for _ in range(12)] + [prose(rng, 40) for _ in range(6)]
 
     def line():
         x = list(rng.choice(base))
+        if len(x) > 200 and rng.random() < 0.7:  # a changed word
+            i = rng.randrange(len(x))
+            x[i : i + rng.randint(0, 12)] = rng.choices("abc", k=rng.randint(0, 12))
         for _ in range(rng.choice([0, 0, 1, 2, 3])):
             i = rng.randrange(len(x))
             x[i : i + rng.randint(0, 1)] = rng.choices("abc", k=rng.randint(0, 1))
@@ -319,6 +328,7 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, k, hot):
     frame = docs(spark, texts, ids).withColumn("gone", F.lit(1)).withColumn("n_lines", F.lit(-1))
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame, k).collect()}
     assert got == brute_dedup(list(zip(ids, texts, strict=True)), k, line_dedup.MIN_CHARS)
+    assert all(line_dedup.is_near(x, y, k) == (one_stretch(x, y) or edits(x, y) <= k) for x, y in [(line(), line()) for _ in range(400)])
 
 
 def test_line_dedup_of_nothing_and_odd_rows(spark, odd, nothing):

@@ -1,28 +1,36 @@
 """Line dedup by a segment-partition edit join.
 
-A line goes if an equal line stands earlier in the corpus, or if another line
-within ``max_edits`` edits of it does. Lines within k edits share one of k + 1
-even segments, shifted by k at most; so each distinct line puts the hashes of
-its own segments into an index and probes it with the few substrings, by
-length, that could be another line's segment. Pairs that meet are verified by
-a banded bit-parallel edit distance.
+A line goes if an equal line stands earlier in the corpus, or if a line near it
+does: one within ``max_edits`` edits anywhere, or one that differs in a single
+stretch, of a twenty-fifth of the longer line at most (a changed word, say).
+
+Lines within k edits share one of k + 1 even segments, shifted by k at most;
+so each distinct line puts the hashes of its own segments into an index and
+probes it with the few substrings, by length, that could be another line's
+segment. Lines that differ in one stretch share the segment before or after
+it, which is nearly half of them; its size goes by length classes, and a line
+probes its own class and the one below. Pairs that meet are verified, by a
+banded bit-parallel edit distance and by their common ends.
 
 A key that very many lines share (the halves of one line's many variants)
 would make pairs by the square. Such keys are counted first and taken out of
 the join; their lines are dealt into blocks, pairs of blocks are compared by
 character counts in tasks of bounded size, and only pairs within reach are
-verified. Nothing is dropped. Equal lines are one line to all of this: they are
-first grouped by a 128-bit hash with map-side combining.
-
-"Earlier" is by (doc_id, line number), null ids last; rows that share an id
-count as one document. Blank lines always stay, and lines below ``min_chars``
-are compared for equality only. A null text stays null and has no lines.
-Extra columns are carried through unless they bear the names added here.
+verified. Nothing is dropped, and of pairs only the later line is handed on.
+Equal lines are one line to all of this: they are first grouped by a 128-bit
+hash with map-side combining.
+
+"Earlier" is by (doc_id, text, line number), null ids last; rows equal in id
+and text count as one document. Blank lines always stay, and lines below
+``min_chars`` are compared for equality only. A null text stays null and has
+no lines; very long texts and lines are read whole. Extra columns are carried
+through unless they bear the names added here; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,9 +38,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import cut, row_key
+from weftgraph.llm.common import cut, hot_keys, join_unique, row_key
 
 MAX_EDITS, MIN_CHARS = 1, 16
+#: A changed stretch may have one of so many characters of the longer line.
+STRETCH = 25
 #: Index rows of one key from which on its lines are compared by blocks, and lines in a block.
 HOT_KEY, BLOCK = 64, 1000
 #: Broadcast a set of line hashes (one long each) up to so many rows; beyond, it is shuffled.
@@ -91,16 +101,50 @@ def segment_keys(line: Column, k: int) -> list[tuple[bool, Column]]:
     return out
 
 
+def end_keys(line: Column) -> list[tuple[bool, Column]]:
+    """(own, hash): hashes of the line's ends, each nearly half of it, by its own length class and the one below.
+
+    A class spans a twentieth, more than a stretch, so a line is in the class of any shorter one or in the next.
+    """
+    of = F.floor(F.log(F.char_length(line)) / math.log(1.05)).cast("int")
+    out = []
+    for below in (0, 1):
+        size = F.floor(F.lit(0.45) * F.pow(F.lit(1.05), of - below)).cast("int")
+        out += [(below == 0, F.xxhash64(F.lit("head"), of - below, F.left(line, size))), (below == 0, F.xxhash64(F.lit("tail"), of - below, F.right(line, size)))]
+    return out
+
+
+def common_ends(a: str, b: str) -> int:
+    """How many characters of the shorter one are a common head or else a common tail."""
+    n = min(len(a), len(b))
+
+    def longest(same: Callable[[int], bool], most: int) -> int:
+        low = 0
+        while low < most:
+            middle = (low + most + 1) // 2
+            low, most = (middle, most) if same(middle) else (low, middle - 1)
+        return low
+
+    head = longest(lambda k: a[:k] == b[:k], n)
+    return head + longest(lambda k: a[len(a) - k :] == b[len(b) - k :], n - head)
+
+
+def is_near(a: str, b: str, k: int) -> bool:
+    most = max(len(a), len(b))
+    return most - common_ends(a, b) <= most // STRETCH or edit_distance_within(a, b, k) is not None
+
+
 def lines_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(row, ord, h1, h2, line) of every line with a word; ord orders the lines of the corpus."""
+    """(row, no, ord, h1, h2, line) of every line with a word; ord orders the lines of the corpus."""
     split = docs.select(row_key().alias("row"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.posexplode(F.split(text_col, "\n", -1)).alias("no", "line"))
     split = split.where(F.col("line").rlike("[^ \\t-\\r]"))
-    order = (F.col("d").cast("decimal(38,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("no")).cast("decimal(38,0)")
+    at = F.pmod("row.a", F.lit(10**9)) * F.lit(10**10).cast("decimal(11,0)") + F.col("no")  # ten digits for the line, nine to tell texts of one id apart
+    order = (F.col("d").cast("decimal(19,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + at).cast("decimal(38,0)")
     return split.select("row", "no", order.alias("ord"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), "line")
 
 
-def near_pairs(lines: DataFrame, keys: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
-    """(a, b): hashes of all pairs of different lines within ``max_edits`` edits, a < b."""
+def late_lines(lines: DataFrame, keys: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
+    """(h1, h2) of the lines that have an earlier line near them; keys has (h1, own, key)."""
     own = keys.where("own").select("key", F.col("h1").alias("a"))
     hot = cut(own.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY))
     n_hot = hot.count()
@@ -115,27 +159,29 @@ def near_pairs(lines: DataFrame, keys: DataFrame, max_edits: int, min_chars: int
         wanted = wanted.unionByName(crowd.select(F.col("a").alias("h1")))
     wanted = cut(wanted.distinct())
     held = F.broadcast if wanted.count() <= BROADCAST_ROWS else (lambda df: df)
-    texts = cut(lines.where(F.char_length("line") >= min_chars).join(held(wanted), "h1").groupBy("h1", "line").agg(F.count("*").alias("n")).drop("n"))
+    texts = cut(lines.where(F.char_length("line") >= min_chars).join(held(wanted), "h1").groupBy("h1", "h2", "line").agg(F.min("ord").alias("first")))
 
-    named = lambda side: texts.select(F.col("h1").alias(side), F.col("line").alias(f"{side}_line"))
-    pairs = meet.join(named("a"), "a").join(named("b"), "b").mapInArrow(_verify(max_edits), "a long, b long")
+    named = lambda side: texts.select(F.col("h1").alias(side), F.struct("h1", "h2").alias(f"{side}_id"), F.col("first").alias(f"{side}_first"), F.col("line").alias(f"{side}_line"))
+    pairs = meet.join(named("a"), "a").join(named("b"), "b")
+    pairs = pairs.select(F.when(F.col("a_first") > F.col("b_first"), F.col("a_id")).otherwise(F.col("b_id")).alias("late"), "a_line", "b_line")
+    late = pairs.mapInArrow(_verify(max_edits), "late struct<h1:bigint,h2:bigint>").select("late.h1", "late.h2")
     if crowd is not None:
         probes = crowd.groupBy("key").agg(F.count("*").alias("m"))
         blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-        dealt = crowd.join(probes, "key").join(named("a"), "a").withColumns({"ni": blocks("n"), "np": blocks("m")})
+        dealt = crowd.join(probes, "key").join(named("a"), "a").withColumns({"ni": blocks("n"), "np": blocks("m"), "h1": F.col("a_id.h1"), "h2": F.col("a_id.h2"), "first": F.col("a_first"), "line": F.col("a_line")})
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        index = dealt.where("own").select("key", F.pmod("a", "ni").alias("ib"), every("np").alias("pb"), F.lit(True).alias("own"), "a", "a_line")
-        probe = dealt.select("key", every("ni").alias("ib"), F.pmod("a", "np").alias("pb"), F.lit(False).alias("own"), "a", "a_line")
-        pairs = pairs.unionByName(index.unionByName(probe).groupBy("key", "ib", "pb").applyInPandas(_block(max_edits), "a long, b long"))
-    return cut(pairs.distinct())
+        index = dealt.where("own").select("key", F.pmod("a", "ni").alias("ib"), every("np").alias("pb"), F.lit(True).alias("own"), "h1", "h2", "first", "line")
+        probe = dealt.select("key", every("ni").alias("ib"), F.pmod("a", "np").alias("pb"), F.lit(False).alias("own"), "h1", "h2", "first", "line")
+        late = late.unionByName(index.unionByName(probe).groupBy("key", "ib", "pb").applyInPandas(_block(max_edits), "h1 long, h2 long"))
+    return cut(late.distinct())
 
 
 def _verify(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a_line", "b_line"))
-            near = pa.array([edit_distance_within(x, y, k) is not None for x, y in zip(a, b, strict=True)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(near)
+            near = pa.array([is_near(x, y, k) for x, y in zip(a, b, strict=True)], pa.bool_())
+            yield batch.select(["late"]).filter(near)
 
     return run
 
@@ -143,15 +189,19 @@ def _verify(k: int):
 def _block(k: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         index, probe = rows[rows["own"]], rows[~rows["own"]]
-        x, y = (np.stack([_counts(t) for t in r["a_line"]]) if len(r) else np.zeros((0, 64), np.int32) for r in (index, probe))
-        found = []
-        for i, (h, line, own) in enumerate(zip(index["a"], index["a_line"], x, strict=True)):
-            reach = np.flatnonzero(np.abs(y - own).sum(axis=1) <= 2 * k)  # an edit changes two counts by one each at most
+        x, y = (np.stack([_counts(t) for t in r["line"]]) if len(r) else np.zeros((0, 64), np.int32) for r in (index, probe))
+        size = probe["line"].str.len().to_numpy(np.int64) if len(probe) else np.zeros(0, np.int64)
+        ids = [list(zip(r["h1"], r["h2"], strict=True)) for r in (index, probe)]
+        first, lines = probe["first"].tolist(), probe["line"].tolist()
+        late: set[tuple[int, int]] = set()
+        for own, at, line, counts in zip(ids[0], index["first"], index["line"], x, strict=True):
+            reach = np.flatnonzero(np.abs(y - counts).sum(axis=1) <= 2 * np.maximum(k, np.maximum(size, len(line)) // STRETCH))  # an edit changes two counts by one each at most
             for j in reach.tolist():
-                other = int(probe["a"].iat[j])
-                if other != h and edit_distance_within(line, probe["a_line"].iat[j], k) is not None:
-                    found.append((min(h, other), max(h, other)))
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+                other = ids[1][j]
+                later = own if at > first[j] else other
+                if other != own and later not in late and is_near(line, lines[j], k):
+                    late.add(later)
+        return pd.DataFrame(sorted(late), columns=["h1", "h2"], dtype="int64")
 
     return run
 
@@ -164,20 +214,17 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
     """``docs`` with the text of its kept lines, and n_lines, n_removed (of lines with a word)."""
     docs = docs.drop("row", "gone", "n_lines", "n_removed")
     lines = lines_of(docs, text_col)
-    found = segment_keys(F.col("line"), max_edits)
+    found = segment_keys(F.col("line"), max_edits) + end_keys(F.col("line"))
     keys = F.when(F.char_length("line") >= min_chars, F.array(*(k for _, k in found)))
     slots = [f"k{i}" for i in range(len(found))]
     each = lines.select("h1", "h2", "ord", keys.alias("k")).select("h1", "h2", "ord", *(F.col("k")[i].alias(s) for i, s in enumerate(slots)))
     distinct = cut(each.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.count("*").alias("n"), *(F.min(s).alias(s) for s in slots)))
     rows = F.explode(F.array(*(F.struct(F.lit(own).alias("own"), F.col(s).alias("key")) for (own, _), s in zip(found, slots, strict=True)))).alias("k")
-    pairs = near_pairs(lines, distinct.where(f"{slots[0]} is not null").select("h1", rows).select("h1", "k.own", "k.key"), max_edits, min_chars)
-
-    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    order = distinct.select("h1", F.col("first"))
-    late = ends.join(order.withColumnsRenamed({"h1": "a", "first": "fa"}), "a").join(order.withColumnsRenamed({"h1": "b", "first": "fb"}), "b")
-    late = late.where("fa > fb").select(F.col("a").alias("h1"), F.lit(True).alias("near")).distinct()
-    verdict = distinct.join(late, "h1", "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.drop("line").join(verdict, ["h1", "h2"]).where("near or ord <> first")
+    late = late_lines(lines, distinct.where(f"{slots[0]} is not null").select("h1", rows).select("h1", "k.own", "k.key"), max_edits, min_chars)
+
+    verdict = distinct.join(late.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 or near")
+    verdict = cut(verdict.select("h1", "h2", "first", "n", F.coalesce("near", F.lit(False)).alias("near")))
+    gone = join_unique(lines.drop("line"), verdict.drop("n"), ["h1", "h2"], hot=hot_keys(verdict, ["h1", "h2"])).where("near or ord <> first")
     gone = gone.groupBy("row").agg(F.collect_set("no").alias("gone"))
 
     split = F.split(text_col, "\n", -1)

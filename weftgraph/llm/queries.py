@@ -191,9 +191,14 @@ p AS (
     'p' || (length(line) // 2) || left(line, length(line) // 2), 's' || (length(line) // 2) || right(line, length(line) // 2),
     'p' || ((length(line) - 1) // 2) || left(line, (length(line) - 1) // 2), 's' || ((length(line) - 1) // 2) || right(line, (length(line) - 1) // 2)]) AS k
   FROM u WHERE length(line) >= 16),
+ends AS (SELECT line, first, unnest(['h' || left(line, 12), 't' || right(line, 12)]) AS k FROM u WHERE length(line) >= 25),
+met AS (
+  SELECT DISTINCT a.line AS al, b.line AS bl, greatest(length(a.line), length(b.line)) AS m, greatest(1, greatest(length(a.line), length(b.line)) // 25) AS s
+  FROM (SELECT * FROM ends UNION ALL SELECT * FROM p) a JOIN (SELECT * FROM ends UNION ALL SELECT * FROM p) b ON a.k = b.k AND b.first < a.first
+  WHERE abs(length(a.line) - length(b.line)) <= greatest(1, greatest(length(a.line), length(b.line)) // 25)),
 near AS (
-  SELECT DISTINCT a.line FROM p a JOIN p b ON a.k = b.k AND b.first < a.first AND abs(length(a.line) - length(b.line)) <= 1
-  WHERE levenshtein(a.line, b.line) = 1),
+  SELECT DISTINCT al AS line FROM met
+  WHERE levenshtein(al, bl) <= 4 * s AND len(list_filter(range(0, m - s + 1), lambda i: left(al, i) = left(bl, i) AND right(al, m - s - i) = right(bl, m - s - i))) > 0),
 gone AS (
   SELECT l.doc_id, l.no FROM l JOIN u ON l.line = u.line LEFT JOIN near n ON l.line = n.line
   WHERE l.ord <> u.first OR n.line IS NOT NULL),
