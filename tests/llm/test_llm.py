@@ -493,6 +493,70 @@ def test_license_scan(spark):
     assert license_scan.scan(files.limit(0)).count() == 0
 
 
+def test_license_scan_of_common_texts(spark):
+    mit = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.
+"""
+    apache = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */
+package x; // many other words of code follow here and go on for a while
+"""
+    bsd = """Copyright 2001 Some Body. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+
+3. Neither the name of the copyright holder nor the names of its contributors
+may be used to endorse or promote products derived from this software without
+specific prior written permission.
+"""
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+
+import os
+"""
+    rng = random.Random(21)
+    rows = [(0, "a/LICENSE", mit), (1, "b/x.java", apache), (2, "c/LICENSE.txt", bsd), (3, "d/x.py", gpl), (4, "e/x.rs", "// SPDX-License-Identifier: MIT\nfn main() {}"), (5, "a/deep/er/y.c", "int x;"), (6, "c/y.c", "int y;"), (7, "f/long.txt", "\n".join([prose(rng, 30) for _ in range(200)] + ["Released under the MIT License.", "He lost his driving license."]))]
+    rows += [(100 + i, f"g/{i}.txt", prose(rng, 50)) for i in range(50)]
+    got = {r["id"]: (r["license"], r["origin"]) for r in license_scan.scan(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    assert [got[i] for i in range(8)] == [("MIT", "file"), ("Apache-2.0", "header"), ("BSD-3-Clause", "file"), ("GPL-3.0", "header"), ("MIT", "header"), ("MIT", "inherited"), ("BSD-3-Clause", "inherited"), ("MIT", "header")]
+    assert all(got[100 + i] == (None, None) for i in range(50))
+
+
+def test_license_scan_of_a_large_directory(spark):
+    rows = [(i, "r/big/LICENSE" if i == 0 else f"r/big/{i}.txt", "Released under the MIT License." if i == 0 else None) for i in range(300)] + [(7, "r/big/7.txt", "same")] * 100
+    got = license_scan.scan(spark.createDataFrame(rows, "id long, path string, text string")).groupBy("license", "origin").count().collect()
+    assert {(r["license"], r["origin"], r["count"]) for r in got} == {("MIT", "file", 1), ("MIT", "inherited", 399)}
+
+
 # Components
 
 

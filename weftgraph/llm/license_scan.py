@@ -1,96 +1,168 @@
 """License scans by sparse TF-IDF cosine to templates, then inheritance along directories, in SQL functions only.
 
-Of every file the lines that speak of a licence are read, wherever they are in
-its text; of a licence file without such a line, all lines. Their terms are
-weighed by TF-IDF, with document frequencies counted over all these passages
-of the corpus and the templates, and compared with each template by cosine.
-Only terms that a template has are joined; a passage's norm counts all.
+A file that speaks of a licence anywhere in its text is read in blocks: each
+line that does, and each paragraph that does; a licence file in all its
+paragraphs. Marks of comments are taken off the lines first. The terms of a
+block are weighed by TF-IDF, with document frequencies counted over all blocks
+of the corpus and the templates, and compared with each template by cosine, so
+what else a file says does not blur its notice. A licence has several templates
+(tags, one-line notices, headers, paragraphs of its text); a file has the
+licence whose templates it meets best together.
 
 A file without a licence of its own inherits that of the licence file in the
 nearest directory above it. The nearest is found for each distinct directory
 by joining its ancestors with the licensed directories, and joined back, so
-the files of a large directory are not multiplied.
+the files of a large directory are not multiplied. Terms, directories and
+files that stand for very many rows are joined by broadcast.
 
 A null path or text is the empty string; such files have no licence of their
-own. Rows with equal paths and texts give one row each. Extra columns are
-ignored; an empty table gives no rows.
+own. Equally good licences go by name, and of licence files in one directory
+the best decides. Rows with equal ids, paths and texts give one row each; texts
+of any length are read whole. Extra columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import cut
+from weftgraph.llm.common import cut, hot_keys, join_unique
 
-#: Notices by which each licence is known.
+#: Tags, notices, headers and paragraphs by which each licence is known, from their public texts.
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "MIT": "Released under the MIT License",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "Proprietary": "All rights reserved",
+    "AGPL-3.0": [
+        "SPDX-License-Identifier: AGPL-3.0",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "Apache-2.0": [
+        "SPDX-License-Identifier: Apache-2.0",
+        "Licensed under the Apache License, Version 2.0",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ],
+    "BSD-2-Clause": [
+        "SPDX-License-Identifier: BSD-2-Clause",
+        "Licensed under the BSD 2-Clause License",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    ],
+    "BSD-3-Clause": [
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "Licensed under the BSD 3-Clause License",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "CC-BY-4.0": ["SPDX-License-Identifier: CC-BY-4.0", "Licensed under CC BY 4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."],
+    "CC-BY-NC-4.0": ["SPDX-License-Identifier: CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-SA-4.0": ["SPDX-License-Identifier: CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC0-1.0": ["SPDX-License-Identifier: CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"],
+    "GPL-2.0": [
+        "SPDX-License-Identifier: GPL-2.0",
+        "This work is licensed under the GNU General Public License, version 2",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
+    "GPL-3.0": [
+        "SPDX-License-Identifier: GPL-3.0",
+        "This work is licensed under the GNU General Public License, version 3",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "ISC": [
+        "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "LGPL-3.0": [
+        "SPDX-License-Identifier: LGPL-3.0",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "MIT": [
+        "SPDX-License-Identifier: MIT",
+        "Released under the MIT License",
+        "The MIT License (MIT)",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ],
+    "MPL-2.0": [
+        "SPDX-License-Identifier: MPL-2.0",
+        "Mozilla Public License Version 2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
+    "Proprietary": ["All rights reserved", "Proprietary and confidential. Unauthorized copying of this file, via any medium is strictly prohibited."],
+    "Unlicense": ["SPDX-License-Identifier: Unlicense", "This is free and unencumbered software released into the public domain."],
 }
-CUE = r"(?i)licen[sc]|copyright|all rights reserved|spdx|redistribution and use"
+CUE = r"(?i)licen[sc]|copyright|all rights reserved|spdx|redistribution and use|permission (is hereby|to use)|neither the name|free software|public domain|proprietary"
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice)([._-].*)?$"
+COMMENT_MARK = r"^[ \t]*(//+|#+|/?\*+/?|--+|;+|%+|<!--)?[ \t]*"
+PARAGRAPH_END = r"\n([ \t\r]*\n)+"
 TERM = r"[a-z0-9]+(?:[.][0-9]+)*"
 MIN_COSINE = 0.6
-#: Broadcast a table of terms or directories up to so many rows; beyond, it is shuffled.
-BROADCAST_ROWS = 100_000
 
 
-def _small(df: DataFrame) -> DataFrame:
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _terms(block: Column) -> Column:
+    return F.regexp_extract_all(F.lower(block), F.lit(f"({TERM})"), F.lit(1))
+
+
+def blocks_of(files: DataFrame) -> DataFrame:
+    """(file, at, terms) of the blocks to compare; ``files`` has file, name and text."""
+    named = F.col("name").rlike(LICENSE_FILE)
+    lines = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, COMMENT_MARK, ""))
+    found = files.where(F.col("text").rlike(CUE) | named).select("file", named.alias("named"), lines.alias("lines"))
+    found = found.withColumn("paragraphs", F.split(F.array_join("lines", "\n"), PARAGRAPH_END))
+    blocks = F.array_distinct(F.concat(F.filter("lines", lambda x: x.rlike(CUE)), F.filter("paragraphs", lambda x: F.col("named") | x.rlike(CUE))))
+    return found.select("file", F.posexplode(blocks).alias("at", "block")).select("file", "at", _terms(F.col("block")).alias("terms")).where(F.size("terms") > 0)
 
 
 def own_licenses(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     """(file, license, cosine) of the files that have one; ``files`` has file, name and text."""
-    spark = files.sparkSession
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    cued = F.filter(lines, lambda x: x.rlike(CUE))
-    passage = F.when((F.size(cued) > 0) | ~F.col("name").rlike(LICENSE_FILE), cued).otherwise(lines)
-    terms = files.select("file", F.regexp_extract_all(F.lower(F.array_join(passage, "\n")), F.lit(f"({TERM})"), F.lit(1)).alias("terms")).where(F.size("terms") > 0)
-    given = _templates(spark).select(F.col("license").alias("file"), "terms")
-    counts = cut(terms.select("file", F.explode("terms").alias("term")).groupBy("file", "term").agg(F.count("*").alias("tf")))
-    theirs = given.select(F.col("file").alias("license"), F.explode("terms").alias("term")).groupBy("license", "term").agg(F.count("*").alias("tf"))
-    n = counts.select("file").distinct().count() + len(TEMPLATES)
-    seen = counts.groupBy("term").agg(F.count("*").alias("df")).unionByName(theirs.groupBy("term").agg(F.count("*").alias("df")))
-    idf = _small(seen.groupBy("term").agg((F.log((1 + F.lit(n)) / (1 + F.sum("df"))) + 1).alias("idf")))
-    weighed = counts.join(idf, "term").select("file", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    target = theirs.join(idf, "term").select("license", "term", (F.col("tf") * F.col("idf")).alias("v"))
-    target = target.join(target.groupBy("license").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm")), "license").select("license", "term", (F.col("v") / F.col("norm")).alias("v"))
-    by_term = F.broadcast(target.groupBy("term").agg(F.collect_list(F.struct("license", "v")).alias("in")))  # the templates' terms
-    norm = weighed.groupBy("file").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(by_term, "term").select("file", "w", F.explode("in").alias("t")).groupBy("file", "t.license").agg(F.sum(F.col("w") * F.col("t.v")).alias("dot"))
+    counts = cut(blocks_of(files).select("file", "at", F.explode("terms").alias("term")).groupBy("file", "at", "term").agg(F.count("*").alias("tf")))
+    theirs = _templates(files.sparkSession).select("license", "template", F.explode("terms").alias("term")).groupBy("license", "template", "term").agg(F.count("*").alias("tf"))
+    n = counts.select("file", "at").distinct().count() + sum(map(len, TEMPLATES.values()))
+    seen = counts.groupBy("term").agg(F.count("*").alias("n")).unionByName(theirs.groupBy("term").agg(F.count("*").alias("n")))
+    seen = cut(seen.groupBy("term").agg(F.sum("n").alias("n")))
+    idf = seen.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("n"))) + 1).alias("idf"))
+    weighed = join_unique(counts, idf, ["term"], hot=hot_keys(seen, ["term"])).select("file", "at", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    target = idf.join(F.broadcast(theirs), "term").select("license", "template", "term", (F.col("tf") * F.col("idf")).alias("v"))  # the templates' terms
+    norms = target.groupBy("license", "template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    target = target.join(F.broadcast(norms), ["license", "template"]).select("license", "template", "term", (F.col("v") / F.col("norm")).alias("v"))
+    by_term = F.broadcast(target.groupBy("term").agg(F.collect_list(F.struct("license", "template", "v")).alias("in")))
+    norm = weighed.groupBy("file", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighed.join(by_term, "term").select("file", "at", "w", F.explode("in").alias("t")).groupBy("file", "at", "t.license", "t.template").agg(F.sum(F.col("w") * F.col("t.v")).alias("dot"))
     cosine = F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")
-    best = dots.join(norm, "file").select("file", "license", cosine).where(F.col("cosine") >= min_cosine)
-    return best.groupBy("file").agg(F.max("cosine").alias("cosine"), F.min_by("license", F.struct(-F.col("cosine"), "license")).alias("license"))
+    met = dots.join(norm, ["file", "at"]).select("file", "license", "template", cosine).where(F.col("cosine") >= min_cosine)
+    met = met.groupBy("file", "license", "template").agg(F.max("cosine").alias("cosine"))
+    met = met.groupBy("file", "license").agg(F.max("cosine").alias("cosine"), F.round(F.sum("cosine"), 4).alias("all"))
+    best = F.struct(-F.col("all"), -F.col("cosine"), "license")
+    return met.groupBy("file").agg(F.min_by("license", best).alias("license"), F.min_by("cosine", best).alias("cosine"))
 
 
 def _templates(spark: SparkSession) -> DataFrame:
-    rows = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(k).alias("license"), F.lit(v).alias("notice")) for k, v in TEMPLATES.items()))))
-    return rows.select("license", F.regexp_extract_all(F.lower("notice"), F.lit(f"({TERM})"), F.lit(1)).alias("terms"))
+    rows = [(name, i, text) for name, texts in TEMPLATES.items() for i, text in enumerate(texts)]
+    return spark.createDataFrame(rows, "license string, template int, text string").select("license", "template", _terms(F.col("text")).alias("terms"))
 
 
 def scan(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     """(id, path, license, cosine, origin) of every row; ``files`` has id, path and text. origin: header, file, inherited, or null."""
-    path = F.coalesce("path", F.lit(""))
-    rows = files.select("id", path.alias("path"), "text", F.xxhash64(path, "text", F.col("id").cast("string")).alias("file"))
+    path, text = F.coalesce("path", F.lit("")), F.coalesce("text", F.lit(""))
+    key = path, text, F.coalesce(F.col("id").cast("string"), F.lit("null"))
+    rows = files.select("id", path.alias("path"), text.alias("text"), F.struct(F.xxhash64(*key).alias("a"), F.xxhash64(F.lit("again"), *key).alias("b")).alias("file"))
     rows = rows.withColumns({"name": F.regexp_extract("path", "([^/]*)$", 1), "dir": F.regexp_replace("path", "/?[^/]*$", "")})
     own = cut(own_licenses(rows.select("file", "name", "text"), min_cosine))
-    rows = rows.drop("text").join(own, "file", "left")
+    rows = cut(join_unique(cut(rows.drop("text")), own, ["file"], "left").drop("file"))
     licensed = rows.where(F.col("name").rlike(LICENSE_FILE) & F.col("license").isNotNull())
-    licensed = _small(licensed.groupBy("dir").agg(F.min_by("license", F.struct(-F.col("cosine"), "license")).alias("inherited")))
+    licensed = licensed.groupBy("dir").agg(F.min_by("license", F.struct(-F.col("cosine"), "license")).alias("inherited"))
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), "/").alias("dir"), i.alias("depth")))
     root = F.when(F.col("dir") == "", F.array().cast("array<struct<dir:string,depth:int>>")).otherwise(above)
     up = F.explode(F.concat(F.array(F.struct(F.lit("").alias("dir"), F.lit(0).alias("depth"))), root)).alias("up")
-    dirs = rows.select("dir").distinct().select(F.col("dir").alias("under"), up).select("under", "up.dir", "up.depth")
-    nearest = dirs.join(licensed, "dir").groupBy("under").agg(F.max_by("inherited", "depth").alias("inherited")).withColumnRenamed("under", "dir")
-    rows = rows.join(_small(nearest), "dir", "left")
+    sizes = cut(rows.groupBy("dir").agg(F.count("*").alias("n")))
+    dirs = cut(sizes.select(F.col("dir").alias("under"), up).select("under", "up.dir", "up.depth"))
+    nearest = join_unique(dirs, cut(licensed), ["dir"]).groupBy("under").agg(F.max_by("inherited", "depth").alias("inherited")).withColumnRenamed("under", "dir")
+    rows = join_unique(rows, cut(nearest), ["dir"], "left", hot=hot_keys(sizes, ["dir"]))
     named = F.col("name").rlike(LICENSE_FILE)
     origin = F.when(F.col("license").isNotNull(), F.when(named, "file").otherwise("header")).when(F.col("inherited").isNotNull(), "inherited")
     return rows.select("id", "path", F.coalesce("license", "inherited").alias("license"), "cosine", origin.alias("origin"))

@@ -77,11 +77,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: one directory for each source and language in it, and for each 64 ids below.
 
-    Ids divisible by 1,024 are the licence files of a language's directory,
-    others divisible by 64 those of theirs.
+    Ids divisible by 1,024 are the licence files of a language's directory; of
+    the others, those divisible by four that speak of a licence are licence files of theirs.
     """
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
-    own = F.when(F.col("doc_id") % 1024 == 0, "LICENSE").when(F.col("doc_id") % 64 == 0, F.concat(part("bucket"), F.lit("/LICENSE"))).otherwise(F.concat(part("bucket"), F.lit("/"), part("doc_id"), F.lit(".txt")))
+    notice = (F.col("doc_id") % 4 == 0) & F.coalesce(F.col("text").rlike(license_scan.CUE), F.lit(False))
+    own = F.when(F.col("doc_id") % 1024 == 0, "LICENSE").when(notice, F.concat(part("bucket"), F.lit("/LICENSE"))).otherwise(F.concat(part("bucket"), F.lit("/"), part("doc_id"), F.lit(".txt")))
     files = table(spark, sf_dir, "documents").withColumn("bucket", F.floor(F.col("doc_id") / 64))
     files = files.select(F.col("doc_id").alias("id"), F.concat(part("source"), F.lit("/"), part("lang"), F.lit("/"), own).alias("path"), "text")
     return license_scan.scan(files).withColumnRenamed("id", "doc_id")
@@ -100,7 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
 }
 
-_TEMPLATE_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in license_scan.TEMPLATES.items())
+_TEMPLATE_ROWS = ", ".join(f"('{k}', {i}, '{v}')" for k, texts in license_scan.TEMPLATES.items() for i, v in enumerate(texts))
 _RULE_ROWS = ", ".join(f"('{a}', '{r}')" for a, r in URL_RULES)
 _SITE_ROWS = ", ".join(f"('{u}')" for u in LISTED_SITES)
 
@@ -147,29 +148,33 @@ SELECT p.page_id, p.host, p.path, fit.best.r AS rule,
 FROM p LEFT JOIN fit ON p.page_id = fit.page_id AND p.url IS NOT DISTINCT FROM fit.url
 """,
     "op10_license_scan": rf"""
-WITH templates(license, notice) AS (VALUES {_TEMPLATE_ROWS}),
+WITH templates(license, template, notice) AS (VALUES {_TEMPLATE_ROWS}),
 f AS (
-  SELECT doc_id, text, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' AS lang_dir, doc_id // 64 AS b FROM documents),
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' AS lang_dir, doc_id // 64 AS b, regexp_matches(coalesce(text, ''), '{license_scan.CUE}') AS cued FROM documents),
 files AS (
-  SELECT doc_id, text, CASE WHEN doc_id % 1024 = 0 THEN lang_dir || 'LICENSE' WHEN doc_id % 64 = 0 THEN lang_dir || b || '/LICENSE' ELSE lang_dir || b || '/' || doc_id || '.txt' END AS path
+  SELECT doc_id, text, cued, CASE WHEN doc_id % 1024 = 0 THEN lang_dir || 'LICENSE' WHEN doc_id % 4 = 0 AND cued THEN lang_dir || b || '/LICENSE' ELSE lang_dir || b || '/' || doc_id || '.txt' END AS path
   FROM f),
 named AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) = 'LICENSE' AS is_file, regexp_replace(path, '/[^/]*$', '') AS dir FROM files),
 lined AS (
-  SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)licen[sc]|copyright|all rights reserved|spdx|redistribution and use')) AS cued FROM named),
-terms AS (
-  SELECT doc_id, unnest(regexp_extract_all(lower(array_to_string(CASE WHEN len(cued) > 0 OR NOT is_file THEN cued ELSE string_split(text, chr(10)) END, chr(10))), '[a-z0-9]+([.][0-9]+)*')) AS term
-  FROM lined),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
-tt AS (SELECT license, term, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+([.][0-9]+)*')) AS term FROM templates) GROUP BY ALL),
-n AS (SELECT (SELECT count(DISTINCT doc_id) FROM tf) + (SELECT count(*) FROM templates) AS n),
+  SELECT doc_id, is_file, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '{license_scan.COMMENT_MARK}', '')) AS ls FROM named WHERE cued OR is_file),
+divided AS (SELECT *, string_split_regex(array_to_string(ls, chr(10)), '{license_scan.PARAGRAPH_END}') AS ps FROM lined),
+blocks AS (
+  SELECT doc_id, unnest(list_distinct(list_concat(list_filter(ls, lambda x: regexp_matches(x, '{license_scan.CUE}')), list_filter(ps, lambda x: is_file OR regexp_matches(x, '{license_scan.CUE}'))))) AS block
+  FROM divided),
+terms AS (SELECT doc_id, block, unnest(regexp_extract_all(lower(block), '[a-z0-9]+([.][0-9]+)*')) AS term FROM blocks),
+tf AS (SELECT doc_id, block, term, count(*) AS tf FROM terms GROUP BY ALL),
+tt AS (SELECT license, template, term, count(*) AS tf FROM (SELECT license, template, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+([.][0-9]+)*')) AS term FROM templates) GROUP BY ALL),
+n AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT doc_id, block FROM tf)) + (SELECT count(*) FROM templates) AS n),
 idf AS (SELECT term, ln((1 + (SELECT n FROM n))::DOUBLE / (1 + count(*))) + 1 AS idf FROM (SELECT term FROM tf UNION ALL SELECT term FROM tt) GROUP BY term),
-w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
-v AS (SELECT license, term, tf * idf AS v FROM tt JOIN idf USING (term)),
+w AS (SELECT doc_id, block, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+v AS (SELECT license, template, term, tf * idf AS v FROM tt JOIN idf USING (term)),
 cosines AS (
-  SELECT doc_id, license, round(dot / (sqrt(wn) * sqrt(vn)), 6) AS cosine
-  FROM (SELECT doc_id, license, sum(w * v) AS dot FROM w JOIN v USING (term) GROUP BY ALL)
-  JOIN (SELECT doc_id, sum(w * w) AS wn FROM w GROUP BY ALL) USING (doc_id) JOIN (SELECT license, sum(v * v) AS vn FROM v GROUP BY ALL) USING (license)),
-best AS (SELECT doc_id, max(cosine) AS cosine, arg_min(license, struct_pack(c := -cosine, l := license)) AS license FROM cosines WHERE cosine >= 0.6 GROUP BY doc_id),
+  SELECT doc_id, license, template, max(round(dot / (sqrt(wn) * sqrt(vn)), 6)) AS cosine
+  FROM (SELECT doc_id, block, license, template, sum(w * v) AS dot FROM w JOIN v USING (term) GROUP BY ALL)
+  JOIN (SELECT doc_id, block, sum(w * w) AS wn FROM w GROUP BY ALL) USING (doc_id, block) JOIN (SELECT license, template, sum(v * v) AS vn FROM v GROUP BY ALL) USING (license, template)
+  GROUP BY ALL HAVING max(round(dot / (sqrt(wn) * sqrt(vn)), 6)) >= 0.6),
+met AS (SELECT doc_id, license, max(cosine) AS cosine, round(sum(cosine), 4) AS total FROM cosines GROUP BY ALL),
+best AS (SELECT doc_id, arg_min(cosine, struct_pack(t := -total, c := -cosine, l := license)) AS cosine, arg_min(license, struct_pack(t := -total, c := -cosine, l := license)) AS license FROM met GROUP BY doc_id),
 own AS (SELECT named.doc_id, path, dir, is_file, license, cosine FROM named LEFT JOIN best USING (doc_id)),
 licensed AS (SELECT dir, arg_min(license, struct_pack(c := -cosine, l := license)) AS license FROM own WHERE is_file AND license IS NOT NULL GROUP BY dir),
 near AS (
