@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,3 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def ranked(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with their rank from 0 in the order of the columns, by range partitions that each count their own rows."""
+    at = F.monotonically_increasing_id()
+    dealt = cut(rows.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("rank", at))
+    dealt = dealt.withColumns({"p": F.shiftright("rank", 33), "rank": F.col("rank").bitwiseAND((1 << 33) - 1)})
+    sizes = dealt.groupBy("p").agg(F.count("*").alias("n"))  # a row for each partition
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.p") < F.col("a.p"), "left").groupBy("a.p").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    return dealt.join(F.broadcast(before), "p").withColumn("rank", F.col("rank") + F.col("before")).drop("p", "before")

@@ -25,12 +25,28 @@ def each(x: Column, f) -> Column:
     return F.transform(x, f)
 
 
+#: The largest prime below 2 ** 31; products of two residues fit a long.
+_PRIME = 2147483647
+
+
+def draw(key: Column, i: Column, seed: int) -> Column:
+    """A number from 0 to 1 that depends on key, position and seed alone, by plain arithmetic, the same in every engine."""
+    at = (i + 1).cast("long")
+    a = (F.pmod(key, F.lit(_PRIME)) * 1103515245 + at * 12345677 + seed * 7919 + 1) % _PRIME
+    b = (a * a + at * 40503) % _PRIME
+    return (b * b + a) % _PRIME / _PRIME
+
+
+def dropout_factor(key: Column, i: Column, p: float, seed: int) -> Column:
+    """Zero with probability p, else what keeps the mean."""
+    return F.when(draw(key, i, seed) < p, 0.0).otherwise(1 / (1 - p))
+
+
 def dropout(x: Column, p: float, seed: int, training: bool = True) -> Column:
     """Zeroes an array's components with probability p and scales the rest; the draw depends on node, component and seed."""
     if not training or p == 0:
         return x
-    draw = lambda i: F.pmod(F.xxhash64("node_id", i, F.lit(seed)), F.lit(1 << 31)) / (1 << 31)
-    return F.transform(x, lambda v, i: F.when(draw(i) < p, 0.0).otherwise(v / (1 - p)))
+    return F.transform(x, lambda v, i: v * dropout_factor(F.col("node_id"), i, p, seed))
 
 
 def argmax(x: Column) -> Column:
@@ -42,12 +58,10 @@ def threshold(x: Column) -> Column:
     return F.transform(x, lambda v: (v > 0).cast("int"))
 
 
-def parse_bool(text: str | bool) -> bool:
-    if isinstance(text, bool):
-        return text
-    word = text.strip().lower()
-    if word in ("yes", "true", "t", "y", "1"):
-        return True
-    if word in ("no", "false", "f", "n", "0"):
-        return False
-    raise ValueError(f"not a truth value: {text!r}")
+#: The words for a switch, on and off.
+SWITCH = dict.fromkeys(["1", "t", "true", "y", "yes"], True) | dict.fromkeys(["0", "f", "false", "n", "no"], False)
+
+
+def switch(value: str | bool) -> bool:
+    """An option given as a word, whatever its case; a KeyError names any other."""
+    return SWITCH[str(value).strip().lower()]

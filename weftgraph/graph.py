@@ -19,9 +19,9 @@ class Graph:
         return Graph(self.nodes, self.edges.where("src <> dst"))
 
     def with_self_loops(self) -> Graph:
-        """Exactly one loop at each node, whatever loops there were."""
+        """Exactly one loop at each node, whatever loops there were; other edge columns are null there."""
         loops = self.nodes.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"))
-        return Graph(self.nodes, self.edges.where("src <> dst").select("src", "dst").unionByName(loops))
+        return Graph(self.nodes, self.edges.where("src <> dst").unionByName(loops, allowMissingColumns=True))
 
     def symmetrised(self) -> Graph:
         """The simple graph with both directions of every edge; node columns stay."""
@@ -83,12 +83,11 @@ def masks_by_thirds(n: int) -> dict[str, Column]:
     return {"train_mask": i < third, "val_mask": (i >= third) & (i < 2 * third), "test_mask": i >= 2 * third}
 
 
-def masks_by_lists(nodes: DataFrame, roles: DataFrame) -> DataFrame:
-    """Adds the masks from roles(tr, va, te), arrays of node ids, one row."""
-    for name, column in (("train_mask", "tr"), ("val_mask", "va"), ("test_mask", "te")):
-        ids = roles.select(F.explode(column).alias("node_id")).distinct().withColumn(name, F.lit(True))
-        nodes = nodes.join(ids, "node_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    return nodes
+def masks_by_roles(nodes: DataFrame, roles: DataFrame) -> DataFrame:
+    """Adds the masks from roles(node_id, role), whose roles are tr, va and te; false where a node has none."""
+    masks = {"train_mask": "tr", "val_mask": "va", "test_mask": "te"}
+    given = roles.groupBy("node_id").agg(*(F.max(F.col("role") == r).alias(m) for m, r in masks.items()))
+    return nodes.join(given, "node_id", "left").fillna(False, list(masks))
 
 
 def gather(rows: DataFrame, ids: DataFrame) -> DataFrame:

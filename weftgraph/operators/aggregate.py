@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.common import cut
+
 
 def _over_edges(edges: DataFrame, h: DataFrame, column: str = "x") -> DataFrame:
     return edges.select("src", "dst").join(h.select(F.col("node_id").alias("src"), column), "src")
@@ -57,12 +59,13 @@ def self_and_neighbour_mean(h: DataFrame, edges: DataFrame, width: int) -> DataF
     return both.select("node_id", own.alias("a"))
 
 
-def degree_normalised_sum(h: DataFrame, edges: DataFrame, degrees: DataFrame, width: int) -> DataFrame:
-    """Sum of x_u / sqrt(dout_u * din_v) with the degrees of the whole graph, at least 1."""
+def degree_normalised_sum(h: DataFrame, edges: DataFrame, degrees: DataFrame, width: int, every: bool = False) -> DataFrame:
+    """Sum of x_u / sqrt(dout_u * din_v) with the degrees of the whole graph, at least 1; zeros for nodes without in-edges if ``every``."""
     out = degrees.select("node_id", F.sqrt(F.greatest("dout", F.lit(1))).alias("root"))
     scaled = h.select("node_id", "x").join(out, "node_id").select("node_id", F.transform("x", lambda v: v / F.col("root")).alias("x"))
     into = degrees.select("node_id", F.sqrt(F.greatest("din", F.lit(1))).alias("root"))
-    return neighbour_sum(scaled, edges, width).join(into, "node_id").select("node_id", F.transform("a", lambda v: v / F.col("root")).alias("a"))
+    rows = into.join(neighbour_sum(scaled, edges, width), "node_id", "left" if every else "inner")
+    return rows.select("node_id", F.coalesce(F.transform("a", lambda v: v / F.col("root")), F.array_repeat(F.lit(0.0), width)).alias("a"))
 
 
 def max_pooled(h: DataFrame, edges: DataFrame, width: int) -> DataFrame:
@@ -80,36 +83,46 @@ def zero_filled(nodes: DataFrame, rows: DataFrame, column: str, width: int) -> D
 def lstm_aggregate(h: DataFrame, edges: DataFrame, weights: np.ndarray, recurrent: np.ndarray, bias: np.ndarray) -> DataFrame:
     """(node_id, a): last hidden state of an LSTM over a node's in-neighbours in the order of their ids.
 
-    Edges are dealt by destination and sorted, and a task carries one state
-    from row to row, so a large in-degree takes time but no memory. Gates are
-    in the order input, forget, cell, output; weights (d, 4 d), recurrent (d, 4 d).
+    Edges are dealt by destination and sorted. All nodes of a batch step
+    together from one in-neighbour to the next, and the state of a node whose
+    in-edges go on is carried to the next batch. The aggregate depends on the
+    order, so one node's in-edges are one task's work: a large in-degree takes
+    time, but no memory. Gates are in the order input, forget, cell, output;
+    weights (d, 4 d), recurrent (d, 4 d).
     """
     d = recurrent.shape[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigmoid = lambda v: 1 / (1 + np.exp(-v))
-        at, state, cell, out = None, np.zeros(d), np.zeros(d), []
+        last, carried = None, np.zeros((2, d))
         for batch in batches:
-            for dst, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if dst != at:
-                    if at is not None:
-                        out.append((at, state.tolist()))
-                    at, state, cell = dst, np.zeros(d), np.zeros(d)
-                gates = np.asarray(x) @ weights + state @ recurrent + bias
-                i, f, g, o = np.split(gates, 4)
-                cell = sigmoid(f) * cell + sigmoid(i) * np.tanh(g)
-                state = sigmoid(o) * np.tanh(cell)
-            yield _batch(out)
-            out = []
-        if at is not None:
-            yield _batch([(at, state.tolist())])
+            if not len(batch):
+                continue
+            dst = batch.column(0).to_numpy()
+            fed = matrix(batch.column(1)) @ weights + bias
+            starts = np.flatnonzero(np.concatenate(([True], dst[1:] != dst[:-1])))
+            sizes = np.diff(np.append(starts, len(dst)))
+            state, cell = np.zeros((len(starts), d)), np.zeros((len(starts), d))
+            if last is not None and last == dst[0]:
+                state[0], cell[0] = carried
+            elif last is not None:
+                yield _states([last], carried[:1])
+            for step in range(int(sizes.max())):
+                on = np.flatnonzero(sizes > step)
+                i, f, g, o = np.split(fed[starts[on] + step] + state[on] @ recurrent, 4, axis=1)
+                cell[on] = sigmoid(f) * cell[on] + sigmoid(i) * np.tanh(g)
+                state[on] = sigmoid(o) * np.tanh(cell[on])
+            yield _states(dst[starts[:-1]], state[:-1])
+            last, carried = dst[-1], np.stack([state[-1], cell[-1]])
+        if last is not None:
+            yield _states([last], carried[:1])
 
     rows = _over_edges(edges, h).repartition("dst").sortWithinPartitions("dst", "src").select("dst", "x")
     return rows.mapInArrow(run, "node_id long, a array<double>")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], ["node_id", "a"])
+def _states(ids, states: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(ids, np.int64)), arrays(states)], ["node_id", "a"])
 
 
 def linear(rows: DataFrame, inputs: list[tuple[str, np.ndarray]], bias: np.ndarray | None, out: str = "z") -> DataFrame:
@@ -137,24 +150,45 @@ def arrays(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * width, width) if width else np.zeros(n + 1), pa.int32()), pa.array(np.ascontiguousarray(values).reshape(-1), pa.float64()))
 
 
+def _leaky(v: Column, slope: float) -> Column:
+    return F.when(v > 0, v).otherwise(v * slope)
+
+
+def _scored(edges: DataFrame, heads: DataFrame, n_heads: int, slope: float, *carried: str) -> DataFrame:
+    """(src, dst, carried columns of src, w): by head, exp(score - largest score at dst) of each edge.
+
+    Scores grow with el, so the largest at a node comes from the largest el of
+    its in-neighbours: one grouped maximum over the edges, joined to the nodes.
+    """
+    left = heads.select(F.col("node_id").alias("src"), "el")
+    most = edges.select("src", "dst").join(left, "src").groupBy("dst").agg(*_components("el", n_heads, F.max))
+    right = _packed(most, n_heads, "most").join(heads.select("node_id", "er"), "node_id")
+    right = right.select(F.col("node_id").alias("dst"), "er", F.zip_with("most", "er", lambda m, r: _leaky(m + r, slope)).alias("top"))
+    rows = edges.select("src", "dst").join(heads.select(F.col("node_id").alias("src"), "el", *carried), "src").join(right, "dst")
+    w = F.transform(F.arrays_zip("el", "er", "top"), lambda t: F.exp(_leaky(t["el"] + t["er"], slope) - t["top"]))
+    return rows.select("src", "dst", *carried, w.alias("w"))
+
+
 def edge_softmax(edges: DataFrame, heads: DataFrame, n_heads: int, slope: float = 0.2) -> DataFrame:
     """(src, dst, alpha): attention of each in-edge by head; heads has (node_id, el, er), arrays by head.
 
-    The largest score and the sum by destination are grouped aggregates joined
-    back, so that no node's in-edges are gathered.
+    The sum by destination is a grouped aggregate joined back, so that no
+    node's in-edges are gathered.
     """
-    left = heads.select(F.col("node_id").alias("src"), "el")
-    right = heads.select(F.col("node_id").alias("dst"), "er")
-    leak = lambda v: F.when(v > 0, v).otherwise(v * slope)
-    scored = edges.select("src", "dst").join(left, "src").join(right, "dst").select("src", "dst", F.zip_with("el", "er", lambda a, b: leak(a + b)).alias("e"))
-    top = scored.groupBy("dst").agg(*(F.max(F.col("e")[k]).alias(f"c{k}") for k in range(n_heads))).select("dst", F.array(*(f"c{k}" for k in range(n_heads))).alias("top"))
-    grown = scored.join(top, "dst").select("src", "dst", F.zip_with("e", "top", lambda e, m: F.exp(e - m)).alias("w"))
-    total = grown.groupBy("dst").agg(*(F.sum(F.col("w")[k]).alias(f"c{k}") for k in range(n_heads))).select("dst", F.array(*(f"c{k}" for k in range(n_heads))).alias("total"))
-    return grown.join(total, "dst").select("src", "dst", F.zip_with("w", "total", lambda w, t: w / t).alias("alpha"))
-
-
-def attended_sum(alpha: DataFrame, q: DataFrame, n_heads: int, width: int) -> DataFrame:
-    """(node_id, s): by head, the attention-weighted sum of q (heads laid end to end) over in-edges."""
-    rows = alpha.join(q.select(F.col("node_id").alias("src"), "q"), "src")
-    sums = [F.sum(F.col("alpha")[k] * F.col("q")[k * width + j]).alias(f"c{k * width + j}") for k in range(n_heads) for j in range(width)]
-    return _packed(rows.groupBy("dst").agg(*sums), n_heads * width, "s")
+    rows = cut(_scored(edges, heads, n_heads, slope))
+    total = _packed(rows.groupBy("dst").agg(*_components("w", n_heads, F.sum)), n_heads, "total").withColumnRenamed("node_id", "dst")
+    return rows.join(total, "dst").select("src", "dst", F.zip_with("w", "total", lambda w, t: w / t).alias("alpha"))
+
+
+def attended_sum(edges: DataFrame, heads: DataFrame, n_heads: int, width: int, slope: float = 0.2, factor: Column | None = None) -> DataFrame:
+    """(node_id, s): by head, the attention-weighted sum of q (heads laid end to end) over in-edges; heads has (node_id, q, el, er).
+
+    One grouped aggregate: weights and weighted sums are divided at the node.
+    ``factor`` (by head, of src and dst) multiplies what an edge passes on.
+    """
+    rows = _scored(edges, heads, n_heads, slope, "q").withColumn("f", F.lit(None) if factor is None else factor)
+    passed = lambda k: F.col("w")[k] if factor is None else F.col("w")[k] * F.col("f")[k]
+    sums = [F.sum(passed(k) * F.col("q")[k * width + j]).alias(f"c{k * width + j}") for k in range(n_heads) for j in range(width)]
+    rows = rows.groupBy("dst").agg(*sums, *(F.sum(F.col("w")[k]).alias(f"t{k}") for k in range(n_heads)))
+    shares = F.array(*(F.col(f"c{k * width + j}") / F.col(f"t{k}") for k in range(n_heads) for j in range(width)))
+    return rows.select(F.col("dst").alias("node_id"), shares.alias("s"))

@@ -14,7 +14,7 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.common import cut
+from weftgraph.common import cut, ranked
 from weftgraph.graph import Graph, both_directions
 
 
@@ -45,16 +45,21 @@ def grown_parts(graph: Graph, k: int, rounds: int = 5) -> DataFrame:
 
 
 def _even(labels: DataFrame, k: int) -> DataFrame:
-    """Nodes in the order of (label, node_id), in k even chunks, by range partitions that each count their own rows."""
-    dealt = cut(labels.repartitionByRange("label", "node_id").sortWithinPartitions("label", "node_id").withColumn("at", F.monotonically_increasing_id()))
-    dealt = dealt.select("node_id", F.shiftright("at", 33).alias("p"), F.col("at").bitwiseAND((1 << 33) - 1).alias("own"))
-    sizes = dealt.groupBy("p").agg(F.count("*").alias("n"))  # a row for each partition
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.p") < F.col("a.p"), "left").groupBy("a.p").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    rank = dealt.join(F.broadcast(before), "p").select("node_id", (F.col("own") + F.col("before")).alias("rank"))
+    """Nodes in the order of (label, node_id), in k even chunks."""
+    rank = ranked(labels, "label", "node_id")
     n = rank.agg(F.count("*")).scalar()
     return rank.select("node_id", F.least(F.floor(F.col("rank") * k / n), F.lit(k - 1)).cast("int").alias("part_id"))
 
 
+def edge_cut(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """One row (n_edges, n_cut, n_remote, largest): edges, those between parts, nodes that a part needs from another, and the largest part."""
+    end = lambda c: parts.select(F.col("node_id").alias(c), F.col("part_id").alias(f"{c}_part"))
+    rows = edges.select("src", "dst").join(end("src"), "src").join(end("dst"), "dst")
+    needs = rows.where("src_part <> dst_part").select("dst_part", "src").distinct()
+    counts = rows.agg(F.count("*").alias("n_edges"), F.count_if(F.col("src_part") != F.col("dst_part")).alias("n_cut"))
+    return counts.withColumns({"n_remote": needs.agg(F.count("*")).scalar(), "largest": parts.groupBy("part_id").agg(F.count("*").alias("n")).agg(F.max("n")).scalar()})
+
+
 PARTITIONERS = {
     "random": lambda graph, k, **o: random_parts(graph.nodes, k, **o),
     "hash": lambda graph, k, **o: hashed_parts(graph.nodes, k, **o),
@@ -90,35 +95,43 @@ def balance_rate(sizes: DataFrame) -> DataFrame:
     return sizes.agg(F.try_divide(F.min("n"), F.max("n")).alias("rate"))
 
 
-def choose_swap(edges: DataFrame, parts: DataFrame, counts: DataFrame, psd: str = "reference") -> DataFrame:
-    """One row (ps, pt, ns, nt): ns of the most dependent part goes for nt of the least dependent one.
+def choose_swap(edges: DataFrame, parts: DataFrame, counts: DataFrame, psd: str = "reference", most: int = 1) -> DataFrame:
+    """(ps, pt, ns, nt): ns of the most dependent part goes for nt of the least dependent one; ``most`` rows at most.
 
     ns has the most neighbours on which ps depends through one member only,
     nt the fewest neighbours that count; equal ones go by id. What does not
     count for nt is empty by the rule as it stands (``reference``), or all
-    that ps depends on or owns but the nodes freed by ns (``union``).
+    that ps depends on or owns but the nodes freed by ns (``union``). Edges
+    are distinct. Only the edges of the two parts' members are grouped.
     """
-    edges = edges.select("src", "dst").distinct()
-    outside = dependencies(counts, parts)
-    sizes = dependency_sizes(outside, parts)
-    ends = sizes.agg(F.max_by("part_id", F.struct("n", "part_id")).alias("ps"), F.min_by("part_id", F.struct("n", "part_id")).alias("pt"))
-    ends = F.broadcast(ends)  # one row
-    single = outside.where("cnt = 1").join(ends, F.col("part_id") == F.col("ps"), "left_semi").select(F.col("node_id").alias("dst"))
-    gain = edges.join(single, "dst", "left_semi").groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("gain"))
-    members = parts.join(ends, F.col("part_id") == F.col("ps")).select("node_id").join(gain, "node_id", "left").fillna(0, ["gain"])
-    ns = members.agg(F.min_by("node_id", F.struct(-F.col("gain"), "node_id")).alias("ns"))
-    counted = edges
-    if psd == "union":
-        freed = edges.join(F.broadcast(ns), F.col("src") == F.col("ns"), "left_semi").join(single, "dst", "left_semi").select(F.col("dst").alias("node_id"))
-        near = outside.join(ends, F.col("part_id") == F.col("ps"), "left_semi").select("node_id").join(freed, "node_id", "left_anti")
-        owned = parts.join(ends, F.col("part_id") == F.col("ps"), "left_semi").select("node_id").join(F.broadcast(ns), F.col("node_id") == F.col("ns"), "left_anti")
-        counted = edges.join(near.unionByName(owned).distinct().withColumnRenamed("node_id", "dst"), "dst", "left_anti")
-    elif psd != "reference":
+    return _choose(edges, parts, cut(dependencies(counts, parts)), psd, most)
+
+
+def _choose(edges: DataFrame, parts: DataFrame, outside: DataFrame, psd: str, most: int) -> DataFrame:
+    if psd not in ("reference", "union"):
         raise ValueError(psd)
+    spark = edges.sparkSession
+    kinds = "ps int, pt int, ns long, nt long"
+    sizes = [(r["n"], r["part_id"]) for r in dependency_sizes(outside, parts).collect()]  # a row for each part
+    if not sizes:
+        return spark.createDataFrame([], kinds)
+    ps, pt = max(sizes)[1], min(sizes)[1]
+    members = lambda p: parts.where(F.col("part_id") == p).select("node_id")
+    of = lambda p: edges.join(members(p).withColumnRenamed("node_id", "src"), "src", "left_semi")
+    single = outside.where((F.col("part_id") == ps) & (F.col("cnt") == 1)).select(F.col("node_id").alias("dst"))
+    gain = of(ps).join(single, "dst", "left_semi").groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("gain"))
+    best = members(ps).join(gain, "node_id", "left").fillna(0, ["gain"]).orderBy(F.desc("gain"), "node_id").limit(most)
+    ns = [r["node_id"] for r in best.collect()]
+    counted = of(pt)
+    if psd == "union" and ns:
+        freed = edges.where(F.col("src") == ns[0]).join(single, "dst", "left_semi").select(F.col("dst").alias("node_id"))
+        near = outside.where(F.col("part_id") == ps).select("node_id").join(freed, "node_id", "left_anti")
+        owned = members(ps).where(F.col("node_id") != ns[0])
+        counted = counted.join(near.unionByName(owned).distinct().withColumnRenamed("node_id", "dst"), "dst", "left_anti")
     cost = counted.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("cost"))
-    others = parts.join(ends, F.col("part_id") == F.col("pt")).select("node_id").join(cost, "node_id", "left").fillna(0, ["cost"])
-    nt = others.agg(F.min_by("node_id", F.struct("cost", "node_id")).alias("nt"))
-    return ends.withColumns({"ns": ns.scalar(), "nt": nt.scalar()})
+    least = members(pt).join(cost, "node_id", "left").fillna(0, ["cost"]).orderBy("cost", "node_id").limit(most)
+    nt = [r["node_id"] for r in least.collect()]
+    return spark.createDataFrame([(ps, pt, a, b) for a, b in zip(ns, nt, strict=False)], kinds)
 
 
 def swapped(parts: DataFrame, ps, pt, ns, nt) -> DataFrame:
@@ -133,28 +146,58 @@ def swap_counts(edges: DataFrame, counts: DataFrame, ps: int, pt: int, ns: int,
     return counts.unionByName(sign(ps, pt, ns)).unionByName(sign(pt, ps, nt)).groupBy("part_id", "node_id").agg(F.sum("cnt").alias("cnt")).where("cnt > 0")
 
 
-def refine(graph: Graph, parts: DataFrame, max_iter: int | None = None, check_every: int = 10, keep_best: bool = False, psd: str = "reference") -> DataFrame:
+def _owned(counts: DataFrame, parts: DataFrame) -> DataFrame:
+    return counts.join(parts.select("node_id", F.col("part_id").alias("own")), "node_id").select("part_id", "node_id", "cnt", "own")
+
+
+def _after(state: DataFrame, edges: DataFrame, parts: DataFrame, moved: DataFrame) -> DataFrame:
+    """The state (part_id, node_id, cnt, own) after moves (node_id, frm, to); ``parts`` has them already.
+
+    What changes is the neighbours of the moved nodes: a small table, which is
+    joined to the state where that is.
+    """
+    near = edges.join(F.broadcast(moved), F.col("src") == F.col("node_id")).select("frm", "to", F.col("dst").alias("node_id"))
+    each = F.inline(F.array(F.struct(F.col("frm").alias("part_id"), F.lit(-1).cast("long").alias("d")), F.struct(F.col("to").alias("part_id"), F.lit(1).cast("long").alias("d"))))
+    delta = cut(near.select("node_id", each).groupBy("part_id", "node_id").agg(F.sum("d").alias("d")))
+    key = ["part_id", "node_id"]
+    new = delta.join(state.join(delta, key, "left_semi").select(*key), key, "left_anti")
+    kept = state.join(delta, key, "left").withColumn("cnt", F.col("cnt") + F.coalesce("d", F.lit(0))).drop("d")
+    kept = kept.join(F.broadcast(moved.select("node_id", "to")), "node_id", "left").select(*key, "cnt", F.coalesce("to", "own").alias("own"))
+    return kept.unionByName(_owned(new.withColumnRenamed("d", "cnt"), parts)).where("cnt > 0")
+
+
+def refine(graph: Graph, parts: DataFrame, max_iter: int | None = None, check_every: int = 10, keep_best: bool = False, psd: str = "reference", swaps: int = 1, log: list[dict] | None = None) -> DataFrame:
     """Swaps until the balance rate of the dependency sizes has not grown between two checks; part sizes stay.
 
     It always stops: the rate grows from check to check and is 1 at most. A
-    ``max_iter`` that ends it before gives a warning.
-
-    Every iteration is two Spark jobs over the member counts, which change only
-    around the two nodes. The state at the stop is returned, or the best seen.
+    ``max_iter`` that ends it before gives a warning. ``swaps`` pairs go at
+    once in an iteration; the surveyed rule takes one. Each iteration adds a
+    row to ``log``: iteration, ps, pt, how many were swapped, the rate, and
+    the smallest and largest number of dependencies of a part.
+
+    The state, a count for each part and node it has to do with, is carried
+    from iteration to iteration and changed around the swapped nodes without
+    a shuffle. The assignment at the stop is returned, or the best seen.
     """
     edges = cut(both_directions(graph.edges.where("src <> dst")).distinct())
-    parts, counts = cut(parts), cut(member_counts(edges, parts))
+    parts = cut(parts.select("node_id", "part_id"))
+    state = cut(_owned(member_counts(edges, parts), parts))
     last, best, best_rate = 0.0, parts, -1.0
     for i in itertools.count():
         if i == max_iter:
             warnings.warn(f"refine ended by max_iter={max_iter}, not by its stop rule", stacklevel=2)
             break
-        swap = choose_swap(edges, parts, counts, psd).first()
-        if swap is None or swap["ns"] is None or swap["nt"] is None or swap["ps"] == swap["pt"]:
+        chosen = _choose(edges, parts, state.where("own <> part_id"), psd, swaps).collect()
+        if not chosen or chosen[0]["ps"] == chosen[0]["pt"]:
             break
-        counts = cut(swap_counts(edges, counts, *swap))
-        parts = cut(swapped(parts, *swap))
-        rate = balance_rate(dependency_sizes(dependencies(counts, parts), parts)).first()["rate"] or 0.0
+        moves = [m for r in chosen for m in ((r["ns"], r["ps"], r["pt"]), (r["nt"], r["pt"], r["ps"]))]
+        moved = graph.edges.sparkSession.createDataFrame(moves, "node_id long, frm int, to int")
+        parts = cut(parts.join(F.broadcast(moved), "node_id", "left").select("node_id", F.coalesce("to", "part_id").alias("part_id")))
+        state = cut(_after(state, edges, parts, moved))
+        sizes = [r["n"] for r in dependency_sizes(state.where("own <> part_id"), parts).collect()]
+        rate = min(sizes) / max(sizes) if max(sizes) else 0.0
+        if log is not None:
+            log.append({"iteration": i, "ps": chosen[0]["ps"], "pt": chosen[0]["pt"], "swapped": len(chosen), "rate": rate, "least": min(sizes), "most": max(sizes)})
         if rate > best_rate:
             best, best_rate = parts, rate
         if i % check_every == 0:

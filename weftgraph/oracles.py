@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from weftgraph.queries import CLASSES, GAT_HEADS, GAT_WIDTH, HIDDEN, K, WIDTH
 from weftgraph.sources.fixtures import KARATE_TIES, SIMPLE_EDGES
 from weftgraph.sources.registry import DATASETS
@@ -97,8 +99,8 @@ oracle("positional_split_counts", PS, """SELECT count_if(node_id < floor(n * 0.7
 oracle("mask_split_counts", features(1), "SELECT label, count_if(train_mask)::BIGINT AS n_train, count_if(val_mask)::BIGINT AS n_val, count_if(NOT (train_mask OR val_mask))::BIGINT AS n_test FROM vectors GROUP BY label")
 oracle("adjacency_lists", PS, "SELECT n.node_id, coalesce(string_agg((e.dst + 1)::VARCHAR, ' ' ORDER BY e.dst), '') AS nbrs FROM ids n LEFT JOIN edges e ON n.node_id = e.src GROUP BY n.node_id")
 oracle("inductive_subgraph_train", PS, "SELECT e.src, e.dst FROM edges e JOIN nodes a ON e.src = a.node_id JOIN nodes b ON e.dst = b.node_id WHERE a.train_mask AND b.train_mask")
-oracle("gather_rows", features(4), LONG + "(SELECT h.* FROM h JOIN nodes USING (node_id) WHERE val_mask)")
-oracle("scatter_rows", features(4), LONG + "(SELECT node_id, j, CASE WHEN test_mask THEN j::DOUBLE ELSE v END AS v FROM h JOIN nodes USING (node_id))")
+oracle("gather_rows", features(), LONG + "(SELECT h.* FROM h JOIN nodes USING (node_id) WHERE val_mask)")
+oracle("scatter_rows", features(), LONG + "(SELECT node_id, j, CASE WHEN test_mask THEN j::DOUBLE ELSE v END AS v FROM h JOIN nodes USING (node_id))")
 oracle("multilabel_class_map", "g AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id)",
        """SELECT doc_id AS node_id, j, coalesce(CASE j WHEN 0 THEN quality ELSE toxic END, 0)::DOUBLE AS v FROM documents LEFT JOIN g USING (doc_id), (SELECT unnest([0, 1])::INTEGER AS j)""")
 oracle("role_list_masks", "SELECT s_suppkey AS node_id, s_suppkey % 3 = 0 AS train_mask, s_suppkey % 3 = 1 AS val_mask, s_suppkey % 3 = 2 AS test_mask FROM supplier")
@@ -123,10 +125,9 @@ oracle("node_class_dih", CO, DIH, "SELECT part_id, node_id, cls FROM classes")
 oracle("dependent_sets", CO, "SELECT DISTINCT dst_part AS part_id, src_part AS owner_part, dst AS node_id FROM crossing")
 oracle("exclusive_dep_counts", CO, "o AS (SELECT dst_part AS part_id, dst, min(src_part) AS owner_part FROM crossing GROUP BY dst_part, dst HAVING count(DISTINCT src_part) = 1)", "SELECT part_id, owner_part, count(*) AS n FROM o GROUP BY part_id, owner_part")
 oracle("exchange_plan", CO, "SELECT DISTINCT dst_part AS consumer_part, src_part AS owner_part, src AS node_id FROM crossing")
-oracle("send_counts", CO, "SELECT dst_part AS consumer_part, src_part AS owner_part, count(DISTINCT src) AS n FROM crossing WHERE src % 2 = 0 GROUP BY dst_part, src_part")
-oracle("halo_features", features(2, CO), f"""SELECT c.dst_part AS consumer_part, c.src_part AS owner_part, c.src AS node_id, {r('v.embedding[1]::DOUBLE')} AS x0, {r('v.embedding[2]::DOUBLE')} AS x1
-  FROM (SELECT DISTINCT dst_part, src_part, src FROM crossing) c JOIN vectors v ON c.src = v.node_id""")
-oracle("halo_zero_fill", features(2), LONG + "(SELECT h.node_id, j, CASE WHEN train_mask THEN v ELSE 0 END AS v FROM h JOIN nodes USING (node_id))")
+oracle("send_counts", CO, "SELECT dst_part AS consumer_part, src_part AS owner_part, count(DISTINCT src) AS n FROM crossing WHERE src IN (SELECT c_custkey FROM customer) GROUP BY dst_part, src_part")
+oracle("halo_features", features(base=CO), f"SELECT c.dst_part AS consumer_part, c.src_part AS owner_part, c.src AS node_id, h.j, {r('h.v')} AS v FROM (SELECT DISTINCT dst_part, src_part, src FROM crossing) c JOIN h ON c.src = h.node_id")
+oracle("halo_zero_fill", features(), LONG + "(SELECT h.node_id, j, CASE WHEN train_mask THEN v ELSE 0 END AS v FROM h JOIN nodes USING (node_id))")
 oracle("partition_report", CO, DIH, """SELECT c.part_id, c.n_all, c.n_local, coalesce(e.n, 0) AS n_edges, c.n_dependent, round(100.0::DOUBLE * c.n_dependent / c.n_local, 6) AS pct_dependent, c.n_remote
   FROM (SELECT part_id, count(*) AS n_all, count_if(cls <> 'H')::BIGINT AS n_local, count_if(cls = 'D')::BIGINT AS n_dependent, count_if(cls = 'H')::BIGINT AS n_remote FROM classes GROUP BY part_id) c
   LEFT JOIN (SELECT part_id, count(*) AS n FROM edges JOIN parts ON dst = node_id GROUP BY part_id) e USING (part_id)""")
@@ -134,13 +135,23 @@ oracle("dep_counters", CO, COUNTS, "SELECT part_id, node_id, cnt FROM outside")
 oracle("dep_balance_rate", CO, COUNTS, f"SELECT {r('min(n) / max(n)')} AS rate FROM sizes")
 oracle("swap_candidates", CO, COUNTS, SWAP, "SELECT ps, pt, ns, nt FROM swap")
 oracle("swap_one_step", CO, COUNTS, SWAP, "SELECT node_id, CASE WHEN node_id = (SELECT ns FROM swap) THEN (SELECT pt FROM swap) WHEN node_id = (SELECT nt FROM swap) THEN (SELECT ps FROM swap) ELSE part_id END AS part_id FROM parts")
+
+
+def swap_step(before: str, n: int) -> list[str]:
+    """Tables of one swap from the parts of ``before``; the last of them is parts_n."""
+    named = lambda sql: re.sub(r"\b(counts|outside|sizes|ends|single|gain|cost|swap)\b", rf"\g<1>_{n}", re.sub(r"\bparts\b", before, sql))
+    moved = f"parts_{n} AS MATERIALIZED (SELECT node_id, CASE WHEN node_id = (SELECT ns FROM swap_{n}) THEN (SELECT pt FROM swap_{n}) WHEN node_id = (SELECT nt FROM swap_{n}) THEN (SELECT ps FROM swap_{n}) ELSE part_id END AS part_id FROM {before})"
+    return [re.sub(r"(?m)^(\w+) AS \(", r"\1 AS MATERIALIZED (", named(f"{COUNTS},\n{SWAP}")), moved]
+
+
+oracle("swap_three_steps", CO, *swap_step("parts", 1), *swap_step("parts_1", 2), *swap_step("parts_2", 3), "SELECT node_id, part_id FROM parts_3")
 oracle("bins_naive", CO, "SELECT part_id, node_id, floor((row_number() OVER (PARTITION BY part_id ORDER BY node_id) - 1) / 100)::INTEGER AS bin_id FROM parts")
 oracle("bins_prio", CO, DIH, f"SELECT part_id, node_id, CASE WHEN cls = 'D' THEN 0 ELSE 1 + floor((row_number() OVER (PARTITION BY part_id, cls ORDER BY node_id) - 1) / {50 * (WIDTH // HIDDEN)}) END::INTEGER AS bin_id FROM classes WHERE cls <> 'H'")
 
 # Hops and layers
 
-oracle("sage_mean_hop", features(64), LONG + mean_of("h"))
-oracle("sage_mean_hop_long", features(8), LONG + mean_of("h"))
+oracle("sage_mean_hop", features(), LONG + mean_of("h"))
+oracle("sage_mean_hop_long", features(), LONG + mean_of("h"))
 oracle("sage_gcn_hop", features(), LONG + "(SELECT h.node_id, h.j, (any_value(h.v) + coalesce(sum(x.v), 0)) / (count(x.v) + 1) AS v FROM h LEFT JOIN edges e ON h.node_id = e.dst LEFT JOIN h x ON e.src = x.node_id AND x.j = h.j GROUP BY h.node_id, h.j)")
 oracle("sage_pool_hop", features(), f"p AS (SELECT node_id, j, greatest(v + {bias(0)}, 0.0::DOUBLE) AS v FROM {product('h', WIDTH, HIDDEN)})", LONG + "(SELECT e.dst AS node_id, p.j, max(p.v) AS v FROM edges e JOIN p ON e.src = p.node_id GROUP BY ALL)")
 oracle("gcn_norm_hop", features(), DEGREES, LONG + gcn_sum("h"))
@@ -162,7 +173,11 @@ GAT = (features(), f"q AS MATERIALIZED {product('h', WIDTH, GAT_HEADS * GAT_WIDT
 oracle("gat_edge_softmax", *GAT, f"SELECT src, dst, {r('max(CASE WHEN k = 0 THEN alpha END)')} AS alpha0, {r('max(CASE WHEN k = 1 THEN alpha END)')} AS alpha1 FROM alpha GROUP BY src, dst")
 oracle("gat_layer_concat", *GAT, LONG + "full_att")
 oracle("gat_layer_mean", *GAT, f"SELECT node_id, (j % {GAT_WIDTH})::INTEGER AS j, {r('avg(v)')} AS v FROM full_att GROUP BY node_id, j % {GAT_WIDTH}")
-oracle("standard_scale_train", features(4), "s AS (SELECT j, avg(v) AS m, CASE WHEN stddev_pop(v) = 0 THEN 1 ELSE stddev_pop(v) END AS sd FROM h JOIN nodes USING (node_id) WHERE train_mask GROUP BY j)", LONG + "(SELECT node_id, j, (v - m) / sd AS v FROM h JOIN s USING (j))")
+oracle("standard_scale_train", features(), "t AS MATERIALIZED (SELECT h.* FROM h JOIN (SELECT node_id FROM nodes WHERE train_mask) USING (node_id))",
+       "s AS MATERIALIZED (SELECT j, avg(v) AS m, CASE WHEN stddev_pop(v) = 0 THEN 1 ELSE stddev_pop(v) END AS sd FROM t GROUP BY j)", LONG + "(SELECT node_id, j, (v - m) / sd AS v FROM h JOIN s USING (j))")
+PRIME = 2147483647
+oracle("dropout_forward", features(), f"a AS (SELECT node_id, j, v, (node_id % {PRIME} * 1103515245 + (j + 1) * 12345677 + 7 * 7919 + 1) % {PRIME} AS a FROM h)",
+       f"b AS (SELECT *, (a * a + (j + 1) * 40503) % {PRIME} AS b FROM a)", LONG + f"(SELECT node_id, j, CASE WHEN ((b * b + a) % {PRIME}) / {PRIME}::DOUBLE < 0.5 THEN 0.0 ELSE v / 0.5 END AS v FROM b)")
 
 # Losses, metrics, gradients
 
@@ -189,8 +204,7 @@ ENTRIES = """entries AS (
 oracle("weight_grad_last_layer", *LOGITS, GRAD, ENTRIES, f"SELECT name, i, j, {r('v')} AS v FROM entries")
 oracle("adam_single_step", *LOGITS, GRAD, ENTRIES, f"""SELECT name, i, j, {r("CASE WHEN name = 'W' THEN ((i * 7 + j * 13) % 17 - 8) / 16.0 ELSE ((j * 5) % 7 - 3) / 8.0 END - 0.01 * ((0.1 * v) / (1 - 0.9)) / (sqrt((0.001 * v * v) / (1 - 0.999)) + 1e-8)")} AS v FROM entries""")
 oracle("partition_grad_mean", *LOGITS, "own AS (SELECT part_id, j, sum(p - (j = label)::INTEGER) / count(*) AS v FROM soft JOIN parts USING (node_id) GROUP BY part_id, j)", f"SELECT j, {r('avg(v)')} AS v FROM own GROUP BY j")
-oracle("gradient_merge_sum", features(2, CO), f"""SELECT node_id, {r('sum(embedding[1]::DOUBLE)')} AS g0, {r('sum(embedding[2]::DOUBLE)')} AS g1
-  FROM (SELECT DISTINCT dst_part, src FROM crossing) c JOIN vectors v ON c.src = v.node_id GROUP BY node_id""")
+oracle("gradient_merge_sum", features(base=CO), LONG + "(SELECT h.node_id, h.j, sum(h.v) AS v FROM (SELECT DISTINCT dst_part, src FROM crossing) c JOIN h ON c.src = h.node_id GROUP BY ALL)")
 oracle("backprop_hidden_grad", features(), DEGREES, f"dz AS (SELECT * FROM h WHERE j < {HIDDEN})",
        f"own AS (SELECT d.node_id, w.j::INTEGER AS j, sum(d.v * w.w) AS v FROM dz d JOIN {weights(WIDTH, HIDDEN, 0)} w ON d.j = w.k GROUP BY ALL)",
        f"share AS (SELECT d.node_id, w.j::INTEGER AS j, sum(d.v * w.w) / any_value(din) AS v FROM dz d JOIN {weights(WIDTH, HIDDEN, 5)} w ON d.j = w.k JOIN din USING (node_id) GROUP BY d.node_id, w.j)",

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from weftgraph.common import cut
 from weftgraph.graph import Graph
@@ -41,3 +43,9 @@ def grid(**choices: list) -> list[dict]:
     for name, values in choices.items():
         runs = [r | {name: v} for r in runs for v in values]
     return runs
+
+
+def run_grid(graph: Graph, k: int, series: list[dict]) -> DataFrame:
+    """(run, part_id, n_all, ...): the report of each run of a series, whose entries are options of ``prepare``."""
+    reports = [prepare(graph, k, **options).report.withColumn("run", F.lit(i)) for i, options in enumerate(series)]
+    return reduce(DataFrame.unionByName, reports)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weftgraph.common import cut, new_folder, table
 from weftgraph.functions import activations, losses
 from weftgraph.functions.scaling import standard_scale
-from weftgraph.graph import Graph, fill_missing, gather, masks_by_position, num_classes, num_nodes, scatter
+from weftgraph.graph import Graph, fill_missing, gather, masks_by_position, masks_by_roles, num_classes, num_nodes, scatter
 from weftgraph.operators import aggregate as agg
 from weftgraph.operators import classify, partitioning
 from weftgraph.plans import bins, layers
@@ -21,7 +21,7 @@ from weftgraph.sources.fixtures import karate, simple_graph
 from weftgraph.sources.registry import datasets
 from weftgraph.sources.tables import customer_order, customer_order_parts, part_supplier, with_embeddings
 
-K, WIDTH, HIDDEN, CLASSES = 4, 16, 8, 10
+K, WIDTH, HIDDEN, CLASSES = 4, 64, 8, 10
 DIGITS = 5
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,14 +129,14 @@ def inductive_subgraph_train(spark, sf_dir):
 
 @query
 def gather_rows(spark, sf_dir):
-    graph, nodes = features(spark, sf_dir, 4)
+    graph, nodes = features(spark, sf_dir)
     return long(gather(nodes, graph.nodes.where("val_mask")), "x")
 
 
 @query
 def scatter_rows(spark, sf_dir):
-    graph, nodes = features(spark, sf_dir, 4)
-    new = graph.nodes.where("test_mask").select("node_id", F.array(*(F.lit(float(j)) for j in range(4))).alias("x"))
+    graph, nodes = features(spark, sf_dir)
+    new = graph.nodes.where("test_mask").select("node_id", F.array(*(F.lit(float(j)) for j in range(WIDTH))).alias("x"))
     return long(scatter(nodes.select("node_id", "x"), new, "x"), "x")
 
 
@@ -150,12 +150,11 @@ def multilabel_class_map(spark, sf_dir):
 
 @query
 def role_list_masks(spark, sf_dir):
-    """Masks from one row of id lists, as a role file gives them."""
-    from weftgraph.graph import masks_by_lists
-
+    """Masks from rows of (node_id, role), as a role file gives them."""
     nodes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node_id"))
-    roles = nodes.agg(*(F.collect_list(F.when(F.col("node_id") % 3 == r, F.col("node_id"))).alias(c) for r, c in enumerate(("tr", "va", "te"))))
-    return masks_by_lists(nodes, roles)
+    digit = F.col("node_id") % 3
+    roles = nodes.select("node_id", F.when(digit == 0, "tr").when(digit == 1, "va").otherwise("te").alias("role"))
+    return masks_by_roles(nodes, roles)
 
 
 @query
@@ -231,10 +230,10 @@ def exchange_plan(spark, sf_dir):
 
 @query
 def send_counts(spark, sf_dir):
-    """How many of the even nodes, as just produced, each owner sends to each consumer."""
+    """How many of the customers, as just produced, each owner sends to each consumer."""
     graph, parts = co_located(spark, sf_dir)
     plan = classify.exchange(classify.boundary(graph.edges, parts))
-    sent = classify.to_send(plan, graph.nodes.where("node_id % 2 = 0"))
+    sent = classify.to_send(plan, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id")))
     return sent.groupBy("consumer_part", "owner_part").agg(F.count("*").alias("n"))
 
 
@@ -242,15 +241,16 @@ def send_counts(spark, sf_dir):
 def halo_features(spark, sf_dir):
     graph, parts = co_located(spark, sf_dir)
     plan = classify.exchange(classify.boundary(graph.edges, parts))
-    rows = classify.halo_features(plan, with_embeddings(spark, sf_dir, graph.nodes, 2))
-    return rows.select("consumer_part", "owner_part", "node_id", rounded(F.col("x")[0]).alias("x0"), rounded(F.col("x")[1]).alias("x1"))
+    rows = classify.halo_features(plan, with_embeddings(spark, sf_dir, graph.nodes, WIDTH))
+    rows = rows.select("consumer_part", "owner_part", "node_id", F.posexplode("x").alias("j", "v"))
+    return rows.withColumn("v", rounded(F.col("v")))
 
 
 @query
 def halo_zero_fill(spark, sf_dir):
     """Features of train nodes only, zeros for the rest until they are exchanged."""
-    graph, nodes = features(spark, sf_dir, 2)
-    return long(fill_missing(graph.nodes, nodes.where("train_mask"), "x", 2), "x")
+    graph, nodes = features(spark, sf_dir)
+    return long(fill_missing(graph.nodes, nodes.where("train_mask"), "x", WIDTH), "x")
 
 
 @query
@@ -272,18 +272,27 @@ def dep_balance_rate(spark, sf_dir):
     return partitioning.balance_rate(partitioning.dependency_sizes(outside, parts)).select(rounded(F.col("rate")).alias("rate"))
 
 
+def swapping(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges, parts, and the counts of members that have a node as neighbour."""
+    graph, parts = co_located(spark, sf_dir)
+    edges, parts = cut(graph.edges.distinct()), cut(parts)
+    return edges, parts, cut(partitioning.member_counts(edges, parts))
+
+
 @query
 def swap_candidates(spark, sf_dir):
-    graph, parts = co_located(spark, sf_dir)
-    return partitioning.choose_swap(graph.edges, parts, partitioning.member_counts(graph.edges, parts))
+    return partitioning.choose_swap(*swapping(spark, sf_dir))
 
 
 @query
 def swap_one_step(spark, sf_dir):
-    graph, parts = co_located(spark, sf_dir)
-    swap = partitioning.choose_swap(graph.edges, parts, partitioning.member_counts(graph.edges, parts))
-    ps, pt, ns, nt = (cut(swap).select(c).scalar() for c in ("ps", "pt", "ns", "nt"))
-    return partitioning.swapped(parts, ps, pt, ns, nt)
+    edges, parts, counts = swapping(spark, sf_dir)
+    return partitioning.swapped(parts, *partitioning.choose_swap(edges, parts, counts).first())
+
+
+@query
+def swap_three_steps(spark, sf_dir):
+    return partitioning.refine(*co_located(spark, sf_dir), max_iter=3)
 
 
 @query
@@ -313,13 +322,13 @@ def bins_prio(spark, sf_dir):
 
 @query
 def sage_mean_hop(spark, sf_dir):
-    graph, nodes = features(spark, sf_dir, 64)
-    return long(agg.neighbour_mean(nodes, graph.edges, 64))
+    graph, nodes = features(spark, sf_dir)
+    return long(agg.neighbour_mean(nodes, graph.edges, WIDTH))
 
 
 @query
 def sage_mean_hop_long(spark, sf_dir):
-    graph, nodes = features(spark, sf_dir, 8)
+    graph, nodes = features(spark, sf_dir)
     rows = agg.neighbour_mean_long(nodes.select("node_id", F.posexplode("x").alias("j", "v")), graph.edges)
     return rows.select("node_id", "j", rounded(F.col("v")).alias("v"))
 
@@ -340,8 +349,8 @@ def sage_pool_hop(spark, sf_dir):
 
 @query
 def sage_lstm_hop(spark, sf_dir):
-    graph, nodes = features(spark, sf_dir, 4)
-    return long(agg.lstm_aggregate(nodes, graph.edges, dyadic(4, 16), dyadic(4, 16, 3), np.zeros(16)))
+    graph, nodes = features(spark, sf_dir)
+    return long(agg.lstm_aggregate(nodes, graph.edges, dyadic(WIDTH, 4 * WIDTH), dyadic(WIDTH, 4 * WIDTH, 3), np.zeros(4 * WIDTH)))
 
 
 @query
@@ -355,9 +364,10 @@ def sage_params(n_in: int, n_out: int, shift: int) -> dict[str, np.ndarray]:
 
 
 def forward(graph: Graph, nodes: DataFrame, model: list[layers.Layer], params: list[dict]) -> list[DataFrame]:
-    ctx, h, caches = layers.Context.of(graph), nodes.select("node_id", "x"), []
+    """Each layer's result; the last one's is not cut."""
+    ctx, h, caches = layers.Context.of(graph), cut(nodes.select("node_id", "x")), []
     for layer, p in zip(model, params, strict=True):
-        caches.append(layer.run(h, p, ctx))
+        caches.append(layer.run(h, p, ctx, keep=layer is not model[-1]))
         h = layer.output
     return caches
 
@@ -397,10 +407,8 @@ def gat_params() -> dict[str, np.ndarray]:
 @query
 def gat_edge_softmax(spark, sf_dir):
     graph, nodes = features(spark, sf_dir)
-    layer, p = layers.GatLayer(WIDTH, GAT_WIDTH, heads=GAT_HEADS), gat_params()
-    q = agg.linear(nodes.select("node_id", "x"), [("x", p["W"])], None, "q")
-    q = agg.linear(agg.linear(q, [("q", layer._by_head(p["al"]))], None, "el"), [("q", layer._by_head(p["ar"]))], None, "er")
-    alpha = agg.edge_softmax(graph.edges, cut(q), GAT_HEADS)
+    heads = layers.GatLayer(WIDTH, GAT_WIDTH, heads=GAT_HEADS).scored(nodes, gat_params())
+    alpha = agg.edge_softmax(cut(graph.edges), heads, GAT_HEADS)
     return alpha.select("src", "dst", *(rounded(F.col("alpha")[k]).alias(f"alpha{k}") for k in range(GAT_HEADS)))
 
 
@@ -424,7 +432,7 @@ def dropout_forward(spark, sf_dir):
 
 @query
 def standard_scale_train(spark, sf_dir):
-    graph, nodes = features(spark, sf_dir, 4)
+    graph, nodes = features(spark, sf_dir)
     return long(standard_scale(nodes.select("node_id", "x"), graph.nodes.where("train_mask"), "x"), "x")
 
 
@@ -508,8 +516,8 @@ def partition_grad_mean(spark, sf_dir):
 def gradient_merge_sum(spark, sf_dir):
     """Gradients that consumers hold for a node, summed at its owner: here each consumer holds the node's embedding."""
     graph, parts = co_located(spark, sf_dir)
-    rows = classify.halo_features(classify.exchange(classify.boundary(graph.edges, parts)), with_embeddings(spark, sf_dir, graph.nodes, 2))
-    return rows.groupBy("node_id").agg(rounded(F.sum(F.col("x")[0])).alias("g0"), rounded(F.sum(F.col("x")[1])).alias("g1"))
+    rows = classify.halo_features(classify.exchange(classify.boundary(graph.edges, parts)), with_embeddings(spark, sf_dir, graph.nodes, WIDTH))
+    return long(rows.groupBy("node_id").agg(F.array(*(F.sum(F.col("x")[j]) for j in range(WIDTH))).alias("g")), "g")
 
 
 @query
@@ -517,8 +525,8 @@ def backprop_hidden_grad(spark, sf_dir):
     """The gradient at the input of a mean layer, for the output gradient x * 1 (its first components)."""
     graph, nodes = features(spark, sf_dir)
     layer, p = layers.SageLayer(WIDTH, HIDDEN), sage_params(WIDTH, HIDDEN, 0)
-    ctx = layers.Context.of(graph)
-    cache = layer.run(nodes.select("node_id", "x"), p, ctx)
+    ctx, nodes = layers.Context.of(graph), cut(nodes.select("node_id", "x"))
+    cache = layer.run(nodes, p, ctx, keep=False)
     g = nodes.select("node_id", F.slice("x", 1, HIDDEN).alias("g"))
     return long(layer.pull(cache, g, p, ctx)[1], "g")
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.graph import Graph, graph_of_edges, masks_by_position
+from weftgraph.graph import Graph, graph_of_edges, masks_by_position, masks_by_roles
 from weftgraph.sources import fixtures, text
 
 
@@ -50,13 +51,15 @@ def datasets(spark: SparkSession) -> DataFrame:
 def load(spark: SparkSession, name: str, folder: str | None = None, prob: bool = False, feat_size: int = -1, seed: int = 0) -> Graph:
     """A graph by name: built in, or from ``folder``.
 
-    A folder holds nodes.parquet and edges.parquet; amazon and yelp hold
+    A folder holds nodes.parquet and edges.parquet, and where masks are not
+    columns of the nodes, split.parquet (node_id, split) as public node
+    property benchmarks give their index lists; amazon and yelp hold
     nodes.parquet, adj_full.parquet, adj_train.parquet, role.json and
     class_map.json; others may hold an edge list, edges.txt. A suffix ``+loop``
     adds self loops.
     """
     if name.endswith("+loop"):
-        return load(spark, name.removesuffix("+loop"), folder, prob, feat_size, seed).with_self_loops()
+        return _with_prob(load(spark, name.removesuffix("+loop"), folder, False, feat_size, seed).with_self_loops(), prob, seed)
     if name == "simple":
         return fixtures.simple_graph(spark, prob, feat_size, seed)
     if name == "karate":
@@ -71,6 +74,8 @@ def load(spark: SparkSession, name: str, folder: str | None = None, prob: bool =
         return _with_prob(graph, prob, seed)
     else:
         nodes = canonical_names(spark.read.parquet(f"{folder}/nodes.parquet"))
+        if "train_mask" not in nodes.columns and (split := _read_if_there(spark, f"{folder}/split.parquet")) is not None:
+            nodes = masks_by_roles(nodes, split_roles(split))
         graph = Graph(nodes, spark.read.parquet(f"{folder}/edges.parquet"))
         if "reddit" in name or "ogb" in name or "products" in name or "papers" in name:
             graph = graph.with_self_loops()
@@ -83,6 +88,19 @@ def _with_prob(graph: Graph, prob: bool, seed: int) -> Graph:
     return Graph(graph.nodes, graph.edges.withColumn("prob", F.randn(seed).cast("float"))) if prob else graph
 
 
+def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def split_roles(split: DataFrame) -> DataFrame:
+    """(node_id, role) from (node_id, split), the latter train, valid or test."""
+    role = F.when(F.col("split") == "train", "tr").when(F.col("split").startswith("val"), "va").when(F.col("split") == "test", "te")
+    return split.select("node_id", role.alias("role"))
+
+
 def canonical_names(nodes: DataFrame) -> DataFrame:
     """feat as features; labels, or its first column, as label; a NaN label as null."""
     if "feat" in nodes.columns:

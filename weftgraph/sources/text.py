@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.graph import Graph, masks_by_lists
+from weftgraph.graph import Graph, masks_by_roles
 
 
 def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
@@ -74,8 +74,10 @@ def write_assignment(parts: DataFrame, path: str) -> None:
 
 
 def read_roles(spark: SparkSession, path: str) -> DataFrame:
-    """(tr, va, te) arrays of node ids from a JSON file."""
-    return spark.read.schema("tr array<long>, va array<long>, te array<long>").json(path, multiLine=True)
+    """(node_id, role) from a JSON file of id lists by role (tr, va, te)."""
+    lists = spark.read.schema("tr array<long>, va array<long>, te array<long>").json(path, multiLine=True)
+    named = F.array(*(F.struct(F.lit(r).alias("role"), F.col(r).alias("ids")) for r in ("tr", "va", "te")))
+    return lists.select(F.explode(named).alias("l")).select(F.explode("l.ids").alias("node_id"), "l.role")
 
 
 def class_matrix(nodes: DataFrame, class_map: DataFrame, n_classes: int) -> DataFrame:
@@ -97,5 +99,5 @@ def load_multilabel(spark: SparkSession, folder: str, n_classes: int) -> Graph:
 
     train = spark.read.parquet(f"{folder}/adj_train.parquet").select(F.col("src").alias("node_id")).distinct()
     nodes = standard_scale(spark.read.parquet(f"{folder}/nodes.parquet"), train)
-    nodes = masks_by_lists(class_matrix(nodes, read_class_map(spark, f"{folder}/class_map.json"), n_classes), read_roles(spark, f"{folder}/role.json"))
+    nodes = masks_by_roles(class_matrix(nodes, read_class_map(spark, f"{folder}/class_map.json"), n_classes), read_roles(spark, f"{folder}/role.json"))
     return Graph(nodes, spark.read.parquet(f"{folder}/adj_full.parquet")).with_self_loops()
