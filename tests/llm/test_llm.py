@@ -68,6 +68,13 @@ def test_bpe_equals_the_library(spark, vocabulary, odd, nothing):
     assert bpe.encode(nothing, ranks, pattern).count() == 0
 
 
+def test_bpe_matches_whole_where_cuts_would_differ():
+    ranks = {bytes([b]): b for b in range(256)} | {b".\n": 300}
+    follows = bpe.Speller(ranks, r"\w+|[^\w\s]+\n*|\s+")  # punctuation takes the line feeds after it
+    assert follows.whole("a b") and np.frombuffer(follows.spell(["a.\nb"])[0], "<u4").tolist() == [97, 300, 98]
+    assert not bpe.Speller(ranks, r" ?\w+| ?[^\w\s]+|\s+(?!\S)|\s+").whole("a b")
+
+
 @pytest.mark.parametrize("many", [3, 10**9])
 def test_bpe_forgets_and_respects_lower_ranks(monkeypatch, many):
     monkeypatch.setattr(bpe, "MANY_WORDS", many)
@@ -436,11 +443,24 @@ def test_quality_rules(spark, odd, nothing):
     assert quality_rules.judge(ODD[-1], quality_rules.Rules())[:6] == brute_base(ODD[-1])
     kept = {r["doc_id"] for r in rows if r["kept"]}
     assert kept == {0, 3}
-    assert next(r["cleaned_text"] for r in rows if r["doc_id"] == 3) == clean
-    assert quality_rules.clean_documents(docs(spark, texts)).count() == 2
+    cleaned = quality_rules.clean_documents(docs(spark, texts).withColumn("kept", F.lit("clash"))).collect()
+    assert {(r["doc_id"], r["text"], r["kept"]) for r in cleaned} == {(0, clean, "clash"), (3, clean, "clash")}
+    assert quality_rules.clean_documents(docs(spark, texts), quality_rules.Rules(min_words=1)).count() == 3
+    assert quality_rules.clean_documents(nothing).count() == 0
     assert quality_rules.apply_rules(nothing).count() == 0
 
 
+def test_lines_that_fail():
+    def kept(text):
+        return quality_rules.judge(text, quality_rules.Rules(max_lost=1.0, min_words=0))[7]
+
+    body = "A sentence of several words that ends well.\nAnd another one here, \u00e9t\u00e9 too!"
+    for bad in ("Home\nAbout us\n\nContact", "https://a.example/x www.b.example", "Tous droits r\u00e9serv\u00e9s 2020", "Impressum und mehr dazu", "--==++**//\\ x", "Home | News | More"):
+        assert kept(f"{body}\n{bad}").strip() == body, bad
+    for good in ("Home\nAbout us", "See https://a.example/x for all of the details.", "Yes.\nNo.\nMaybe."):
+        assert kept(f"{body}\n{good}") == f"{body}\n{good}", good
+
+
 # URL filters
 
 

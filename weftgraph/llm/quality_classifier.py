@@ -6,7 +6,9 @@ whichever word it is. Every bucket has a learned vector; a document is the
 average of its features' vectors, and a softmax layer on it gives the label's
 probability. Vectors and layer are trained by stochastic gradient descent in
 numpy on at most ``per_class`` labelled rows of either label, taken by the
-hash of their ids; every text is scored whole.
+hash of their ids, and of those on as many as have ``most_features`` distinct
+features together, so that the driver holds 64 MB of them at most; the texts
+that are taken are read whole, as is every text that is scored.
 
 The output is linear in the average, so for scoring each bucket's vector is
 multiplied with the layer once, and the model sent to the tasks is one number
@@ -14,7 +16,9 @@ a bucket, 1 MB, whatever the input. Scoring needs no shuffle.
 
 An empty or null text has only the constant feature. Null or repeated ids are
 scored row by row. Without labels of both kinds every score is the share of
-label 1 among those there are, or 0.5. Extra columns are ignored.
+label 1 among those there are, or 0.5. Of rows with one id the text with the
+least hash is learned from, and the larger of its labels. Extra columns are
+ignored; an empty table of documents gives no scores.
 """
 
 from __future__ import annotations
@@ -28,11 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import slices
+from weftgraph.llm.common import cut, slices
 from weftgraph.llm.labelled import sample, with_texts
 from weftgraph.llm.words import WordValues
 
 LOG2_BUCKETS, DIM, EPOCHS, RATE, PER_CLASS = 18, 8, 8, 2.0, 2000
+#: Distinct features of all training rows together, eight bytes each.
+MOST_FEATURES = 8_000_000
 GRAMS = (3, 4, 5)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 CONSTANT, REPEAT = 0, 1  # buckets of the constant feature and of a word after itself
@@ -112,16 +118,23 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 1) -> Mode
     return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """``labels`` has (id, y); at most about ``per_class`` rows of either label are used."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", most_features: int = MOST_FEATURES) -> Model:
+    """``labels`` has (id, y); at most about ``per_class`` rows of either label are used, and ``most_features`` distinct features of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [document_features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.astype(np.int32) for b, _ in found], pa.list_(pa.int32())), pa.array([s.astype(np.float32) for _, s in found], pa.list_(pa.float32()))], ["y", "buckets", "shares"])
+            for part in slices(batch, 1):
+                found = [document_features(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b.astype(np.int32) for b, _ in found], pa.list_(pa.int32())), pa.array([s.astype(np.float32) for _, s in found], pa.list_(pa.float32())), part.column(2)], ["y", "buckets", "shares", "h"])
 
     chosen = with_texts(docs, sample(labels, per_class, "quality", id_col), id_col, text_col)
-    rows = chosen.select("y", "text").mapInArrow(run, "y int, buckets array<int>, shares array<float>").toArrow()
+    chosen = chosen.select("y", "text", F.xxhash64(F.lit("order"), id_col).alias("h"))
+    rows = cut(chosen.mapInArrow(run, "y int, buckets array<int>, shares array<float>, h long"))
+    sizes = sorted((r["h"], r["n"]) for r in rows.select("h", F.size("buckets").alias("n")).collect())  # a row for each of the sample
+    room = int(np.searchsorted(np.cumsum([n for _, n in sizes]), most_features, side="right"))
+    if room < len(sizes):
+        rows = rows.where(F.col("h") < sizes[max(room, 1)][0])
+    rows = rows.toArrow()
     kept = [(y, b.values.to_numpy(), s.values.to_numpy()) for y, b, s in zip(rows["y"].to_pylist(), rows["buckets"], rows["shares"], strict=True)]
     return train(sorted(kept, key=lambda r: (r[0], len(r[1]), r[1].tobytes())))
 

@@ -60,8 +60,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
-    return judged.drop("cleaned_text")
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
 #: Rules and listed sites of the url query, as fixed values.
@@ -109,15 +108,20 @@ ORACLES: dict[str, str] = {
     "op8_quality_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 l AS (
-  SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w
-  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-judged AS (
-  SELECT doc_id, line, length(array_to_string(w, '')) AS chars,
+  SELECT doc_id, no, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS no, unnest(ls) AS line FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM d))),
+single AS (
+  SELECT doc_id, line, no, length(array_to_string(w, '')) AS chars,
     (len(list_filter(w, lambda x: x = '|')) > 0 AND len(list_filter(w, lambda x: x = '|')) >= 0.3::DOUBLE * len(w))
-    OR regexp_matches(line, '(?i)\b(licen[sc]ed under|released under the|all rights reserved|copyright \(c\)|terms of (use|service)|privacy policy|accept (all )?cookies|share (this|on))')
-    OR (regexp_matches(line, '[#*$%&<>]{2,}|!!') AND len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&<>]{2,}|!!'))) >= 0.3::DOUBLE * len(w))
-    OR (len(w) >= 8 AND len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) >= 0.6::DOUBLE * (len(w) - 1)) AS fault
+    OR regexp_matches(line, '(?i)@BOILERPLATE@')
+    OR (regexp_matches(line, '@MARKED@') AND len(list_filter(w, lambda x: regexp_matches(x, '@MARKED@'))) >= 0.3::DOUBLE * len(w))
+    OR (len(w) >= 8 AND len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) >= 0.6::DOUBLE * (len(w) - 1))
+    OR (len(list_filter(w, lambda x: regexp_matches(x, '(?i)@LINK@'))) >= 0.5::DOUBLE * len(w))
+    OR (length(line) - length(regexp_replace(line, '[!-/:-@\[-`{-~]', '', 'g')) >= 0.5::DOUBLE * length(array_to_string(w, ''))) AS fault,
+    len(w) <= 3 AND NOT regexp_matches(w[-1], '[.!?:;"'')\]}]$') AS item
   FROM l WHERE len(w) > 0),
+runs AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) - row_number() OVER (PARTITION BY doc_id, item ORDER BY no) AS run FROM single),
+judged AS (SELECT doc_id, line, chars, fault OR (item AND count(*) OVER (PARTITION BY doc_id, item, run) >= 3) AS fault FROM runs),
 by_line AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(chars) FILTER (fault), 0)::BIGINT AS lost_chars FROM judged GROUP BY doc_id),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], chr(1)) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 9)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM win) WHERE n > 1),
@@ -214,3 +218,5 @@ SELECT d.doc_id, coalesce(n.n, 0)::INTEGER AS n_lines, coalesce(len(g.nos), 0)::
 FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
 """,
 }
+for _name in ("BOILERPLATE", "MARKED", "LINK"):
+    ORACLES["op8_quality_rules"] = ORACLES["op8_quality_rules"].replace(f"@{_name}@", getattr(quality_rules, _name).replace("'", "''"))
