@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftgraph.llm import common as llm_common
 from weftgraph.llm import bpe, components, decontamination, labelled, license_scan, line_dedup, quality_classifier, quality_rules, sharding, simhash, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -126,6 +127,44 @@ def test_sharding_law(spark, odd):
     assert sorted(map(repr, again)) == sorted(map(repr, rows))
 
 
+def brute_ring(rows, shards, virtual):
+    """(shard, slot) of each (id, text), by walking around the ring row by row; hashes as Spark chains them."""
+    import struct
+
+    import xxhash
+
+    chain = lambda *parts: __import__("functools").reduce(lambda seed, x: xxhash.xxh64_intdigest(x, seed), parts, 42)
+    points = sorted((chain(b"point", struct.pack("<i", s), struct.pack("<q", c)) >> 48, s, c) for s in range(shards) for c in range(virtual))
+    queues = [[] for _ in points]
+    for i, text in rows:
+        crc, size = zlib.crc32((text or "").encode()), len((text or "").encode()) + 1
+        h = chain(*([] if i is None else [struct.pack("<q", i)]), struct.pack("<q", crc))
+        at = next((k for k, p in enumerate(points) if p[0] >= h >> 48), 0)
+        queues[at].append((h >> 48, h, (i is not None, i or 0), crc, size, (i, text)))
+    capacity = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    used, out = [0] * shards, {}
+    for k, queue in enumerate(queues):
+        order = list(dict.fromkeys(p[1] for p in points[k:] + points[:k]))
+        for *_, row in sorted(queue):
+            s = next(s for s in order if used[s] < capacity[s])
+            out.setdefault(row, []).append((s, used[s]))
+            used[s] += 1
+    return out
+
+
+def test_sharding_against_a_walk_around_the_ring(spark):
+    rng = random.Random(12)
+    texts = [prose(rng, rng.randint(0, 6)) for _ in range(150)] + ["same"] * 60 + [None, "", "\u00e9"]
+    rows = [*enumerate(texts), (7, "other text, same id"), (None, "a"), (None, "b"), (3, texts[3]), (3, texts[3])]
+    frame = docs(spark, [t for _, t in rows], [i for i, _ in rows]).withColumns({"shard": F.lit("clash"), "cell": F.lit(1), "id": F.lit(2)})
+    got = defaultdict(list)
+    texts_of = {(i, zlib.crc32((t or "").encode())): t for i, t in rows}
+    for r in sharding.assign(frame, 5, 8).collect():
+        got[r["doc_id"], texts_of[r["doc_id"], r["text_crc32"]]].append((r["shard"], r["slot"]))
+    want = brute_ring(rows, 5, 8)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_sharding_moves_few_rows(spark, nothing):
     frame = spark.range(4000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
     eight = {r["doc_id"]: r["shard"] for r in sharding.assign(frame, 8).collect()}
@@ -173,6 +212,53 @@ def test_quality_classifier_on_held_out_rows(spark, odd, nothing):
     assert quality_classifier.score(frame.limit(2), bare).first()["score"] == pytest.approx(0.5, abs=1e-3)
 
 
+def plain_features(text):
+    """The classifier's features counted one by one."""
+    import xxhash
+
+    bucket = lambda h: (h * 0x9E3779B97F4A7C15 % 2**64) >> (64 - quality_classifier.LOG2_BUCKETS)
+    words, n = text.split(), Counter([quality_classifier.CONSTANT])
+    for w in words:
+        n[bucket(xxhash.xxh64_intdigest(w))] += 1
+        marked = f"\x02{w}\x03"
+        for size in quality_classifier.GRAMS:
+            for i in range(len(marked) - size + 1):
+                h = size
+                for c in marked[i : i + size]:
+                    h = (h * 0x100000001B3 + ord(c)) % 2**64
+                n[bucket(h)] += 1
+    for a, b in zip(words, words[1:], strict=False):
+        x, y = xxhash.xxh64_intdigest(a), xxhash.xxh64_intdigest(b)
+        n[quality_classifier.REPEAT if a == b else bucket((y * 31 + (x ^ x >> 31)) % 2**64)] += 1
+    return n
+
+
+def test_quality_scores_against_plain_averages(spark):
+    rng = random.Random(31)
+    model = quality_classifier.Model(np.random.default_rng(2).normal(size=1 << quality_classifier.LOG2_BUCKETS).astype(np.float32))
+    texts = [prose(rng, n) for n in (1, 2, 9, 60)] + ["\u00c9t\u00e9 \u00e9t\u00e9 \u00e9t\u00e9 x", "", None, "\U0001f600 \u65e5\u672c"]
+    frame = docs(spark, texts).withColumns({"score": F.lit("clash"), "y": F.lit(1), "h": F.lit(2)})
+    for r in quality_classifier.score(frame, model).collect():
+        n = plain_features(texts[r["doc_id"]] or "")
+        logit = sum(float(model.table[b]) * k for b, k in n.items()) / sum(n.values())
+        assert abs(r["score"] - 1 / (1 + np.exp(-logit))) < 1e-5
+
+
+def test_quality_sample_is_bounded(spark):
+    frame, labels = labelled_docs(spark, 60)
+    frame = frame.withColumns({"y": F.lit("clash"), "h": F.lit("clash")})
+    given = labelled.training_labels(labels, "quality", F.lit(True))
+    seen = []
+    keep = quality_classifier.train
+    quality_classifier.train = lambda rows: seen.append(sum(len(b) for _, b, _ in rows)) or keep(rows)
+    try:
+        for most in (10**9, 5000, 1):
+            quality_classifier.fit(frame, given, most_features=most)
+    finally:
+        quality_classifier.train = keep
+    assert seen[0] > 5000 >= seen[1] > 3000 and 0 < seen[2] < 2000
+
+
 def test_toxicity_on_held_out_rows(spark, odd, nothing):
     rng = random.Random(9)
     clean = [prose(rng, rng.randint(20, 200)) for _ in range(500)]
@@ -221,17 +307,60 @@ def test_toxicity_counts_the_calibration_rows(spark):
     assert only > strange + 1
 
 
-def test_kneser_ney_sums_to_one(spark):
-    texts = spark.createDataFrame([(1, "abra cadabra"), (0, "abra abba"), (0, "cab")], "y int, text string")
-    grams = toxicity.count_grams(texts)
-    p = {r["gram"]: r["p"] for r in toxicity.shared_backoff(grams).collect()}
-    # Seen continuations take what the discount leaves; the rest goes to the lower order.
-    by = defaultdict(float)
-    for g, v in p.items():
-        by[g[:-1]] += v
-    assert all(0 < v <= 1 + 1e-9 for v in by.values())
-    counts = {r["gram"]: (r["toxic"], r["ordinary"]) for r in grams.collect()}
-    assert counts["\x02\x02\x02\x02a"] == (1.0, 2.0)  # a word counts once in a text
+class PlainKneserNey:
+    """The two models by their definition, with dictionaries."""
+
+    def __init__(self, rows):
+        self.fives = Counter()
+        for y, text in rows:
+            for w in set(text.lower().split()):
+                padded = "\x02" * 4 + w + "\x03"
+                for i in range(len(w) + 1):
+                    self.fives[padded[i : i + 5], y] += 1
+        levels = [Counter(g[1:] for g in {g for g, _ in self.fives})]
+        for _ in range(3):
+            levels.append(Counter(g[1:] for g in levels[-1]))
+        self.levels = levels[::-1]  # by length of gram, from one
+        self.characters = list(self.levels[0])
+
+    def lower(self, gram):
+        n = self.levels[len(gram) - 1]
+        if len(gram) == 1:
+            return 0.875 * n[gram] / n.total() + 0.125 / len(n)
+        after = [v for g, v in n.items() if g[:-1] == gram[:-1]]
+        if not after:
+            return self.lower(gram[1:])
+        return (max(n[gram] - 0.75, 0) + 0.75 * len(after) * self.lower(gram[1:])) / sum(after)
+
+    def p(self, gram, y):
+        after = [v for (g, c), v in self.fives.items() if c == y and g[:-1] == gram[:-1]]
+        return (max(self.fives[gram, y] - 0.75, 0) + (0.75 * len(after) + toxicity.PRIOR) * self.lower(gram[1:])) / (sum(after) + toxicity.PRIOR)
+
+
+def test_kneser_ney_against_its_definition(spark):
+    rng = random.Random(17)
+    rows = [(int(rng.random() < 0.4), " ".join("".join(rng.choices("abcd", k=rng.randint(1, 7))) for _ in range(12))) for _ in range(25)] + [(1, "Abra cadabra abra"), (0, "")]
+    plain = PlainKneserNey(rows)
+    model = toxicity.ratio_model(toxicity.count_grams(spark.createDataFrame(rows, "y int, text string")))
+    words = ["abra", "cadabra", "dddd", "bcab", "aaaaaaaaa", "zzz", "abz"] + ["".join(rng.choices("abcd", k=5)) for _ in range(40)]
+    for w, (ratio, size) in zip(words, toxicity.word_ratios(words, model), strict=True):
+        padded = "\x02" * 4 + w + "\x03"
+        assert size == len(w) + 1
+        assert ratio == pytest.approx(sum(np.log(plain.p(padded[i : i + 5], 1) / plain.p(padded[i : i + 5], 0)) for i in range(len(w) + 1)), abs=1e-5)
+    contexts = {g[:-1] for g, _ in plain.fives}
+    for context in sorted(contexts)[:60]:
+        for y in (0, 1):
+            assert sum(plain.p(context + c, y) for c in plain.characters) == pytest.approx(1, abs=1e-9)
+
+
+def test_toxicity_with_odd_labels(spark, odd):
+    frame = odd.withColumns({"y": F.lit("clash"), "features": F.lit(1), "score": F.lit(2), "measured text": F.lit("clash")})
+    kinds = "doc_id long, toxic int"
+    for rows in ([(3, 1), (4, 1)], [(3, 0), (3, 1), (None, 1)], [(3, None), (4, None)], [(999, 1)], [(3, 1), (4, 0), (6, 0), (7, 1)]):
+        given = labelled.training_labels(spark.createDataFrame(rows, kinds), "toxic", F.lit(True))
+        scores = [r["score"] for r in toxicity.score(frame, toxicity.fit(frame, given)).collect()]
+        assert len(scores) == len(ODD) and all(0 <= x <= 1 for x in scores)
+    assert toxicity.score(frame, toxicity.fit(frame.limit(0), given)).count() == len(ODD)
 
 
 # Benchmark decontamination
@@ -260,6 +389,66 @@ def test_decontamination_finds_copies_with_substitutions(spark, odd, nothing):
     assert decontamination.find_overlaps(frame, benchmark.limit(0)).count() == 0
 
 
+def exhaustive_overlaps(doc, items):
+    """Items that meet the stated rule on some diagonal of the document."""
+    found = set()
+    for k, item in items.items():
+        for diagonal in range(-len(item) + 1, len(doc)):
+            first, last = max(diagonal, 0), min(len(doc), diagonal + len(item))
+            equal = np.array([doc[i] == item[i - diagonal] for i in range(first, last)], bool)
+            if len(item) < 8:
+                if equal.all() and len(equal) == len(item) and (len(item) >= 4 or len(doc) == len(item)):
+                    found.add(k)
+            elif equal.sum() >= max(8, 0.8 * len(item)) or decontamination.best_stretch(equal)[2] >= 12:
+                found.add(k)
+    return found
+
+
+def test_decontamination_against_exhaustive_search(spark):
+    rng = random.Random(41)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    pick = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = {k: pick(n) for k, n in enumerate([*range(1, 26), 30, 40, 60] * 2)}
+    rows, expected = [], {}
+    for k, item in items.items():
+        n = len(item)
+        for _ in range(6):
+            copy, s = list(item), n - max(8, -(-4 * n // 5)) if n >= 8 else 0
+            for i in rng.sample(range(n), rng.randint(0, max(s, 0))):
+                copy[i] = "other"
+            around = pick(rng.randint(5, 30)) if n >= 4 else []
+            doc = around + copy + around[::-1]
+            if rng.random() < 0.2 and n > 13:
+                doc = pick(4) + item[1:13] + pick(9)
+            expected[len(rows)] = exhaustive_overlaps(doc, items)
+            rows.append(" ".join(doc))
+    frame = docs(spark, rows + rows[:3], [*range(len(rows)), 0, 1, 2]).withColumns({c: F.lit("clash") for c in ("id", "item", "tokens", "region", "item_id")})
+    benchmark = spark.createDataFrame([(k, " ".join(t), 1) for k, t in items.items()], "item_id long, text string, id int")
+    got = defaultdict(set)
+    for r in decontamination.find_overlaps(frame, benchmark).collect():
+        got[r["doc_id"]].add(r["item_id"])
+    assert all(got[i] <= expected[i] for i in got)
+    by_size = defaultdict(list)
+    for i, ks in expected.items():
+        for k in ks:
+            by_size[len(items[k])].append(k in got[i])
+    assert sorted(by_size) == [*range(1, 26), 30, 40, 60]
+    assert all(np.mean(hits) >= 0.95 for hits in by_size.values()) and np.mean([h for hits in by_size.values() for h in hits]) > 0.99
+
+
+def test_decontamination_of_long_items_and_unspaced_scripts(spark):
+    rng = random.Random(43)
+    item = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    copy = list(item)
+    for i in rng.sample(range(400), 77):
+        copy[i] = "x"
+    kanji = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(40))
+    frame = docs(spark, ["before " + " ".join(copy) + " after", "abc\u3002" + kanji[:18] + "\u3001" + kanji[18:] + "!", "\u00abl'\u00e9t\u00e9\u00bb\u2026"])
+    benchmark = spark.createDataFrame([(0, " ".join(item)), (1, kanji), (2, "l \u00e9t\u00e9")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["doc_start"], r["length"], r["matched"]) for r in decontamination.find_overlaps(frame, benchmark).collect()}
+    assert got == {(0, 0): (1, 400, 323), (1, 1): (1, 40, 40), (2, 2): (0, 2, 2)}
+
+
 def test_best_stretch():
     equal = np.array([1, 0, 1, 1, 1, 1, 0, 1, 1, 1, 1, 0, 0, 1], bool)
     assert decontamination.best_stretch(equal) == (2, 9, 8)
@@ -412,6 +601,55 @@ def test_near_duplicates_of_odd_rows(spark, odd, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def five_word_similarity(a, b):
+    x, y = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("node_rows", [20_000, 30])
+def test_similar_documents_against_brute_force(spark, monkeypatch, odd, nothing, node_rows):
+    monkeypatch.setattr(simhash.wide_links, "__defaults__", (simhash.WIDE_BUDGET, simhash.RECALL, node_rows))
+    rng = random.Random(19)
+    texts = []
+    for size in (60, 150, 400):
+        for _ in range(8):
+            base = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(size)]
+            for rate in (0, 0, 0.004, 0.01, 0.02, 0.1):
+                texts.append(" ".join(rng.choice(WORDS) if rng.random() < rate else w for w in base))
+    frame = docs(spark, texts).withColumns({"w0": F.lit("clash"), "node": F.lit(1), "root": F.lit(1), "component_id": F.lit("clash")})
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame).collect()}
+    near = [(i, j, five_word_similarity(texts[i], texts[j])) for j in range(len(texts)) for i in range(j)]
+    hits = [got[i] == got[j] for i, j, s in near if s >= 0.8]
+    assert len(hits) > 100 and np.mean(hits) > 0.97
+    assert not any(got[i] == got[j] for i, j, s in near if s < 0.4)
+    assert all(c <= i for i, c in got.items())
+    rows = simhash.similar_documents(odd).collect()
+    assert len(rows) == len(ODD) and {r["doc_id"]: r["component_id"] for r in rows}[None] == 8
+    assert simhash.similar_documents(nothing).count() == 0
+
+
+def test_connect_joins_what_all_pairs_join():
+    rng = np.random.default_rng(4)
+    centres = rng.integers(0, 2**63, (12, simhash.WIDE)).astype(np.uint64)
+    wide = centres[rng.integers(0, 12, 700)]
+    for _ in range(25):
+        flips = np.uint64(1) << rng.integers(0, 64, 700).astype(np.uint64)
+        wide[np.arange(700), rng.integers(0, simhash.WIDE, 700)] ^= flips
+    far = np.bitwise_count(wide[:, None, :] ^ wide[None, :, :]).sum(axis=2)
+    for budget in (20, 30, 84):
+        a, b = np.nonzero(np.triu(far <= budget, 1))
+        for block in (10, 1000):
+            x, y = simhash.connect(wide, budget, block)
+            assert (far[x, y] <= budget).all()
+            roots = []
+            for p, q in ((a, b), (x, y)):
+                root = np.arange(700)
+                node, to = simhash.forest(p, q, 700)
+                root[node] = to
+                roots.append(root)
+            assert (roots[0] == roots[1]).all()
+
+
 # Quality rules
 
 
@@ -587,6 +825,22 @@ def test_components_of_a_chain_and_a_star(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_hub(spark):
+    hub = spark.range(1, 3000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    other = spark.range(1, 3000).select(F.lit(10_000).cast("long").alias("a"), (F.col("id") + 10_000).alias("b"))
+    got = components.components(hub.unionByName(other).unionByName(hub.limit(5))).groupBy("root").count().collect()
+    assert {(r["root"], r["count"]) for r in got} == {(0, 3000), (10_000, 3000)}
+
+
+def test_hot_keys_are_joined_by_broadcast(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") < 1500, F.lit(7)).otherwise(F.col("id")).alias("k"), "id").cache()
+    unique = spark.range(0, 2000, 3).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for how in ("inner", "left"):
+        got = llm_common.join_unique(rows, unique, ["k"], how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(unique, "k", how).select(*got.columns).collect()))
+    assert [r["k"] for r in llm_common.hot_keys(rows.groupBy("k").agg(F.count("*").alias("n")), ["k"]).collect()] == [7]
+
+
 # Pipeline
 
 
@@ -608,20 +862,29 @@ def test_pipeline_against_brute_force(spark, tmp_path, vocabulary):
 
     cleaned = []
     for i, t in zip(ids, texts, strict=True):
-        judged = quality_rules.judge(t, quality_rules.Rules())
+        judged = quality_rules.judge(t, quality_rules.Rules(min_words=1))
         if judged[6]:
             cleaned.append((i, judged[7]))
     kept = {i: t for i, t in brute_dedup(cleaned, line_dedup.MAX_EDITS, line_dedup.MIN_CHARS).items() if t.strip()}
     order = sorted(kept, key=lambda i: (i is None, i or 0))
-    fps = {i: brute_fingerprint(kept[i]) for i in kept}
-    roots = brute_components(list(set(fps.values())))
-    seen, last = set(), {}
+    wide = {i: simhash.wide_fingerprint(kept[i]) for i in kept}
+    seen, last = [], {}
     for i in order:
-        if roots[fps[i]] not in seen and i != leaky:
+        if all(sum((x ^ y).bit_count() for x, y in zip(wide[i], wide[j], strict=True)) > simhash.WIDE_BUDGET for j in seen) and i != leaky:
             last[i] = kept[i]
-        seen.add(roots[fps[i]])
+        seen.append(i)
     assert {i: r["text"] for i, r in got.items()} == last
-    assert {0, 2, 7, 8, None} <= set(got) and not {1, 3, 4, 5, 6} & set(got)
+    assert {0, 2, 4, 7, 8, None} <= set(got) and not {1, 3, 5, 6} & set(got)
     for r in got.values():
         assert r["n_chars"] == len(r["text"]) and r["n_tokens"] * 4 == len(r["ids"])
         assert r["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path, nothing, vocabulary):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    nothing.write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() == 0
+    docs(spark, ["One text of some words.", None, ""]).write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    assert [r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/b").collect()] == [0]
