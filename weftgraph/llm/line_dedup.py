@@ -44,7 +44,7 @@ MAX_EDITS, MIN_CHARS = 1, 16
 #: A changed stretch may have one of so many characters of the longer line.
 STRETCH = 25
 #: Index rows of one key from which on its lines are compared by blocks, and lines in a block.
-HOT_KEY, BLOCK = 64, 1000
+HOT_KEY, BLOCK = 64, 500
 #: Broadcast a set of line hashes (one long each) up to so many rows; beyond, it is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -188,20 +188,25 @@ def _verify(k: int):
 
 def _block(k: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        index, probe = rows[rows["own"]], rows[~rows["own"]]
-        x, y = (np.stack([_counts(t) for t in r["line"]]) if len(r) else np.zeros((0, 64), np.int32) for r in (index, probe))
-        size = probe["line"].str.len().to_numpy(np.int64) if len(probe) else np.zeros(0, np.int64)
-        ids = [list(zip(r["h1"], r["h2"], strict=True)) for r in (index, probe)]
-        first, lines = probe["first"].tolist(), probe["line"].tolist()
-        late: set[tuple[int, int]] = set()
-        for own, at, line, counts in zip(ids[0], index["first"], index["line"], x, strict=True):
-            reach = np.flatnonzero(np.abs(y - counts).sum(axis=1) <= 2 * np.maximum(k, np.maximum(size, len(line)) // STRETCH))  # an edit changes two counts by one each at most
-            for j in reach.tolist():
-                other = ids[1][j]
-                later = own if at > first[j] else other
-                if other != own and later not in late and is_near(line, lines[j], k):
-                    late.add(later)
-        return pd.DataFrame(sorted(late), columns=["h1", "h2"], dtype="int64")
+        own = rows["own"].to_numpy(bool)
+        lines = rows["line"].tolist()
+        counts = np.stack([_counts(t) for t in lines])
+        size = np.array([len(t) for t in lines])
+        order = {at: n for n, at in enumerate(sorted(set(rows["first"])))}
+        first = np.array([order[at] for at in rows["first"]])
+        # An index row and a probe row of one line are the same line here.
+        number = pd.factorize(pd.Series(list(zip(rows["h1"], rows["h2"], strict=True))))[0]
+        late = np.zeros(len(rows), bool)  # by line
+        probes = np.flatnonzero(~own)
+        for x in np.flatnonzero(own).tolist():
+            reach = probes[np.abs(counts[probes] - counts[x]).sum(axis=1) <= 2 * np.maximum(k, np.maximum(size[probes], size[x]) // STRETCH)]  # an edit changes two counts by one each at most
+            later = np.where(first[reach] < first[x], number[x], number[reach])
+            asked = ~late[later] & (number[reach] != number[x])
+            for j, line in zip(reach[asked].tolist(), later[asked].tolist(), strict=True):
+                if not late[line] and is_near(lines[x], lines[j], k):
+                    late[line] = True
+        found = rows[late[number]]
+        return found[["h1", "h2"]].drop_duplicates()
 
     return run
 
