@@ -1,12 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.functions.activations import parse_bool
+from weftgraph.functions.activations import switch
 from weftgraph.graph import Graph, fill_missing, gather, graph_of_edges, masks_by_position, num_classes, num_nodes, scatter
 from weftgraph.operators import aggregate as agg
 from weftgraph.operators import classify, partitioning
 from weftgraph.plans import bins
-from weftgraph.plans.prepare import grid, prepare
+from weftgraph.plans.prepare import grid, prepare, run_grid
 from weftgraph.sources import registry, sinks, text
 from weftgraph.sources.fixtures import karate, simple_graph
 
@@ -90,9 +90,9 @@ def test_grown_parts_are_even(spark):
 def test_swap_loop_ends_by_its_stop_rule(spark, monkeypatch):
     from weftgraph import queries
 
-    graph, swaps, choose = karate(spark), [], partitioning.choose_swap
+    graph, swaps, choose = karate(spark), [], partitioning._choose
     monkeypatch.setattr(queries, "co_located", lambda spark, sf_dir: (graph, partitioning.chunk_parts(graph.nodes, 4)))
-    monkeypatch.setattr(partitioning, "choose_swap", lambda *a, **b: swaps.append(1) or choose(*a, **b))
+    monkeypatch.setattr(partitioning, "_choose", lambda *a, **b: swaps.append(1) or choose(*a, **b))
     assert queries.QUERIES["swap_loop"](spark, "").count() == 34
     assert len(swaps) > 10 and len(swaps) % 10 == 1  # a check that compares two rates
     with pytest.warns(UserWarning, match="max_iter=1"):
@@ -125,6 +125,21 @@ def test_refine_keeps_sizes_and_the_best(spark):
     assert best.count() == 9
 
 
+def test_refine_counts_by_deltas_and_logs(spark):
+    graph = karate(spark)
+    start = partitioning.hashed_parts(graph.nodes, 3)
+    log = []
+    with pytest.warns(UserWarning):
+        end = partitioning.refine(graph, start, max_iter=4, swaps=2, log=log)
+    sizes = lambda p: sorted(r["count"] for r in p.groupBy("part_id").count().collect())
+    assert sizes(start) == sizes(end) and [r["iteration"] for r in log] == list(range(len(log)))
+    edges = graph.edges.distinct()
+    found = [r["n"] for r in partitioning.dependency_sizes(partitioning.dependencies(partitioning.member_counts(edges, end), end), end).collect()]
+    assert (log[-1]["least"], log[-1]["most"]) == (min(found), max(found)) and all(r["swapped"] <= 2 for r in log)
+    cut_of = {m: partitioning.edge_cut(edges, partitioning.partition(graph, 2, m)).first() for m in ("hash", "grown")}
+    assert cut_of["grown"]["n_cut"] < cut_of["hash"]["n_cut"] and cut_of["grown"]["n_edges"] == 156
+
+
 def test_exclusive_and_report(spark):
     graph = simple_graph(spark).symmetrised()
     parts = parts_of(spark, [0, 0, 0, 1, 1, 1, 2, 2, 2])
@@ -218,15 +233,34 @@ def test_registry(spark):
     assert registry.load(spark, "simple+loop").edges.count() == 23
     nodes = spark.createDataFrame([(0, [1.0]), (1, [float("nan")])], "node_id long, labels array<double>")
     assert [r["label"] for r in registry.canonical_names(nodes).orderBy("node_id").collect()] == [1, None]
+    looped = registry.load(spark, "simple+loop", prob=True).edges
+    assert looped.columns == ["src", "dst", "prob"] and looped.where("prob is null").count() == 0
     web = registry.web_graph(spark.createDataFrame([(0, 1), (1, 9)], "src long, dst long"), 4)
     s = web.stats().first()
     assert (s["n_train"], s["n_val"], s["n_test"], s["n_edges"]) == (7, 2, 1, 12)
 
 
+def test_folder_with_index_lists(spark, tmp_path):
+    spark.createDataFrame([(i, [0.5, float(i)], [float("nan") if i == 3 else float(i % 2)]) for i in range(4)], "node_id long, feat array<double>, labels array<double>").write.parquet(f"{tmp_path}/nodes.parquet")
+    spark.createDataFrame([(0, 1), (2, 2)], "src long, dst long").write.parquet(f"{tmp_path}/edges.parquet")
+    spark.createDataFrame([(0, "train"), (1, "valid"), (2, "test"), (3, "test")], "node_id long, split string").write.parquet(f"{tmp_path}/split.parquet")
+    graph = registry.load(spark, "ogbn-products", str(tmp_path))
+    found = {r["node_id"]: r for r in graph.nodes.collect()}
+    assert [found[i]["label"] for i in range(4)] == [0, 1, 0, None] and [found[i]["train_mask"] for i in range(4)] == [True, False, False, False]
+    assert graph.edges.count() == 5 and num_classes(graph.nodes).first()[0] == 2
+    sinks.write_graph(graph, f"{tmp_path}/again")
+    assert registry.load(spark, "pubmed", f"{tmp_path}/again").edges.count() == 5
+
+
+def test_series_of_runs(spark):
+    found = run_grid(simple_graph(spark), 2, grid(method=["chunk", "hash"]))
+    assert {(r["run"], r["part_id"]) for r in found.collect()} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+
+
 def test_small_helpers(spark):
-    assert parse_bool("Yes") and not parse_bool("0")
-    with pytest.raises(ValueError):
-        parse_bool("maybe")
+    assert switch("Yes") and not switch("0") and switch(True)
+    with pytest.raises(KeyError):
+        switch("maybe")
     assert grid(a=[1, 2], b=["x"]) == [{"a": 1, "b": "x"}, {"a": 2, "b": "x"}]
     nodes = spark.range(10).withColumnRenamed("id", "node_id")
     assert nodes.withColumns(masks_by_position(10)).where("val_mask").count() == 2

@@ -74,8 +74,8 @@ def partition(graph: Graph, k: int, method: str = "chunk", **options) -> DataFra
 
 
 def member_counts(edges: DataFrame, parts: DataFrame) -> DataFrame:
-    """(part_id, node_id, cnt): how many members of each part have the node as out-neighbour, inside or outside it."""
-    return edges.select("src", "dst").distinct().join(parts.withColumnRenamed("node_id", "src"), "src").groupBy("part_id", F.col("dst").alias("node_id")).agg(F.count("*").alias("cnt"))
+    """(part_id, node_id, cnt): how many members of each part have the node as out-neighbour, inside or outside it; edges are distinct."""
+    return edges.select("src", "dst").join(parts.withColumnRenamed("node_id", "src"), "src").groupBy("part_id", F.col("dst").alias("node_id")).agg(F.count("*").alias("cnt"))
 
 
 def dependencies(counts: DataFrame, parts: DataFrame) -> DataFrame:
