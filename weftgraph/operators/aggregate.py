@@ -80,6 +80,53 @@ def zero_filled(nodes: DataFrame, rows: DataFrame, column: str, width: int) -> D
     return nodes.select("node_id").join(rows.select("node_id", column), "node_id", "left").withColumn(column, F.coalesce(column, zeros))
 
 
+def _sigmoid(v: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-v))
+
+
+def _runs(dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of each run of equal values."""
+    starts = np.flatnonzero(np.concatenate(([True], dst[1:] != dst[:-1])))
+    return starts, np.diff(np.append(starts, len(dst)))
+
+
+def _lstm(weights: np.ndarray, recurrent: np.ndarray, bias: np.ndarray, each: bool):
+    """Runs over (dst, x, src) sorted by dst and src; gives each edge's step, or only each node's last state."""
+    d = recurrent.shape[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried, met = None, np.zeros((2, d)), 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            dst = batch.column(0).to_numpy()
+            fed = matrix(batch.column(1)) @ weights + bias
+            starts, sizes = _runs(dst)
+            state, cell, at = np.zeros((len(starts), d)), np.zeros((len(starts), d)), np.zeros(len(starts), np.int64)
+            if last is not None and last == dst[0]:
+                (state[0], cell[0]), at[0] = carried, met
+            elif last is not None and not each:
+                yield _states([last], carried[:1])
+            before = np.zeros((2, len(dst), d) if each else (0, 0, 0))
+            for step in range(int(sizes.max())):
+                on = np.flatnonzero(sizes > step)
+                if each:
+                    before[:, starts[on] + step] = state[on], cell[on]
+                i, f, g, o = np.split(fed[starts[on] + step] + state[on] @ recurrent, 4, axis=1)
+                cell[on] = _sigmoid(f) * cell[on] + _sigmoid(i) * np.tanh(g)
+                state[on] = _sigmoid(o) * np.tanh(cell[on])
+            if each:
+                number = np.arange(len(dst)) - np.repeat(starts - at, sizes)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number), arrays(before[0]), arrays(before[1])], ["dst", "x", "src", "at", "state", "cell"])
+            else:
+                yield _states(dst[starts[:-1]], state[:-1])
+            last, carried, met = dst[-1], np.stack([state[-1], cell[-1]]), int(at[-1] + sizes[-1])
+        if last is not None and not each:
+            yield _states([last], carried[:1])
+
+    return run
+
+
 def lstm_aggregate(h: DataFrame, edges: DataFrame, weights: np.ndarray, recurrent: np.ndarray, bias: np.ndarray) -> DataFrame:
     """(node_id, a): last hidden state of an LSTM over a node's in-neighbours in the order of their ids.
 
@@ -90,35 +137,51 @@ def lstm_aggregate(h: DataFrame, edges: DataFrame, weights: np.ndarray, recurren
     time, but no memory. Gates are in the order input, forget, cell, output;
     weights (d, 4 d), recurrent (d, 4 d).
     """
+    return _sequences(edges, h).mapInArrow(_lstm(weights, recurrent, bias, False), "node_id long, a array<double>")
+
+
+def lstm_steps(h: DataFrame, edges: DataFrame, weights: np.ndarray, recurrent: np.ndarray, bias: np.ndarray) -> DataFrame:
+    """(dst, x, src, at, state, cell): each edge's place in its sequence, and the states before it."""
+    return _sequences(edges, h).mapInArrow(_lstm(weights, recurrent, bias, True), "dst long, x array<double>, src long, at long, state array<double>, cell array<double>")
+
+
+def _sequences(edges: DataFrame, h: DataFrame) -> DataFrame:
+    return _over_edges(edges, h).repartition("dst").sortWithinPartitions("dst", "src").select("dst", "x", "src")
+
+
+def lstm_gradient(steps: DataFrame, g: DataFrame, weights: np.ndarray, recurrent: np.ndarray, bias: np.ndarray) -> DataFrame:
+    """(src, x, state, dx, dz) of each edge, from the gradient g (node_id, g) at the last states.
+
+    The steps are gone through backwards, again all nodes of a batch together,
+    with two gradients carried from edge to edge.
+    """
     d = recurrent.shape[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigmoid = lambda v: 1 / (1 + np.exp(-v))
         last, carried = None, np.zeros((2, d))
         for batch in batches:
             if not len(batch):
                 continue
-            dst = batch.column(0).to_numpy()
-            fed = matrix(batch.column(1)) @ weights + bias
-            starts = np.flatnonzero(np.concatenate(([True], dst[1:] != dst[:-1])))
-            sizes = np.diff(np.append(starts, len(dst)))
-            state, cell = np.zeros((len(starts), d)), np.zeros((len(starts), d))
+            dst, (x, state, cell, given) = batch.column(0).to_numpy(), (matrix(batch.column(k)) for k in (2, 3, 4, 5))
+            starts, sizes = _runs(dst)
+            dh, dc = given[starts], np.zeros((len(starts), d))
             if last is not None and last == dst[0]:
-                state[0], cell[0] = carried
-            elif last is not None:
-                yield _states([last], carried[:1])
+                dh[0], dc[0] = carried
+            i, f, c, o = np.split(x @ weights + state @ recurrent + bias, 4, axis=1)
+            i, f, c, o = _sigmoid(i), _sigmoid(f), np.tanh(c), _sigmoid(o)
+            now = np.tanh(f * cell + i * c)
+            dz = np.zeros((len(dst), 4 * d))
             for step in range(int(sizes.max())):
                 on = np.flatnonzero(sizes > step)
-                i, f, g, o = np.split(fed[starts[on] + step] + state[on] @ recurrent, 4, axis=1)
-                cell[on] = sigmoid(f) * cell[on] + sigmoid(i) * np.tanh(g)
-                state[on] = sigmoid(o) * np.tanh(cell[on])
-            yield _states(dst[starts[:-1]], state[:-1])
-            last, carried = dst[-1], np.stack([state[-1], cell[-1]])
-        if last is not None:
-            yield _states([last], carried[:1])
-
-    rows = _over_edges(edges, h).repartition("dst").sortWithinPartitions("dst", "src").select("dst", "x")
-    return rows.mapInArrow(run, "node_id long, a array<double>")
+                r = starts[on] + step
+                inner = dc[on] + dh[on] * o[r] * (1 - now[r] ** 2)
+                dz[r] = np.hstack([inner * c[r] * i[r] * (1 - i[r]), inner * cell[r] * f[r] * (1 - f[r]), inner * i[r] * (1 - c[r] ** 2), dh[on] * now[r] * o[r] * (1 - o[r])])
+                dh[on], dc[on] = dz[r] @ recurrent.T, inner * f[r]
+            last, carried = dst[-1], np.stack([dh[-1], dc[-1]])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), arrays(dz @ weights.T), arrays(dz)], ["src", "x", "state", "dx", "dz"])
+
+    rows = steps.join(g.select(F.col("node_id").alias("dst"), "g"), "dst").repartition("dst").sortWithinPartitions("dst", F.desc("at"))
+    return rows.select("dst", "src", "x", "state", "cell", "g").mapInArrow(run, "src long, x array<double>, state array<double>, dx array<double>, dz array<double>")
 
 
 def _states(ids, states: np.ndarray) -> pa.RecordBatch:
