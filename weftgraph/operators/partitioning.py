@@ -34,9 +34,10 @@ def chunk_parts(nodes: DataFrame, k: int, n: int | Column | None = None) -> Data
 
 
 def grown_parts(graph: Graph, k: int, rounds: int = 5) -> DataFrame:
-    """Even parts of nodes that took the same label from their neighbours."""
+    """Even parts of nodes that took the same label from their neighbours; a node's own label has a vote too, or two ends of a star would swap theirs for ever."""
     labels = cut(graph.nodes.select("node_id", F.col("node_id").alias("label")))
     edges = both_directions(graph.edges.where("src <> dst")).distinct()
+    edges = cut(edges.unionByName(graph.nodes.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"))))
     for _ in range(rounds):
         votes = edges.join(labels.withColumnRenamed("node_id", "src"), "src").groupBy("dst", "label").agg(F.count("*").alias("n"))
         best = votes.groupBy("dst").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("best"))
