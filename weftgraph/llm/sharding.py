@@ -15,9 +15,9 @@ ids and digests, not of texts). Cells are hashed from id and text digest, so
 neither a hot source nor many equal texts or null ids gather in one of them;
 only rows that repeat in both do.
 
-A null text has size 1 and the CRC of no bytes. Rows equal in everything are
-interchangeable and get a slot each. An empty table gives no rows; extra
-columns are ignored.
+A null text has size 1 and the CRC of no bytes; texts of any length count by
+their bytes and digest alone. Rows equal in everything are interchangeable and
+get a slot each. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

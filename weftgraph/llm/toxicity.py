@@ -19,9 +19,11 @@ long text is not averaged away. A logistic function turns them into a score.
 It is fitted on a quarter of the labelled rows (``CALIBRATION`` of either label
 at most), measured by counts without these; they are counted afterwards.
 
-An empty or null text has ratio zero. Null or repeated ids are scored row by
-row. Without labels of both kinds all ratios are zero and the score is that of
-the label there is, or 0.5. Extra columns are ignored.
+An empty or null text has ratio zero; texts of any length are read whole. Null
+or repeated ids are scored row by row. Of labelled rows with one id the text
+with the least hash is counted, with the larger of its labels. Without labels
+of both kinds all ratios are zero and the score is that of the label there is,
+or 0.5. Extra columns are ignored; an empty table of documents gives no scores.
 """
 
 from __future__ import annotations
