@@ -19,8 +19,13 @@ from pyspark.sql import types as T
 from weftgraph.common import cut
 
 
+def at_source(edges: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    """The edges with columns of the node at their source. The hash table is of the nodes; left to itself, the planner may build it of the edges and stream the nodes through few tasks."""
+    return edges.join(nodes.select(F.col("node_id").alias("src"), *columns).hint("shuffle_hash"), "src")
+
+
 def _over_edges(edges: DataFrame, h: DataFrame, column: str = "x") -> DataFrame:
-    return edges.select("src", "dst").join(h.select(F.col("node_id").alias("src"), column), "src")
+    return at_source(edges.select("src", "dst"), h, column)
 
 
 def _components(column: str, width: int, f) -> list[Column]:
@@ -47,7 +52,7 @@ def neighbour_max(h: DataFrame, edges: DataFrame, width: int) -> DataFrame:
 
 def neighbour_mean_long(long: DataFrame, edges: DataFrame) -> DataFrame:
     """The same over rows (node_id, j, v): (node_id, j, v)."""
-    return edges.select("src", "dst").join(long.withColumnRenamed("node_id", "src"), "src").groupBy("dst", "j").agg(F.avg("v").alias("v")).withColumnRenamed("dst", "node_id")
+    return at_source(edges.select("src", "dst"), long, "j", "v").groupBy("dst", "j").agg(F.avg("v").alias("v")).withColumnRenamed("dst", "node_id")
 
 
 def self_and_neighbour_mean(h: DataFrame, edges: DataFrame, width: int) -> DataFrame:
@@ -223,11 +228,10 @@ def _scored(edges: DataFrame, heads: DataFrame, n_heads: int, slope: float, *car
     Scores grow with el, so the largest at a node comes from the largest el of
     its in-neighbours: one grouped maximum over the edges, joined to the nodes.
     """
-    left = heads.select(F.col("node_id").alias("src"), "el")
-    most = edges.select("src", "dst").join(left, "src").groupBy("dst").agg(*_components("el", n_heads, F.max))
+    most = at_source(edges.select("src", "dst"), heads, "el").groupBy("dst").agg(*_components("el", n_heads, F.max))
     right = _packed(most, n_heads, "most").join(heads.select("node_id", "er"), "node_id")
     right = right.select(F.col("node_id").alias("dst"), "er", F.zip_with("most", "er", lambda m, r: _leaky(m + r, slope)).alias("top"))
-    rows = edges.select("src", "dst").join(heads.select(F.col("node_id").alias("src"), "el", *carried), "src").join(right, "dst")
+    rows = at_source(edges.select("src", "dst"), heads, "el", *carried).join(right.hint("shuffle_hash"), "dst")
     w = F.transform(F.arrays_zip("el", "er", "top"), lambda t: F.exp(_leaky(t["el"] + t["er"], slope) - t["top"]))
     return rows.select("src", "dst", *carried, w.alias("w"))
 
