@@ -29,3 +29,19 @@ def test_queries_match_their_sql(spark, name):
     names = [d[0] for d in cursor.description]
     want = sorted(tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall())
     assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == want
+
+
+def test_folders_are_shared_ones(spark, tmp_path, monkeypatch):
+    from weftgraph import common
+
+    assert common.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+    class Cluster:
+        conf = type("", (), {"get": staticmethod(lambda name, other: other)})()
+        sparkContext = type("", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_folder(Cluster())
+    (tmp_path / "stage").mkdir()
+    common.discard(spark, f"{tmp_path}/stage")
+    assert not (tmp_path / "stage").exists()

@@ -27,6 +27,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the job's own, wherever the session's file systems have it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there."""
     spark = df.sparkSession

@@ -275,7 +275,7 @@ def dep_balance_rate(spark, sf_dir):
 def swapping(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Edges, parts, and the counts of members that have a node as neighbour."""
     graph, parts = co_located(spark, sf_dir)
-    return graph.edges, parts, cut(partitioning.member_counts(graph.edges, parts))
+    return graph.edges, parts, partitioning.member_counts(graph.edges, parts)
 
 
 @query
