@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, decontamination, license_scan, line_dedup, quality_classifier, quality_rules, sharding, simhash, toxicity, url_filter
+from weftgraph.llm import bpe, decontamination, license_scan, line_dedup, piece_bpe, quality_classifier, quality_rules, sharding, simhash, toxicity, url_filter
 from weftgraph.llm.common import table
 from weftgraph.llm.labelled import remainder, training_labels
 
@@ -87,6 +87,17 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(files).withColumnRenamed("id", "doc_id")
 
 
+def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = piece_bpe.Model.load(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    coded = piece_bpe.encode(table(spark, sf_dir, "documents"), model)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ring_sharding": op2_ring_sharding,
@@ -98,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
     "op10_license_scan": op10_license_scan,
+    "op11_piece_bpe": op11_piece_bpe,
 }
 
 _TEMPLATE_ROWS = ", ".join(f"('{k}', {i}, '{v}')" for k, texts in license_scan.TEMPLATES.items() for i, v in enumerate(texts))
