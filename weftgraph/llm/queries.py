@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, decontamination, license_scan, line_dedup, piece_bpe, quality_classifier, quality_rules, sharding, simhash, toxicity, url_filter
+from weftgraph.llm import bpe, decontamination, license_scan, line_dedup, manifest, piece_bpe, quality_classifier, quality_rules, sharding, simhash, toxicity, url_filter, whitening
 from weftgraph.llm.common import table
 from weftgraph.llm.labelled import remainder, training_labels
 
@@ -98,6 +99,20 @@ def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deviations past the range of longs, of which a table of this contract is not thought to have any, are null."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id's checksum 3 divides are tampered with: their text's A-Z are lower-cased."""
+    of = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, manifest.leaf(list((of | {"text": F.translate("text", string.ascii_uppercase, string.ascii_lowercase)}).values())))
+    rows = manifest.manifest(table(spark, sf_dir, "documents"), of, of["doc_id"], of["lang"], {"tampered": tampered})
+    rows = rows.withColumn("folded_root", manifest.folded(F.coalesce("tampered", "leaf")))
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", manifest.proof_digest().alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ring_sharding": op2_ring_sharding,
@@ -110,6 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_license_scan": op10_license_scan,
     "op11_piece_bpe": op11_piece_bpe,
+    "op12_whitening": op12_whitening,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _TEMPLATE_ROWS = ", ".join(f"('{k}', {i}, '{v}')" for k, texts in license_scan.TEMPLATES.items() for i, v in enumerate(texts))
