@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -917,3 +918,19 @@ def test_pipeline_of_empty_tables(spark, tmp_path, nothing, vocabulary):
     docs(spark, ["One text of some words.", None, ""]).write.parquet(f"{tmp_path}/b/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/b/benchmark.parquet")
     assert [r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/b").collect()] == [0]
+
+
+def test_long_runs_of_short_lines_take_time_in_proportion():
+    began = time.process_time()
+    judged = quality_rules.judge("\n".join(f"word{k}" for k in range(200_000)), quality_rules.Rules())
+    assert judged[0] == 200_000 and not judged[6] and judged[7] == "" and time.process_time() - began < 5
+    mixed = "A whole sentence stands here, before the list of items.\n\none\n\ntwo\nthree\nAnother whole sentence stands here, behind it.\nfour\nfive"
+    assert quality_rules.judge(mixed, quality_rules.Rules())[7] == "\n".join(x for x in mixed.split("\n") if x not in ("one", "two", "three"))
+
+
+def test_decontamination_of_one_word_many_times(spark):
+    item = spark.createDataFrame([(1, "again " * 60)], "item_id long, text string")
+    frame = docs(spark, ["again " * 20_000, "again " * 59 + "and once more", "once"])
+    began = time.time()
+    got = {r["doc_id"]: r for r in decontamination.find_overlaps(frame, item).collect()}
+    assert set(got) == {0, 1} and (got[0]["matched"], got[0]["doc_start"]) == (60, 0) and got[1]["matched"] >= 59 and time.time() - began < 30

@@ -108,6 +108,14 @@ def is_item(line: bytes, words: list[bytes], rules: Rules) -> bool:
     return len(words) <= rules.short_line and words[-1][-1] not in _LAST
 
 
+def _mark(fails: list[bool], run: list[int], rules: Rules) -> None:
+    """At a run's end: its lines fail together if they are many."""
+    if len(run) >= rules.min_run:
+        for k in run:
+            fails[k] = True
+    run.clear()
+
+
 def judge(text: str | None, rules: Rules) -> tuple:
     text = text or ""
     raw = text.encode()
@@ -122,10 +130,11 @@ def judge(text: str | None, rules: Rules) -> tuple:
         if own:
             n_dup += line in seen
             seen.add(line)
-            run = [*run, number] if is_item(line, own, rules) else []
-            if len(run) >= rules.min_run:
-                for k in run:
-                    fails[k] = True
+            if is_item(line, own, rules):
+                run.append(number)
+            elif run:
+                _mark(fails, run, rules)
+    _mark(fails, run, rules)
     lost = sum(len(b"".join(x.split()).decode()) for x, bad in zip(lines, fails, strict=True) if bad)
     kept = [x for x, bad in zip(lines, fails, strict=True) if not bad]
     n_symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
