@@ -118,6 +118,21 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
     return start, end - start, int(equal[start:end].sum())
 
 
+def best_on_diagonal(own: np.ndarray, test: np.ndarray, lo: int, diagonal: int) -> tuple[int, int, int, int] | None:
+    """(matched, -length, -doc_start, -item_start) of what a text's tokens from ``lo`` on share with an item laid at ``diagonal``, if that is enough."""
+    first, last = max(lo, diagonal, 0), min(lo + len(own), diagonal + len(test))
+    equal = own[first - lo : last - lo] == test[first - diagonal : last - diagonal]
+    matched = int(np.count_nonzero(equal))
+    start, length = 0, len(equal)
+    if matched < (max(MIN_MASKED, WHOLE_SHARE * len(test)) if len(test) >= MIN_MASKED else len(test)):
+        if matched < MIN_TOKENS:
+            return None
+        start, length, matched = best_stretch(equal)
+        if matched < MIN_TOKENS:
+            return None
+    return matched, -length, -(first + start), -(first - diagonal + start)
+
+
 def test_seeds(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item, tokens, seeds): the tokens' hashes, and (position, hash) for each mask."""
 
@@ -204,29 +219,23 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = found.select("region", F.explode("hits").alias("s")).select("region", F.col("s.pos").alias("at"), "s.h")
     places = hashes.groupBy("h").agg(F.collect_list(F.struct("item", "pos")).alias("places"))
     met = hits.join(F.broadcast(places), "h") if n <= BROADCAST_ROWS else join_unique(hits, cut(places), ["h"])
-    lines = met.select("region", "at", F.explode("places").alias("p")).select("region", "p.item", (F.col("at") - F.col("p.pos")).alias("diagonal")).distinct()
+    lines = met.select("region", "at", F.explode("places").alias("p")).select("region", "p.item", (F.col("at") - F.col("p.pos")).alias("diagonal"))
+    lines = lines.groupBy("region", "item").agg(F.collect_set("diagonal").alias("diagonals"))  # no more than the two have tokens
     apart = found.select("region", "id", "lo", "tokens").dropDuplicates(["region"])
     both = lines.join(apart, "region").join(held(tests.select("item", F.col("tokens").alias("test"))), "item")
 
     def compare(batches):
         for batch in batches:
             out = []
-            for lo, diagonal, toks, test in zip(*(batch.column(c).to_pylist() for c in (2, 3)), *(batch.column(c) for c in (4, 5)), strict=True):
+            for lo, diagonals, toks, test in zip(*(batch.column(c).to_pylist() for c in (2, 3)), *(batch.column(c) for c in (4, 5)), strict=True):
                 own, test = toks.values.to_numpy(), test.values.to_numpy()
-                first, last = max(lo, diagonal, 0), min(lo + len(own), diagonal + len(test))
-                equal = own[first - lo : last - lo] == test[first - diagonal : last - diagonal]
-                start, length, matched = best_stretch(equal)
-                if equal.sum() >= (max(MIN_MASKED, WHOLE_SHARE * len(test)) if len(test) >= MIN_MASKED else len(test)):
-                    start, length, matched = 0, len(equal), int(equal.sum())
-                elif matched < MIN_TOKENS:
-                    out.append((None,) * 4)
-                    continue
-                out.append((first + start, first - diagonal + start, length, matched))
-            cols = [pa.array(c, pa.int32()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int32())] * 4
+                out.append(max((f for d in sorted(diagonals) if (f := best_on_diagonal(own, test, lo, d)) is not None), default=None))
+            found = [None if f is None else (-f[2], -f[3], -f[1], f[0]) for f in out]
+            cols = [pa.array([None if f is None else f[k] for f in found], pa.int32()) for k in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["id", "item", "doc_start", "item_start", "length", "matched"])
 
     item = tests.schema["item"].dataType.simpleString()
-    checked = both.select("id", "item", "lo", "diagonal", "tokens", "test").mapInArrow(compare, f"id {kind}, item {item}, doc_start int, item_start int, length int, matched int")
+    checked = both.select("id", "item", "lo", "diagonals", "tokens", "test").mapInArrow(compare, f"id {kind}, item {item}, doc_start int, item_start int, length int, matched int")
     best = F.max(F.struct("matched", (-F.col("length")).alias("l"), (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i"))).alias("b")
     best = checked.where("matched is not null").groupBy("id", "item").agg(best)
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("b.d")).alias("doc_start"), (-F.col("b.i")).alias("item_start"), (-F.col("b.l")).alias("length"), F.col("b.matched").alias("matched"))
