@@ -158,6 +158,7 @@ oracle("gcn_norm_hop", features(), DEGREES, LONG + gcn_sum("h"))
 oracle("sage_layer_linear_relu", features(), LONG + sage_layer("h", WIDTH, HIDDEN, 0, True))
 TWO_SAGE = (features(), f"h1 AS MATERIALIZED {sage_layer('h', WIDTH, HIDDEN, 0, True)}", f"z AS MATERIALIZED {sage_layer('h1', HIDDEN, CLASSES, 3, False)}")
 oracle("sage_two_layer_forward", *TWO_SAGE, LONG + "z")
+oracle("halo_two_layer_forward", *TWO_SAGE, LONG + "z")
 oracle("gcn_two_layer_forward", features(), DEGREES,
        f"h1 AS MATERIALIZED (SELECT node_id, j, greatest(v + {bias(0)}, 0.0::DOUBLE) AS v FROM {product(gcn_sum('h'), WIDTH, HIDDEN)})",
        f"h2 AS (SELECT node_id, j, greatest(v + {bias(3)}, 0.0::DOUBLE) AS v FROM {product(gcn_sum('h1'), HIDDEN, CLASSES, 3)})", LONG + "h2")

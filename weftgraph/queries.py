@@ -15,6 +15,7 @@ from weftgraph.graph import Graph, fill_missing, gather, masks_by_position, mask
 from weftgraph.operators import aggregate as agg
 from weftgraph.operators import classify, partitioning
 from weftgraph.plans import bins, layers
+from weftgraph.plans.stored import PartStore, StoredContext
 from weftgraph.plans.train import Adam, Trainer
 from weftgraph.sources import sinks, text
 from weftgraph.sources.fixtures import karate, simple_graph
@@ -388,6 +389,17 @@ def sage_two_layer_forward(spark, sf_dir):
     return long(two_layer_sage(spark, sf_dir)[2], "out")
 
 
+@query
+def halo_two_layer_forward(spark, sf_dir):
+    """The same over edges stored by part, with an exchange of halo rows alone."""
+    graph, nodes = features(spark, sf_dir)
+    ctx = StoredContext.over(PartStore.write(graph, partitioning.chunk_parts(graph.nodes, K), new_folder(spark, "store")))
+    h = ctx.placed(nodes.select("node_id", "x"))
+    first, second = layers.sage(WIDTH, HIDDEN, CLASSES)
+    first.run(h, sage_params(WIDTH, HIDDEN, 0), ctx)
+    return long(second.run(first.output, sage_params(HIDDEN, CLASSES, 3), ctx, keep=False), "out")
+
+
 @query
 def gcn_two_layer_forward(spark, sf_dir):
     graph, nodes = features(spark, sf_dir)
