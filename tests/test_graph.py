@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.functions.activations import switch
+from weftgraph.common import cut
 from weftgraph.graph import Graph, fill_missing, gather, graph_of_edges, masks_by_position, num_classes, num_nodes, scatter
 from weftgraph.operators import aggregate as agg
 from weftgraph.operators import classify, partitioning
@@ -258,11 +258,41 @@ def test_series_of_runs(spark):
 
 
 def test_small_helpers(spark):
-    assert switch("Yes") and not switch("0") and switch(True)
-    with pytest.raises(KeyError):
-        switch("maybe")
     assert grid(a=[1, 2], b=["x"]) == [{"a": 1, "b": "x"}, {"a": 2, "b": "x"}]
     nodes = spark.range(10).withColumnRenamed("id", "node_id")
     assert nodes.withColumns(masks_by_position(10)).where("val_mask").count() == 2
     inner = Graph(nodes.withColumns(masks_by_position(10)), spark.createDataFrame([(0, 1), (6, 7), (7, 8)], "src long, dst long")).inductive()
     assert [g.edges.count() for g in inner] == [1, 3, 3]
+
+
+def test_hot_sources_are_spread(spark):
+    """One source on a third of all edges: no task of the join has three times the median's rows, and the hop is the plain one."""
+    n = 60_000
+    edges = spark.range(n).repartition(8).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.pmod(F.xxhash64("id"), F.lit(4000))).cast("long").alias("src"), (F.col("id") % 997).alias("dst"))
+    edges = cut(edges)
+    h = spark.range(4000).select(F.col("id").alias("node_id"), F.array(F.col("id") / 8.0, F.lit(1.0)).alias("x"))
+    degrees = edges.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("dout"))
+    hot = agg.hot_nodes(degrees, "dout", 2)
+    assert [r["node_id"] for r in hot.collect()] == [5]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "8"), spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = [r["count"] for r in agg.at_end(edges, h, "src", 2, "x", reach=agg.Reach(hot, True)).groupBy(F.spark_partition_id()).count().collect()]
+        alone = [r["count"] for r in agg.at_end(edges, h, "src", 2, "x", reach=agg.Reach(None, True)).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before), spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(rows) == sum(alone) == n and max(rows) < 3 * sorted(rows)[len(rows) // 2] and max(alone) > 3 * sorted(alone)[len(alone) // 2]
+    means = lambda reach: {r["node_id"]: [round(v, 9) for v in r["a"]] for r in agg.neighbour_mean(h, edges, 2, reach).collect()}
+    assert means(agg.Reach(hot, False)) == means(agg.Reach())
+    assert agg.hot_nodes(degrees.where("node_id <> 5"), "dout", 2) is None
+    assert agg.fits(spark, 10, 64) and not agg.fits(spark, 10**9, 64)
+
+
+def test_hub_attention_with_hot_ends(spark):
+    """Attention where one node is at most edges, as with plain joins."""
+    edges = cut(spark.range(3000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 50).cast("long").alias("src"), F.when(F.col("id") % 4 == 1, 1).otherwise(F.col("id") % 61).cast("long").alias("dst")).distinct())
+    heads = spark.range(61).select(F.col("id").alias("node_id"), F.array(F.col("id") / 64.0, F.lit(0.5)).alias("q"), F.array((F.col("id") % 7) / 8.0).alias("el"), F.array((F.col("id") % 5) / 8.0).alias("er"))
+    hot = spark.createDataFrame([(0,), (1,)], "node_id long")
+    reach = agg.Reach(hot, False), agg.Reach(hot, True)
+    got, want = ({r["node_id"]: [round(v, 9) for v in (*r["s"], *r["lse"])] for r in agg.attended_sum(edges, heads, 1, 2, reach=x).collect()} for x in (reach, (agg.Reach(), agg.Reach())))
+    assert got == want

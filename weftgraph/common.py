@@ -49,3 +49,30 @@ def ranked(rows: DataFrame, *columns: str) -> DataFrame:
     sizes = dealt.groupBy("p").agg(F.count("*").alias("n"))  # a row for each partition
     before = sizes.alias("a").join(sizes.alias("b"), F.col("b.p") < F.col("a.p"), "left").groupBy("a.p").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
     return dealt.join(F.broadcast(before), "p").withColumn("rank", F.col("rank") + F.col("before")).drop("p", "before")
+
+
+#: A key is hot from so many rows on, if it also holds more than this share of all rows; so there are 100,000 hot keys at most.
+HOT_ROWS, HOT_SHARE = 64, 1e-5
+
+
+def hot_keys(counts: DataFrame, key: list[str], n: str = "n", share: float = HOT_SHARE) -> DataFrame:
+    """The keys that are hot, of a table with ``n`` rows a key; so few that they may be broadcast."""
+    limit = F.greatest(F.lit(float(HOT_ROWS)), counts.agg(F.sum(n)).scalar() * share)
+    return cut(counts.where(F.col(n) > limit).select(*key))
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, key: list[str], how: str = "inner", hot: DataFrame | None = None, hint: str | None = None) -> DataFrame:
+    """``rows`` joined with ``unique``, which has one row a key at most.
+
+    Hot keys, of which there are few whatever the input, are joined by
+    broadcast where the rows are; only the others are shuffled. Rows are read
+    twice or more, so they should be cut or cheap. ``hint`` is for the join of
+    the others.
+    """
+    hot = hot_keys(rows.groupBy(*key).agg(F.count("*").alias("n")), key) if hot is None else hot
+    rest = unique.hint(hint) if hint else unique
+    if hot.isEmpty():
+        return rows.join(rest, key, how)
+    held = F.broadcast(hot)
+    cold = rows.join(held, key, "left_anti").join(rest, key, how)
+    return cold.unionByName(rows.join(held, key, "left_semi").join(F.broadcast(unique.join(held, key, "left_semi")), key, how))

@@ -56,12 +56,3 @@ def argmax(x: Column) -> Column:
 
 def threshold(x: Column) -> Column:
     return F.transform(x, lambda v: (v > 0).cast("int"))
-
-
-#: The words for a switch, on and off.
-SWITCH = dict.fromkeys(["1", "t", "true", "y", "yes"], True) | dict.fromkeys(["0", "f", "false", "n", "no"], False)
-
-
-def switch(value: str | bool) -> bool:
-    """An option given as a word, whatever its case; a KeyError names any other."""
-    return SWITCH[str(value).strip().lower()]

@@ -9,23 +9,56 @@ single task's work.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.common import cut
+from weftgraph.common import cut, hot_keys, join_unique
 
 
-def at_source(edges: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
-    """The edges with columns of the node at their source. The hash table is of the nodes; left to itself, the planner may build it of the edges and stream the nodes through few tasks."""
-    return edges.join(nodes.select(F.col("node_id").alias("src"), *columns).hint("shuffle_hash"), "src")
+#: Bytes of vectors that a partition's hash table may hold; where they are more, the join sorts. And of the vectors of hot nodes that are broadcast.
+HASH_BYTES, HOT_BYTES = 128 << 20, 64 << 20
 
 
-def _over_edges(edges: DataFrame, h: DataFrame, column: str = "x") -> DataFrame:
-    return at_source(edges.select("src", "dst"), h, column)
+@dataclass(frozen=True)
+class Reach:
+    """How vectors get to edges: those of hot nodes by broadcast, the others by a hash table of each partition's vectors, or by sorting.
+
+    ``hashed`` None: as the number of vectors, counted then, allows.
+    """
+
+    hot: DataFrame | None = None
+    hashed: bool | None = None
+
+
+def fits(spark: SparkSession, vectors: int, width: int) -> bool:
+    """Whether a partition's share of so many vectors may be a hash table."""
+    return vectors * (8 * width + 40) <= HASH_BYTES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hot_nodes(degrees: DataFrame, column: str, width: int) -> DataFrame | None:
+    """(node_id) of nodes with more than a share of all edges, so small that a task has room for it and so large that their vectors may be broadcast; none if there are none."""
+    tasks = 8 * int(degrees.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = hot_keys(degrees, ["node_id"], column, 1 / max(1, min(tasks, HOT_BYTES // (8 * width + 40))))
+    return None if found.isEmpty() else found
+
+
+def at_end(edges: DataFrame, nodes: DataFrame, end: str, width: int, *columns: str, reach: Reach = Reach()) -> DataFrame:
+    """The edges with columns of the node at one end. A hash table is of the nodes; left to itself, the planner may build it of the edges and stream the nodes through few tasks."""
+    hashed = fits(edges.sparkSession, nodes.count(), width) if reach.hashed is None else reach.hashed
+    hint = "shuffle_hash" if hashed else "merge"
+    right = nodes.select(F.col("node_id").alias(end), *columns)
+    if reach.hot is None:
+        return edges.join(right.hint(hint), end)
+    return join_unique(edges, right, [end], hot=reach.hot.withColumnRenamed("node_id", end), hint=hint)
+
+
+def _over_edges(edges: DataFrame, h: DataFrame, width: int, reach: Reach, column: str = "x") -> DataFrame:
+    return at_end(edges.select("src", "dst"), h, "src", width, column, reach=reach)
 
 
 def _components(column: str, width: int, f) -> list[Column]:
@@ -36,47 +69,47 @@ def _packed(rows: DataFrame, width: int, name: str = "a") -> DataFrame:
     return rows.select(F.col("dst").alias("node_id"), F.array(*(f"c{j}" for j in range(width))).alias(name))
 
 
-def neighbour_mean(h: DataFrame, edges: DataFrame, width: int) -> DataFrame:
+def neighbour_mean(h: DataFrame, edges: DataFrame, width: int, reach: Reach = Reach()) -> DataFrame:
     """(node_id, a) for nodes with an in-edge."""
-    rows = _over_edges(edges, h).groupBy("dst").agg(F.count("*").alias("n"), *_components("x", width, F.sum))  # one count for all
+    rows = _over_edges(edges, h, width, reach).groupBy("dst").agg(F.count("*").alias("n"), *_components("x", width, F.sum))  # one count for all
     return rows.select(F.col("dst").alias("node_id"), F.array(*(F.col(f"c{j}") / F.col("n") for j in range(width))).alias("a"))
 
 
-def neighbour_sum(h: DataFrame, edges: DataFrame, width: int) -> DataFrame:
-    return _packed(_over_edges(edges, h).groupBy("dst").agg(*_components("x", width, F.sum)), width)
+def neighbour_sum(h: DataFrame, edges: DataFrame, width: int, reach: Reach = Reach()) -> DataFrame:
+    return _packed(_over_edges(edges, h, width, reach).groupBy("dst").agg(*_components("x", width, F.sum)), width)
 
 
-def neighbour_max(h: DataFrame, edges: DataFrame, width: int) -> DataFrame:
-    return _packed(_over_edges(edges, h).groupBy("dst").agg(*_components("x", width, F.max)), width)
+def neighbour_max(h: DataFrame, edges: DataFrame, width: int, reach: Reach = Reach()) -> DataFrame:
+    return _packed(_over_edges(edges, h, width, reach).groupBy("dst").agg(*_components("x", width, F.max)), width)
 
 
 def neighbour_mean_long(long: DataFrame, edges: DataFrame) -> DataFrame:
-    """The same over rows (node_id, j, v): (node_id, j, v)."""
-    return at_source(edges.select("src", "dst"), long, "j", "v").groupBy("dst", "j").agg(F.avg("v").alias("v")).withColumnRenamed("dst", "node_id")
+    """The same over rows (node_id, j, v): (node_id, j, v). Spark chooses the join."""
+    return edges.select("src", "dst").join(long.select(F.col("node_id").alias("src"), "j", "v"), "src").groupBy("dst", "j").agg(F.avg("v").alias("v")).withColumnRenamed("dst", "node_id")
 
 
-def self_and_neighbour_mean(h: DataFrame, edges: DataFrame, width: int) -> DataFrame:
+def self_and_neighbour_mean(h: DataFrame, edges: DataFrame, width: int, reach: Reach = Reach()) -> DataFrame:
     """(own vector + sum of in-neighbours) / (in-degree + 1), for every node of h."""
-    rows = _over_edges(edges, h).groupBy("dst").agg(F.count("*").alias("din"), *_components("x", width, F.sum))
+    rows = _over_edges(edges, h, width, reach).groupBy("dst").agg(F.count("*").alias("din"), *_components("x", width, F.sum))
     rows = rows.select(F.col("dst").alias("node_id"), "din", F.array(*(f"c{j}" for j in range(width))).alias("s"))
     both = h.select("node_id", "x").join(rows, "node_id", "left")
     own = F.when(F.col("s").isNull(), F.col("x")).otherwise(F.zip_with("x", "s", lambda x, s: (x + s) / (F.col("din") + 1)))
     return both.select("node_id", own.alias("a"))
 
 
-def degree_normalised_sum(h: DataFrame, edges: DataFrame, degrees: DataFrame, width: int, every: bool = False) -> DataFrame:
+def degree_normalised_sum(h: DataFrame, edges: DataFrame, degrees: DataFrame, width: int, every: bool = False, reach: Reach = Reach()) -> DataFrame:
     """Sum of x_u / sqrt(dout_u * din_v) with the degrees of the whole graph, at least 1; zeros for nodes without in-edges if ``every``."""
     out = degrees.select("node_id", F.sqrt(F.greatest("dout", F.lit(1))).alias("root"))
     scaled = h.select("node_id", "x").join(out, "node_id").select("node_id", F.transform("x", lambda v: v / F.col("root")).alias("x"))
     into = degrees.select("node_id", F.sqrt(F.greatest("din", F.lit(1))).alias("root"))
-    rows = into.join(neighbour_sum(scaled, edges, width), "node_id", "left" if every else "inner")
+    rows = into.join(neighbour_sum(scaled, edges, width, reach), "node_id", "left" if every else "inner")
     return rows.select("node_id", F.coalesce(F.transform("a", lambda v: v / F.col("root")), F.array_repeat(F.lit(0.0), width)).alias("a"))
 
 
-def max_pooled(h: DataFrame, edges: DataFrame, width: int) -> DataFrame:
+def max_pooled(h: DataFrame, edges: DataFrame, width: int, reach: Reach = Reach()) -> DataFrame:
     """(node_id, a, at): each component's maximum over in-neighbours, and the least neighbour that has it."""
     best = [F.max(F.struct(F.col("x")[j].alias("v"), (-F.col("src")).alias("u"))).alias(f"m{j}") for j in range(width)]
-    rows = _over_edges(edges, h).groupBy("dst").agg(*best)
+    rows = _over_edges(edges, h, width, reach).groupBy("dst").agg(*best)
     return rows.select(F.col("dst").alias("node_id"), F.array(*(f"m{j}.v" for j in range(width))).alias("a"), F.array(*(-F.col(f"m{j}.u") for j in range(width))).alias("at"))
 
 
@@ -132,7 +165,7 @@ def _lstm(weights: np.ndarray, recurrent: np.ndarray, bias: np.ndarray, each: bo
     return run
 
 
-def lstm_aggregate(h: DataFrame, edges: DataFrame, weights: np.ndarray, recurrent: np.ndarray, bias: np.ndarray) -> DataFrame:
+def lstm_aggregate(h: DataFrame, edges: DataFrame, weights: np.ndarray, recurrent: np.ndarray, bias: np.ndarray, reach: Reach = Reach()) -> DataFrame:
     """(node_id, a): last hidden state of an LSTM over a node's in-neighbours in the order of their ids.
 
     Edges are dealt by destination and sorted. All nodes of a batch step
@@ -142,16 +175,16 @@ def lstm_aggregate(h: DataFrame, edges: DataFrame, weights: np.ndarray, recurren
     time, but no memory. Gates are in the order input, forget, cell, output;
     weights (d, 4 d), recurrent (d, 4 d).
     """
-    return _sequences(edges, h).mapInArrow(_lstm(weights, recurrent, bias, False), "node_id long, a array<double>")
+    return _sequences(edges, h, len(weights), reach).mapInArrow(_lstm(weights, recurrent, bias, False), "node_id long, a array<double>")
 
 
-def lstm_steps(h: DataFrame, edges: DataFrame, weights: np.ndarray, recurrent: np.ndarray, bias: np.ndarray) -> DataFrame:
+def lstm_steps(h: DataFrame, edges: DataFrame, weights: np.ndarray, recurrent: np.ndarray, bias: np.ndarray, reach: Reach = Reach()) -> DataFrame:
     """(dst, x, src, at, state, cell): each edge's place in its sequence, and the states before it."""
-    return _sequences(edges, h).mapInArrow(_lstm(weights, recurrent, bias, True), "dst long, x array<double>, src long, at long, state array<double>, cell array<double>")
+    return _sequences(edges, h, len(weights), reach).mapInArrow(_lstm(weights, recurrent, bias, True), "dst long, x array<double>, src long, at long, state array<double>, cell array<double>")
 
 
-def _sequences(edges: DataFrame, h: DataFrame) -> DataFrame:
-    return _over_edges(edges, h).repartition("dst").sortWithinPartitions("dst", "src").select("dst", "x", "src")
+def _sequences(edges: DataFrame, h: DataFrame, width: int, reach: Reach) -> DataFrame:
+    return _over_edges(edges, h, width, reach).repartition("dst").sortWithinPartitions("dst", "src").select("dst", "x", "src")
 
 
 def lstm_gradient(steps: DataFrame, g: DataFrame, weights: np.ndarray, recurrent: np.ndarray, bias: np.ndarray) -> DataFrame:
@@ -222,40 +255,79 @@ def _leaky(v: Column, slope: float) -> Column:
     return F.when(v > 0, v).otherwise(v * slope)
 
 
-def _scored(edges: DataFrame, heads: DataFrame, n_heads: int, slope: float, *carried: str) -> DataFrame:
-    """(src, dst, carried columns of src, w): by head, exp(score - largest score at dst) of each edge.
+def _scored(edges: DataFrame, heads: DataFrame, n_heads: int, slope: float, reach: tuple[Reach, Reach], width: int, *carried: str) -> DataFrame:
+    """(src, dst, carried columns of src, top, w): by head, the largest score at dst, and exp(score - that one) of each edge.
 
     Scores grow with el, so the largest at a node comes from the largest el of
     its in-neighbours: one grouped maximum over the edges, joined to the nodes.
     """
-    most = at_source(edges.select("src", "dst"), heads, "el").groupBy("dst").agg(*_components("el", n_heads, F.max))
+    most = at_end(edges.select("src", "dst"), heads, "src", n_heads, "el", reach=reach[0]).groupBy("dst").agg(*_components("el", n_heads, F.max))
     right = _packed(most, n_heads, "most").join(heads.select("node_id", "er"), "node_id")
-    right = right.select(F.col("node_id").alias("dst"), "er", F.zip_with("most", "er", lambda m, r: _leaky(m + r, slope)).alias("top"))
-    rows = at_source(edges.select("src", "dst"), heads, "el", *carried).join(right.hint("shuffle_hash"), "dst")
+    right = right.select("node_id", "er", F.zip_with("most", "er", lambda m, r: _leaky(m + r, slope)).alias("top"))
+    rows = at_end(edges.select("src", "dst"), heads, "src", width + n_heads, "el", *carried, reach=reach[0])
+    rows = at_end(rows, right, "dst", 2 * n_heads, "er", "top", reach=reach[1])
     w = F.transform(F.arrays_zip("el", "er", "top"), lambda t: F.exp(_leaky(t["el"] + t["er"], slope) - t["top"]))
-    return rows.select("src", "dst", *carried, w.alias("w"))
+    return rows.select("src", "dst", *carried, "top", w.alias("w"))
 
 
-def edge_softmax(edges: DataFrame, heads: DataFrame, n_heads: int, slope: float = 0.2) -> DataFrame:
+def edge_softmax(edges: DataFrame, heads: DataFrame, n_heads: int, slope: float = 0.2, reach: tuple[Reach, Reach] = (Reach(), Reach())) -> DataFrame:
     """(src, dst, alpha): attention of each in-edge by head; heads has (node_id, el, er), arrays by head.
 
     The sum by destination is a grouped aggregate joined back, so that no
     node's in-edges are gathered.
     """
-    rows = cut(_scored(edges, heads, n_heads, slope))
+    rows = cut(_scored(edges, heads, n_heads, slope, _measured(heads, 2 * n_heads, reach), 0))
     total = _packed(rows.groupBy("dst").agg(*_components("w", n_heads, F.sum)), n_heads, "total").withColumnRenamed("node_id", "dst")
-    return rows.join(total, "dst").select("src", "dst", F.zip_with("w", "total", lambda w, t: w / t).alias("alpha"))
+    total = total.withColumnRenamed("dst", "node_id")
+    return at_end(rows, total, "dst", n_heads, "total", reach=_measured(heads, 2 * n_heads, reach)[1]).select("src", "dst", F.zip_with("w", "total", lambda w, t: w / t).alias("alpha"))
+
+
+def _measured(heads: DataFrame, width: int, reach: tuple[Reach, Reach]) -> tuple[Reach, Reach]:
+    """The same, with the choice between hashing and sorting made once for all joins."""
+    if all(r.hashed is not None for r in reach):
+        return reach
+    hashed = fits(heads.sparkSession, heads.count(), width)
+    return tuple(Reach(r.hot, hashed) for r in reach)
 
 
-def attended_sum(edges: DataFrame, heads: DataFrame, n_heads: int, width: int, slope: float = 0.2, factor: Column | None = None) -> DataFrame:
-    """(node_id, s): by head, the attention-weighted sum of q (heads laid end to end) over in-edges; heads has (node_id, q, el, er).
+def attended_sum(edges: DataFrame, heads: DataFrame, n_heads: int, width: int, slope: float = 0.2, factor: Column | None = None, reach: tuple[Reach, Reach] = (Reach(), Reach())) -> DataFrame:
+    """(node_id, s, lse): by head, the attention-weighted sum of q (heads laid end to end) over in-edges; heads has (node_id, q, el, er).
 
     One grouped aggregate: weights and weighted sums are divided at the node.
-    ``factor`` (by head, of src and dst) multiplies what an edge passes on.
+    ``factor`` (by head, of src and dst) multiplies what an edge passes on. lse
+    is the logarithm of the sum of the scores' exponentials, by head.
     """
-    rows = _scored(edges, heads, n_heads, slope, "q").withColumn("f", F.lit(None) if factor is None else factor)
+    rows = _scored(edges, heads, n_heads, slope, _measured(heads, n_heads * (width + 1), reach), n_heads * width, "q").withColumn("f", F.lit(None) if factor is None else factor)
     passed = lambda k: F.col("w")[k] if factor is None else F.col("w")[k] * F.col("f")[k]
     sums = [F.sum(passed(k) * F.col("q")[k * width + j]).alias(f"c{k * width + j}") for k in range(n_heads) for j in range(width)]
-    rows = rows.groupBy("dst").agg(*sums, *(F.sum(F.col("w")[k]).alias(f"t{k}") for k in range(n_heads)))
+    tops = [F.max(F.col("top")[k]).alias(f"m{k}") for k in range(n_heads)]  # one value at a node
+    rows = rows.groupBy("dst").agg(*sums, *(F.sum(F.col("w")[k]).alias(f"t{k}") for k in range(n_heads)), *tops)
     shares = F.array(*(F.col(f"c{k * width + j}") / F.col(f"t{k}") for k in range(n_heads) for j in range(width)))
-    return rows.select(F.col("dst").alias("node_id"), shares.alias("s"))
+    return rows.select(F.col("dst").alias("node_id"), shares.alias("s"), F.array(*(F.col(f"m{k}") + F.log(f"t{k}") for k in range(n_heads))).alias("lse"))
+
+
+def attention_gradient(edges: DataFrame, heads: DataFrame, n_heads: int, width: int, slope: float = 0.2, factor: Column | None = None, reach: tuple[Reach, Reach] = (Reach(), Reach())) -> tuple[DataFrame, DataFrame]:
+    """((node_id, dl, dq), (node_id, dr)): gradients at el and q as a source and at er as a destination, from ds at ``attended_sum``'s s.
+
+    heads has (node_id, q, el, er, ds, lse, total); total, by head, is s times
+    ds, which is what the weighted gradients of a node's in-edges sum up to. So
+    an edge's gradient needs its two ends alone, and two passes over the edges
+    do, one for each end; nothing of an edge is stored.
+    """
+    reach = _measured(heads, n_heads * (width + 3), reach)
+    rows = at_end(edges.select("src", "dst"), heads, "src", n_heads * (width + 1), "el", "q", reach=reach[0])
+    rows = at_end(rows, heads, "dst", n_heads * (width + 3), "er", "lse", "total", "ds", reach=reach[1])
+    alpha = F.transform(F.arrays_zip("el", "er", "lse"), lambda t: F.exp(_leaky(t["el"] + t["er"], slope) - t["lse"]))
+    rows = rows.withColumn("alpha", alpha).withColumn("f", F.array_repeat(F.lit(1.0), n_heads) if factor is None else factor)
+
+    def at_score(k: int) -> Column:
+        product = sum((F.col("q")[k * width + j] * F.col("ds")[k * width + j] for j in range(width)), F.lit(0.0))
+        return F.col("alpha")[k] * (F.col("f")[k] * product - F.col("total")[k]) * F.when(F.col("el")[k] + F.col("er")[k] > 0, 1.0).otherwise(slope)
+
+    rows = rows.withColumn("de", F.array(*(at_score(k) for k in range(n_heads))))
+    scores = _components("de", n_heads, F.sum)
+    passed = [F.sum(F.col("alpha")[k] * F.col("f")[k] * F.col("ds")[k * width + j]).alias(f"p{k * width + j}") for k in range(n_heads) for j in range(width)]
+    packed = lambda name, n: F.array(*(f"{name}{j}" for j in range(n)))
+    out = rows.groupBy("src").agg(*scores, *passed).select(F.col("src").alias("node_id"), packed("c", n_heads).alias("dl"), packed("p", n_heads * width).alias("dq"))
+    into = rows.groupBy("dst").agg(*scores).select(F.col("dst").alias("node_id"), packed("c", n_heads).alias("dr"))
+    return out, into

@@ -151,6 +151,13 @@ oracle("bins_prio", CO, DIH, f"SELECT part_id, node_id, CASE WHEN cls = 'D' THEN
 # Hops and layers
 
 oracle("sage_mean_hop", features(), LONG + mean_of("h"))
+oracle(
+    "hot_source_hop",
+    "lines AS (SELECT ascii(l_returnflag)::BIGINT AS flag, l_partkey AS dst FROM lineitem)",
+    f"""vectors AS (SELECT flag, unnest(range({WIDTH}))::INTEGER AS j, unnest(embedding[1:{WIDTH}])::DOUBLE AS v
+  FROM (SELECT DISTINCT flag FROM lines) JOIN embeddings ON flag % (SELECT count(*) FROM embeddings) = vec_id)""",
+    f"SELECT dst AS node_id, j, {r('avg(v)')} AS v FROM lines JOIN vectors USING (flag) GROUP BY dst, j",
+)
 oracle("sage_mean_hop_long", features(), LONG + mean_of("h"))
 oracle("sage_gcn_hop", features(), LONG + "(SELECT h.node_id, h.j, (any_value(h.v) + coalesce(sum(x.v), 0)) / (count(x.v) + 1) AS v FROM h LEFT JOIN edges e ON h.node_id = e.dst LEFT JOIN h x ON e.src = x.node_id AND x.j = h.j GROUP BY h.node_id, h.j)")
 oracle("sage_pool_hop", features(), f"p AS (SELECT node_id, j, greatest(v + {bias(0)}, 0.0::DOUBLE) AS v FROM {product('h', WIDTH, HIDDEN)})", LONG + "(SELECT e.dst AS node_id, p.j, max(p.v) AS v FROM edges e JOIN p ON e.src = p.node_id GROUP BY ALL)")

@@ -162,7 +162,7 @@ class StoredContext(Context):
     @classmethod
     def over(cls, store: PartStore, folder: str | None = None) -> StoredContext:
         edges = store.table("inner").select("src", "dst").unionByName(store.table("at_src").select("src", "dst")).unionByName(store.table("at_dst").select("src", "dst"))
-        return cls(store.table("nodes").select("home", "node_id"), edges, store, folder or new_folder(store.spark, "stored"))
+        return cls(store.table("nodes").select("home", "node_id"), edges, store=store, folder=folder or new_folder(store.spark, "stored"))
 
     @property
     def degrees(self) -> DataFrame:

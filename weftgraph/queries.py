@@ -326,6 +326,16 @@ def sage_mean_hop(spark, sf_dir):
     return long(agg.neighbour_mean(nodes, graph.edges, WIDTH))
 
 
+@query
+def hot_source_hop(spark, sf_dir):
+    """Parts hear from the return flags of their line items: each of the three sources has some third of all edges."""
+    lines = table(spark, sf_dir, "lineitem").select(F.ascii("l_returnflag").cast("long").alias("flag"), "l_partkey")
+    edges = cut(lines.select((-F.col("flag")).alias("src"), F.col("l_partkey").alias("dst")))
+    flags = edges.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("dout"))
+    vectors = with_embeddings(spark, sf_dir, flags.select((-F.col("node_id")).alias("node_id"))).select((-F.col("node_id")).alias("node_id"), "x")
+    return long(agg.neighbour_mean(vectors, edges, WIDTH, agg.Reach(agg.hot_nodes(flags, "dout", WIDTH), True)))
+
+
 @query
 def sage_mean_hop_long(spark, sf_dir):
     graph, nodes = features(spark, sf_dir)
