@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftgraph.common import cut, table
+from weftgraph.common import cut, hot_keys, join_unique, table
 
 __all__ = ["DOCUMENT_COLUMNS", "cut", "hot_keys", "join_unique", "row_key", "slices", "table"]
 
@@ -37,27 +37,3 @@ def row_key() -> Column:
     columns = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("text"), F.lit("null"))
     return F.struct(F.xxhash64(*columns, F.col("text").isNull()).alias("a"), F.xxhash64(F.lit("again"), *columns, F.col("text").isNull()).alias("b"))
 
-
-#: A key is hot from so many rows on, if it also holds more than this share of all rows; so there are 100,000 hot keys at most.
-HOT_ROWS, HOT_SHARE = 64, 1e-5
-
-
-def hot_keys(counts: DataFrame, key: list[str], n: str = "n") -> DataFrame:
-    """The keys that are hot, of a table with ``n`` rows a key; so few that they may be broadcast."""
-    limit = F.greatest(F.lit(float(HOT_ROWS)), counts.agg(F.sum(n)).scalar() * HOT_SHARE)
-    return cut(counts.where(F.col(n) > limit).select(*key))
-
-
-def join_unique(rows: DataFrame, unique: DataFrame, key: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
-    """``rows`` joined with ``unique``, which has one row a key at most.
-
-    Hot keys, of which there are few whatever the input, are joined by
-    broadcast where the rows are; only the others are shuffled. Rows are read
-    twice or more, so they should be cut or cheap.
-    """
-    hot = hot_keys(rows.groupBy(*key).agg(F.count("*").alias("n")), key) if hot is None else hot
-    if hot.isEmpty():
-        return rows.join(unique, key, how)
-    held = F.broadcast(hot)
-    cold = rows.join(held, key, "left_anti").join(unique, key, how)
-    return cold.unionByName(rows.join(held, key, "left_semi").join(F.broadcast(unique.join(held, key, "left_semi")), key, how))
