@@ -41,6 +41,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables written to the shared folder by a loop, in generations; what an earlier generation wrote is deleted when it is no longer read.
+
+    Unlike a checkpoint, a table that is read again has its true size for the
+    planner. Estimates that checkpoints carry over from loop to loop multiply at
+    every join, until the numbers themselves take the driver's time.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.generation = spark, new_folder(spark, name), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.generation}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def turn(self, but: int = 1) -> None:
+        """Begins a generation and deletes those before it but the last ``but``."""
+        self.generation += 1
+        old = self.generation - 1 - but
+        if old >= 0:
+            discard(self.spark, f"{self.folder}/{old}")
+
+    def clear(self) -> None:
+        discard(self.spark, self.folder)
+
+
 def ranked(rows: DataFrame, *columns: str) -> DataFrame:
     """``rows`` with their rank from 0 in the order of the columns, by range partitions that each count their own rows."""
     at = F.monotonically_increasing_id()

@@ -1,9 +1,8 @@
 """Assigning nodes to parts, and refining an assignment by swaps.
 
-Spark has no multilevel partitioner. ``grown_parts`` stands in for one: labels
-spread along edges from evenly spaced seeds, and nodes sorted by label are
-then cut into even chunks. Its cuts are not those of an external tool, whose
-assignment file can be read instead.
+``multilevel`` lowers the cut; ``grown_parts`` is a quicker choice without a
+promise: labels spread along edges, and nodes sorted by label are then cut into
+even chunks. An assignment made elsewhere can be read instead.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.common import cut, ranked
 from weftgraph.graph import Graph, both_directions
+from weftgraph.operators.multilevel import multilevel_parts
 
 
 def random_parts(nodes: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -66,6 +66,7 @@ PARTITIONERS = {
     "hash": lambda graph, k, **o: hashed_parts(graph.nodes, k, **o),
     "chunk": lambda graph, k, **o: chunk_parts(graph.nodes, k, **o),
     "grown": lambda graph, k, **o: grown_parts(graph, k, **o),
+    "multilevel": lambda graph, k, **o: multilevel_parts(graph, k, **o),
     "balanced": lambda graph, k, **o: refine(graph, grown_parts(graph, k), **o),
 }
 

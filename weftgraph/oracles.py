@@ -150,6 +150,14 @@ oracle("bins_prio", CO, DIH, f"SELECT part_id, node_id, CASE WHEN cls = 'D' THEN
 
 # Hops and layers
 
+TIE = "((least(src, dst) % 2147483648) * 2654435761 % 4294967296 * 31 + greatest(src, dst) % 2147483648 * 40503) % 4294967296"
+oracle(
+    "matching_round",
+    PS,
+    "weighed AS (SELECT src, dst, count(*) AS w FROM edges WHERE src <> dst GROUP BY ALL)",
+    f"wish AS (SELECT src, arg_max(dst, struct_pack(w := w, t := {TIE}, least := -dst)) AS dst FROM weighed GROUP BY src)",
+    "SELECT a.src AS a, a.dst AS b FROM wish a JOIN wish b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst",
+)
 oracle("sage_mean_hop", features(), LONG + mean_of("h"))
 oracle(
     "hot_source_hop",

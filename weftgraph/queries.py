@@ -13,7 +13,7 @@ from weftgraph.functions import activations, losses
 from weftgraph.functions.scaling import standard_scale
 from weftgraph.graph import Graph, fill_missing, gather, masks_by_position, masks_by_roles, num_classes, num_nodes, scatter
 from weftgraph.operators import aggregate as agg
-from weftgraph.operators import classify, partitioning
+from weftgraph.operators import classify, multilevel, partitioning
 from weftgraph.plans import bins, layers
 from weftgraph.plans.stored import PartStore, StoredContext
 from weftgraph.plans.train import Adam, Trainer
@@ -306,6 +306,17 @@ def grown_partition(spark, sf_dir):
     return partitioning.grown_parts(part_supplier(spark, sf_dir), K)
 
 
+@query
+def matching_round(spark, sf_dir):
+    """Parts and suppliers that are each other's heaviest neighbour."""
+    return multilevel.matches(multilevel.first_level(part_supplier(spark, sf_dir)).edges)
+
+
+@query
+def multilevel_partition(spark, sf_dir):
+    return partitioning.partition(part_supplier(spark, sf_dir), K, "multilevel")
+
+
 @query
 def bins_naive(spark, sf_dir):
     return bins.naive(co_located(spark, sf_dir)[1], 100)
