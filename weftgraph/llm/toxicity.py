@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import cut, slices
+from weftgraph.llm.common import cut, hot_keys, join_unique, slices
 from weftgraph.llm.labelled import sample, with_texts
 from weftgraph.llm.words import WordValues
 
@@ -148,9 +148,10 @@ def word_ratios(words: list[str], model: Model) -> np.ndarray:
 
 
 def joined_word_ratios(words: DataFrame, model: Model) -> DataFrame:
-    """(word, ratio, size) of each of the distinct words, by a model that is joined."""
+    """(word, ratio, size) of each of the distinct words, by a model that is joined; what very many words share is joined where they are."""
     fives, contexts = model.fives.withColumnRenamed("ratio", "own"), model.contexts.select(F.col("gram").alias("head"), F.col("ratio").alias("after"))
-    grams = words.select("word", _fives().alias("gram")).withColumn("head", _head()).join(fives, "gram", "left").join(contexts, "head", "left")
+    grams = cut(words.select("word", _fives().alias("gram")).withColumn("head", _head()))
+    grams = join_unique(cut(join_unique(grams, fives, ["gram"], "left")), contexts, ["head"], "left")
     ratio = F.coalesce("own", "after", F.lit(0.0)).cast("double")
     return grams.groupBy("word").agg(F.sum(ratio).alias("ratio"), F.count("*").cast("double").alias("size"))
 
@@ -216,10 +217,11 @@ def _with_ratios(rows: DataFrame, model: Model) -> DataFrame:
                 row = np.repeat(np.arange(len(words)), [len(w) for w in words])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array([w for t in words for w in t], pa.string())], [*key, "word"])
 
-    pairs = rows.select(*key, "measured text").mapInArrow(run, "`measured 1` long, `measured 2` long, word string").distinct()
-    known = joined_word_ratios(pairs.select("word").distinct(), model)
-    of = pairs.join(known, "word").groupBy(*key).agg(F.collect_list(F.struct("word", "ratio", "size")).alias("measured words"))
-    return rows.join(of, key, "left").drop(*key)
+    pairs = cut(rows.select(*key, "measured text").mapInArrow(run, "`measured 1` long, `measured 2` long, word string").distinct())
+    known = cut(joined_word_ratios(pairs.select("word").distinct(), model))
+    of = cut(join_unique(pairs, known, ["word"]).groupBy(*key).agg(F.collect_list(F.struct("word", "ratio", "size")).alias("measured words")))
+    copies = hot_keys(rows.groupBy(*key).agg(F.count("*").alias("n")), key, share=1e-3)  # a thousand texts at most
+    return join_unique(rows, of, key, "left", hot=copies).drop(*key)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, share: float, penalty: float = 1e-2) -> np.ndarray:
