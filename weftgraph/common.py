@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -33,6 +34,29 @@ def discard(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder, none if it is not there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def whole(spark: SparkSession, folder: str) -> bool:
+    """Whether a table was written to its end."""
+    return "_SUCCESS" in listed(spark, folder)
+
+
+def digest(*frames: DataFrame) -> str:
+    """Of the rows of each frame, whatever their order and partitions; frames have columns that can be hashed."""
+    found = []
+    for df in frames:
+        columns = sorted(df.columns)
+        h, other = F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)
+        row = df.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h), F.bit_xor(other)).first()
+        found.append(f"{columns} {list(map(str, row))}")
+    return hashlib.sha256("\n".join(found).encode()).hexdigest()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there."""
     spark = df.sparkSession

@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.common import cut, new_folder
+from weftgraph.common import cut, discard, new_folder
 from weftgraph.graph import Graph
 from weftgraph.plans.layers import Context
 
@@ -157,6 +157,7 @@ class StoredContext(Context):
 
     store: PartStore = field(default=None)
     folder: str = field(default=None)
+    generations: list[list[str]] = field(default_factory=list)
     key = ("home", "node_id")
 
     @classmethod
@@ -169,10 +170,21 @@ class StoredContext(Context):
         return self.store.table("nodes")
 
     def keep(self, rows: DataFrame) -> DataFrame:
-        return self.store.spark.table(self.store.keep(rows, f"{self.folder}/{uuid.uuid4().hex}"))
+        named = self.store.keep(rows, f"{self.folder}/{len(self.generations)}/{uuid.uuid4().hex}")
+        if self.generations:
+            self.generations[-1].append(named)
+        return self.store.spark.table(named)
+
+    def turn(self) -> None:
+        self.generations.append([])
+        old = len(self.generations) - 2
+        if old > 0:
+            for named in self.generations[old - 1]:
+                self.store.spark.sql(f"DROP TABLE {named}")
+            discard(self.store.spark, f"{self.folder}/{old}")
 
     def placed(self, rows: DataFrame) -> DataFrame:
-        """Rows with a node_id, kept with their home."""
+        """Rows with a node_id, with their home; they stay through all generations if they come before the first."""
         return self.keep(self.store.dealt(rows.join(self.store.table("nodes").select("home", "node_id"), "node_id")))
 
     def neighbour_mean(self, h: DataFrame, width: int) -> DataFrame:

@@ -13,7 +13,7 @@ from weftgraph.functions import activations, losses
 from weftgraph.functions.scaling import standard_scale
 from weftgraph.graph import Graph, fill_missing, gather, masks_by_position, masks_by_roles, num_classes, num_nodes, scatter
 from weftgraph.operators import aggregate as agg
-from weftgraph.operators import classify, multilevel, partitioning
+from weftgraph.operators import batches, classify, multilevel, partitioning
 from weftgraph.plans import bins, layers
 from weftgraph.plans.stored import PartStore, StoredContext
 from weftgraph.plans.train import Adam, Trainer
@@ -301,6 +301,12 @@ def swap_loop(spark, sf_dir):
     return partitioning.refine(graph, parts)
 
 
+@query
+def swap_batches(spark, sf_dir):
+    """Independent swaps of paired parts until none brings them closer."""
+    return batches.refine_batches(*co_located(spark, sf_dir))
+
+
 @query
 def grown_partition(spark, sf_dir):
     return partitioning.grown_parts(part_supplier(spark, sf_dir), K)
