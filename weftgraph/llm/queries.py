@@ -249,3 +249,38 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
 }
 for _name in ("BOILERPLATE", "MARKED", "LINK"):
     ORACLES["op8_quality_rules"] = ORACLES["op8_quality_rules"].replace(f"@{_name}@", getattr(quality_rules, _name).replace("'", "''"))
+
+
+def _merkle_sql(levels: int = 8, group_levels: int = 4) -> str:
+    """A manifest of up to 8 ** levels rows a language and 8 ** group_levels languages, level by level."""
+    part = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lower = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    zeros = ", ".join(["0::BIGINT"] * 8)
+    ctes = [
+        f"bytewise AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [{zeros}]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i)))",
+        "summed AS (SELECT documents.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) AS crc FROM documents, bytewise)",
+        f"leaves AS (SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN crc % 3 = 0 THEN {leaf(lower)} END AS tampered FROM summed)",
+        "placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS slot, count(*) OVER (PARTITION BY lang) AS n FROM leaves)",
+        "l0 AS (SELECT lang AS g, slot, leaf AS d, n FROM placed)",
+        "r0 AS (SELECT doc_id, leaf, lang AS g, slot, coalesce(tampered, leaf) AS fold, '' AS proof FROM placed)",
+    ]
+
+    def tree(name: str, rows: str, levels: int) -> None:
+        run = "(PARTITION BY g, slot // 8 ORDER BY slot ROWS BETWEEN "
+        for k in range(levels):
+            ctes.append(f"{name}s{k} AS (SELECT g, slot, n, coalesce(string_agg(d, '') OVER {run}UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lf, coalesce(string_agg(d, '') OVER {run}1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rt FROM {name}{k})")
+            ctes.append(f"{name}{k + 1} AS (SELECT g, slot // 8 AS slot, CASE WHEN max(n) > 1 THEN sha256(string_agg(d, '' ORDER BY slot)) ELSE any_value(d) END AS d, CASE WHEN max(n) > 1 THEN (max(n) + 7) // 8 ELSE 1 END AS n FROM {name}{k} GROUP BY g, slot // 8)")
+            ctes.append(f"{rows}{k + 1} AS (SELECT r.* EXCLUDE (fold, proof), CASE WHEN s.n > 1 THEN sha256(lf || fold || rt) ELSE fold END AS fold, CASE WHEN s.n > 1 THEN proof || lf || rt ELSE proof END AS proof FROM {rows}{k} r JOIN {name}s{k} s ON r.g IS NOT DISTINCT FROM s.g AND r.slot // {8**k} = s.slot)")
+
+    tree("l", "r", levels)
+    ctes += [
+        f"subs AS (SELECT g AS lang, d, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS slot, count(*) OVER () AS n FROM l{levels})",
+        "t0 AS (SELECT 0 AS g, slot, d, n FROM subs)",
+        f"q0 AS (SELECT r.doc_id, r.leaf, subs.d AS subroot, 0 AS g, subs.slot, r.fold, r.proof FROM r{levels} r JOIN subs ON r.g IS NOT DISTINCT FROM subs.lang)",
+    ]
+    tree("t", "q", group_levels)
+    return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = d AS verified FROM q{group_levels}, t{group_levels}"
+
+
+ORACLES["op13_merkle_manifest"] = _merkle_sql()
