@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph, masks_by_roles
+from weftgraph.sources.arrays import read_csr, read_npy
 
 
 def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
@@ -94,10 +95,20 @@ def read_class_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_multilabel(spark: SparkSession, folder: str, n_classes: int) -> Graph:
-    """Features scaled by the nodes of the training graph, multi-hot labels, masks from role lists, one loop at each node."""
+    """Features scaled by the nodes of the training graph, multi-hot labels, masks from role lists, one loop at each node.
+
+    The folder has features and the two graphs as Parquet tables, or as the
+    arrays that they are published in: feats.npy, adj_full.npz, adj_train.npz.
+    """
+    from weftgraph.common import listed
     from weftgraph.functions.scaling import standard_scale
 
-    train = spark.read.parquet(f"{folder}/adj_train.parquet").select(F.col("src").alias("node_id")).distinct()
-    nodes = standard_scale(spark.read.parquet(f"{folder}/nodes.parquet"), train)
+    there = listed(spark, folder)
+    edges = lambda name: spark.read.parquet(f"{folder}/{name}.parquet") if f"{name}.parquet" in there else read_csr(spark, f"{folder}/{name}.npz")
+    if "nodes.parquet" in there:
+        nodes = spark.read.parquet(f"{folder}/nodes.parquet")
+    else:
+        nodes = read_npy(spark, f"{folder}/feats.npy").select(F.col("row").alias("node_id"), F.col("values").cast("array<float>").alias("features"))
+    nodes = standard_scale(nodes, edges("adj_train").select(F.col("src").alias("node_id")).distinct())
     nodes = masks_by_roles(class_matrix(nodes, read_class_map(spark, f"{folder}/class_map.json"), n_classes), read_roles(spark, f"{folder}/role.json"))
-    return Graph(nodes, spark.read.parquet(f"{folder}/adj_full.parquet")).with_self_loops()
+    return Graph(nodes, edges("adj_full")).with_self_loops()
