@@ -148,6 +148,21 @@ oracle("swap_three_steps", CO, *swap_step("parts", 1), *swap_step("parts_1", 2),
 oracle("bins_naive", CO, "SELECT part_id, node_id, floor((row_number() OVER (PARTITION BY part_id ORDER BY node_id) - 1) / 100)::INTEGER AS bin_id FROM parts")
 oracle("bins_prio", CO, DIH, f"SELECT part_id, node_id, CASE WHEN cls = 'D' THEN 0 ELSE 1 + floor((row_number() OVER (PARTITION BY part_id, cls ORDER BY node_id) - 1) / {50 * (WIDTH // HIDDEN)}) END::INTEGER AS bin_id FROM classes WHERE cls <> 'H'")
 
+oracle(
+    "bin_block_sizes",
+    CO,
+    "f2 AS (SELECT part_id, floor((row_number() OVER (PARTITION BY part_id ORDER BY node_id) - 1) / 100)::INTEGER AS bin_id, node_id FROM parts)",
+    "b1 AS (SELECT part_id, bin_id, src, dst FROM edges JOIN f2 ON dst = node_id)",
+    "f1 AS (SELECT * FROM f2 UNION SELECT part_id, bin_id, src FROM b1)",
+    "b0 AS (SELECT part_id, bin_id, src, dst FROM edges JOIN f1 ON dst = node_id)",
+    "f0 AS (SELECT * FROM f1 UNION SELECT part_id, bin_id, src FROM b0)",
+    " UNION ALL ".join(
+        f"""SELECT part_id, bin_id, {k} AS layer, (SELECT count(*) FROM f{k} i WHERE i.part_id = o.part_id AND i.bin_id = o.bin_id) AS n_inputs, count(*) AS n_outputs,
+  (SELECT count(*) FROM b{k} b WHERE b.part_id = o.part_id AND b.bin_id = o.bin_id) AS n_edges FROM f{k + 1} o GROUP BY part_id, bin_id"""
+        for k in range(2)
+    ),
+)
+
 # Hops and layers
 
 TIE = "((least(src, dst) % 2147483648) * 2654435761 % 4294967296 * 31 + greatest(src, dst) % 2147483648 * 40503) % 4294967296"
@@ -173,6 +188,7 @@ oracle("gcn_norm_hop", features(), DEGREES, LONG + gcn_sum("h"))
 oracle("sage_layer_linear_relu", features(), LONG + sage_layer("h", WIDTH, HIDDEN, 0, True))
 TWO_SAGE = (features(), f"h1 AS MATERIALIZED {sage_layer('h', WIDTH, HIDDEN, 0, True)}", f"z AS MATERIALIZED {sage_layer('h1', HIDDEN, CLASSES, 3, False)}")
 oracle("sage_two_layer_forward", *TWO_SAGE, LONG + "z")
+oracle("bin_two_layer_forward", *TWO_SAGE, LONG + "z")
 oracle("halo_two_layer_forward", *TWO_SAGE, LONG + "z")
 oracle("gcn_two_layer_forward", features(), DEGREES,
        f"h1 AS MATERIALIZED (SELECT node_id, j, greatest(v + {bias(0)}, 0.0::DOUBLE) AS v FROM {product(gcn_sum('h'), WIDTH, HIDDEN)})",

@@ -14,7 +14,7 @@ from weftgraph.functions.scaling import standard_scale
 from weftgraph.graph import Graph, fill_missing, gather, masks_by_position, masks_by_roles, num_classes, num_nodes, scatter
 from weftgraph.operators import aggregate as agg
 from weftgraph.operators import batches, classify, multilevel, partitioning
-from weftgraph.plans import bins, layers
+from weftgraph.plans import bins, blocks, layers
 from weftgraph.plans.stored import PartStore, StoredContext
 from weftgraph.plans.train import Adam, Trainer
 from weftgraph.sources import sinks, text
@@ -334,6 +334,22 @@ def bins_prio(spark, sf_dir):
     return bins.priority(classify.node_classes(graph.edges, parts), bins.scaled_bin_size(50, 1, WIDTH, HIDDEN))
 
 
+@query
+def bin_block_sizes(spark, sf_dir):
+    """What two layers need for each bin of consecutive nodes."""
+    graph, parts = co_located(spark, sf_dir)
+    return blocks.block_sizes(graph.edges, bins.naive(parts, 100), 2)
+
+
+@query
+def bin_two_layer_forward(spark, sf_dir):
+    """The two layers bin by bin: D nodes of a part, then slices of the others."""
+    graph, nodes = features(spark, sf_dir)
+    binned = bins.priority(classify.node_classes(graph.edges, partitioning.chunk_parts(graph.nodes, K)), 200)
+    params = [sage_params(WIDTH, HIDDEN, 0), sage_params(HIDDEN, CLASSES, 3)]
+    return long(blocks.forward(graph, binned, nodes, layers.sage(WIDTH, HIDDEN, CLASSES), params), "out")
+
+
 # Hops
 
 
