@@ -165,6 +165,18 @@ oracle(
 
 # Hops and layers
 
+oracle(
+    "grown_partition",
+    PS,
+    "voters AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst UNION ALL SELECT node_id, node_id FROM ids)",
+    "l0 AS (SELECT node_id, node_id AS label FROM ids)",
+    *(
+        f"""l{k + 1} AS (SELECT dst AS node_id, arg_min(label, struct_pack(n := -n, label := label)) AS label
+  FROM (SELECT dst, label, count(*) AS n FROM voters JOIN l{k} ON src = node_id GROUP BY ALL) GROUP BY dst)"""
+        for k in range(5)
+    ),
+    f"SELECT node_id, least(floor((row_number() OVER (ORDER BY label, node_id) - 1) * {K} / (SELECT count(*) FROM ids)), {K - 1})::INTEGER AS part_id FROM l5",
+)
 TIE = "((least(src, dst) % 2147483648) * 2654435761 % 4294967296 * 31 + greatest(src, dst) % 2147483648 * 40503) % 4294967296"
 oracle(
     "matching_round",
