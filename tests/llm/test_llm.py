@@ -934,3 +934,29 @@ def test_decontamination_of_one_word_many_times(spark):
     began = time.time()
     got = {r["doc_id"]: r for r in decontamination.find_overlaps(frame, item).collect()}
     assert set(got) == {0, 1} and (got[0]["matched"], got[0]["doc_start"]) == (60, 0) and got[1]["matched"] >= 59 and time.time() - began < 30
+
+
+def test_license_scan_tells_relatives_apart(spark):
+    lines = {
+        "Licensed under CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0",
+        "Licensed under CC BY-ND 4.0": "CC-BY-ND-4.0",
+        "Licensed under CC BY 4.0": "CC-BY-4.0",
+        "Licensed under CC BY 3.0": None,
+        "Licensed under the Apache License, Version 1.1": "Apache-1.1",
+        "Licensed under the Apache License, Version 2.0": "Apache-2.0",
+        "Released under the WTFPL License": "WTFPL",
+        "This file is not licensed under the Apache License, Version 2.0": None,
+        "// SPDX-License-Identifier: MIT OR Apache-2.0": "MIT OR Apache-2.0",
+        "<!-- SPDX-License-Identifier: LGPL-2.1-or-later -->": "LGPL-2.1-or-later",
+        "# SPDX-License-Identifier: EPL-2.0": "EPL-2.0",
+        "/* SPDX-License-Identifier: Zlib */": "Zlib",
+        "SPDX-License-Identifier: BSL-1.0": "BSL-1.0",
+        "SPDX-License-Identifier: 0BSD": "0BSD",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999": "LGPL-2.1",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991": "GPL-2.0",
+        "Copyright 2019-2020\nReleased under the MIT License": "MIT",
+        "Licensed under the BSD 3-Clause License": "BSD-3-Clause",
+    }
+    files = spark.createDataFrame([(i, f"d{i}/f.txt", line) for i, line in enumerate(lines)], "id long, path string, text string")
+    got = {r["id"]: r["license"] for r in license_scan.scan(files).collect()}
+    assert [got[i] for i in range(len(lines))] == list(lines.values())

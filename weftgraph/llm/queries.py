@@ -129,7 +129,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-_TEMPLATE_ROWS = ", ".join(f"('{k}', {i}, '{v}')" for k, texts in license_scan.TEMPLATES.items() for i, v in enumerate(texts))
+_MARKS_SQL = (
+    f"list_distinct(list_concat(list_transform(regexp_extract_all(lower({{c}}), '{license_scan.VERSION}', 1), lambda v: CASE WHEN length(v) = 1 THEN v || '.0' ELSE v END), "
+    + "list_filter(["
+    + ", ".join(f"CASE WHEN regexp_matches(lower({{c}}), '{pattern}') THEN '{name}' END" for name, pattern in license_scan.MODIFIERS.items())
+    + "], lambda x: x IS NOT NULL)))"
+)
+_NAMES_SQL = f"list_filter({license_scan.NAMES}, lambda x: list_contains(regexp_extract_all(lower({{c}}), '[a-z0-9]+([.][0-9]+)*'), x))"
+_TEMPLATE_ROWS = ", ".join(f"('{k}', {i}, '{v.replace(chr(39), chr(39) * 2)}')" for k, texts in license_scan.TEMPLATES.items() for i, v in enumerate(texts))
 _RULE_ROWS = ", ".join(f"('{a}', '{r}')" for a, r in URL_RULES)
 _SITE_ROWS = ", ".join(f"('{u}')" for u in LISTED_SITES)
 
@@ -192,8 +199,12 @@ lined AS (
   SELECT doc_id, is_file, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '{license_scan.COMMENT_MARK}', '')) AS ls FROM named WHERE cued OR is_file),
 divided AS (SELECT *, string_split_regex(array_to_string(ls, chr(10)), '{license_scan.PARAGRAPH_END}') AS ps FROM lined),
 blocks AS (
-  SELECT doc_id, unnest(list_distinct(list_concat(list_filter(ls, lambda x: regexp_matches(x, '{license_scan.CUE}')), list_filter(ps, lambda x: is_file OR regexp_matches(x, '{license_scan.CUE}'))))) AS block
-  FROM divided),
+  SELECT * FROM (
+    SELECT doc_id, unnest(list_distinct(list_concat(list_filter(ls, lambda x: regexp_matches(x, '{license_scan.CUE}')), list_filter(ps, lambda x: is_file OR regexp_matches(x, '{license_scan.CUE}'))))) AS block
+    FROM divided) WHERE NOT regexp_matches(block, '{license_scan.NEGATED}')),
+marked AS (SELECT doc_id, block, {_MARKS_SQL.format(c='block')} AS marks, {_NAMES_SQL.format(c='block')} AS named FROM blocks),
+rules AS (SELECT license, template, {_MARKS_SQL.format(c='notice')} AS needs, {_NAMES_SQL.format(c='notice')} AS names FROM templates),
+allowing AS (SELECT *, (SELECT flatten(list(o.needs)) FROM rules o WHERE o.license = r.license) AS allowed FROM rules r),
 terms AS (SELECT doc_id, block, unnest(regexp_extract_all(lower(block), '[a-z0-9]+([.][0-9]+)*')) AS term FROM blocks),
 tf AS (SELECT doc_id, block, term, count(*) AS tf FROM terms GROUP BY ALL),
 tt AS (SELECT license, template, term, count(*) AS tf FROM (SELECT license, template, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+([.][0-9]+)*')) AS term FROM templates) GROUP BY ALL),
@@ -204,11 +215,14 @@ v AS (SELECT license, template, term, tf * idf AS v FROM tt JOIN idf USING (term
 cosines AS (
   SELECT doc_id, license, template, max(round(dot / (sqrt(wn) * sqrt(vn)), 6)) AS cosine
   FROM (SELECT doc_id, block, license, template, sum(w * v) AS dot FROM w JOIN v USING (term) GROUP BY ALL)
+  JOIN marked USING (doc_id, block) JOIN allowing USING (license, template)
   JOIN (SELECT doc_id, block, sum(w * w) AS wn FROM w GROUP BY ALL) USING (doc_id, block) JOIN (SELECT license, template, sum(v * v) AS vn FROM v GROUP BY ALL) USING (license, template)
+  WHERE list_has_all(marks, needs) AND list_has_all(named, names) AND list_has_all(allowed, marks)
   GROUP BY ALL HAVING max(round(dot / (sqrt(wn) * sqrt(vn)), 6)) >= 0.6),
 met AS (SELECT doc_id, license, max(cosine) AS cosine, round(sum(cosine), 4) AS total FROM cosines GROUP BY ALL),
 best AS (SELECT doc_id, arg_min(cosine, struct_pack(t := -total, c := -cosine, l := license)) AS cosine, arg_min(license, struct_pack(t := -total, c := -cosine, l := license)) AS license FROM met GROUP BY doc_id),
-own AS (SELECT named.doc_id, path, dir, is_file, license, cosine FROM named LEFT JOIN best USING (doc_id)),
+tags AS (SELECT doc_id, regexp_replace(regexp_extract(text, '{license_scan.SPDX}', 1), '[ -]+$', '') AS tag FROM files),
+own AS (SELECT named.doc_id, path, dir, is_file, CASE WHEN tag <> '' THEN tag ELSE license END AS license, CASE WHEN tag <> '' THEN 1.0 ELSE cosine END AS cosine FROM named LEFT JOIN best USING (doc_id) LEFT JOIN tags USING (doc_id)),
 licensed AS (SELECT dir, arg_min(license, struct_pack(c := -cosine, l := license)) AS license FROM own WHERE is_file AND license IS NOT NULL GROUP BY dir),
 near AS (
   SELECT own.doc_id, arg_max(licensed.license, length(licensed.dir)) AS license
