@@ -106,9 +106,9 @@ def ranked(rows: DataFrame, *columns: str) -> DataFrame:
 HOT_ROWS, HOT_SHARE = 64, 1e-5
 
 
-def hot_keys(counts: DataFrame, key: list[str], n: str = "n", share: float = HOT_SHARE) -> DataFrame:
-    """The keys that are hot, of a table with ``n`` rows a key; so few that they may be broadcast."""
-    limit = F.greatest(F.lit(float(HOT_ROWS)), counts.agg(F.sum(n)).scalar() * share)
+def hot_keys(counts: DataFrame, key: list[str], n: str = "n", share: float = HOT_SHARE, total: int | None = None) -> DataFrame:
+    """The keys that are hot, of a table with ``n`` rows a key and ``total`` in all; so few that they may be broadcast."""
+    limit = F.greatest(F.lit(float(HOT_ROWS)), (counts.agg(F.sum(n)).scalar() if total is None else F.lit(total)) * share)
     return cut(counts.where(F.col(n) > limit).select(*key))
 
 

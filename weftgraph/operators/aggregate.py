@@ -40,10 +40,10 @@ def fits(spark: SparkSession, vectors: int, width: int) -> bool:
     return vectors * (8 * width + 40) <= HASH_BYTES * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hot_nodes(degrees: DataFrame, column: str, width: int) -> DataFrame | None:
+def hot_nodes(degrees: DataFrame, column: str, width: int, total: int | None = None) -> DataFrame | None:
     """(node_id) of nodes with more than a share of all edges, so small that a task has room for it and so large that their vectors may be broadcast; none if there are none."""
     tasks = 8 * int(degrees.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = hot_keys(degrees, ["node_id"], column, 1 / max(1, min(tasks, HOT_BYTES // (8 * width + 40))))
+    found = hot_keys(degrees, ["node_id"], column, 1 / max(1, min(tasks, HOT_BYTES // (8 * width + 40))), total)
     return None if found.isEmpty() else found
 
 
