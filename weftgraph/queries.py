@@ -58,6 +58,11 @@ def features(spark: SparkSession, sf_dir: str, width: int = WIDTH) -> tuple[Grap
     return graph, with_embeddings(spark, sf_dir, graph.nodes, width)
 
 
+def within(graph: Graph, width: int = WIDTH) -> agg.Reach:
+    """Hash tables of the vectors if so many fit, which the nodes alone tell."""
+    return agg.Reach(None, agg.fits(graph.nodes.sparkSession, graph.nodes.count(), width))
+
+
 def chunked(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
     graph = part_supplier(spark, sf_dir)
     return graph, partitioning.chunk_parts(graph.nodes, K)
@@ -356,7 +361,7 @@ def bin_two_layer_forward(spark, sf_dir):
 @query
 def sage_mean_hop(spark, sf_dir):
     graph, nodes = features(spark, sf_dir)
-    return long(agg.neighbour_mean(nodes, graph.edges, WIDTH))
+    return long(agg.neighbour_mean(nodes, graph.edges, WIDTH, reach=within(graph)))
 
 
 @query
@@ -379,7 +384,7 @@ def sage_mean_hop_long(spark, sf_dir):
 @query
 def sage_gcn_hop(spark, sf_dir):
     graph, nodes = features(spark, sf_dir)
-    return long(agg.self_and_neighbour_mean(nodes, graph.edges, WIDTH))
+    return long(agg.self_and_neighbour_mean(nodes, graph.edges, WIDTH, reach=within(graph)))
 
 
 @query
@@ -387,19 +392,19 @@ def sage_pool_hop(spark, sf_dir):
     graph, nodes = features(spark, sf_dir)
     pooled = agg.linear(nodes.select("node_id", "x"), [("x", dyadic(WIDTH, HIDDEN))], dyadic_bias(HIDDEN), "p")
     pooled = pooled.select("node_id", activations.each(F.col("p"), activations.relu).alias("x"))
-    return long(agg.neighbour_max(pooled, graph.edges, HIDDEN))
+    return long(agg.neighbour_max(pooled, graph.edges, HIDDEN, within(graph)))
 
 
 @query
 def sage_lstm_hop(spark, sf_dir):
     graph, nodes = features(spark, sf_dir)
-    return long(agg.lstm_aggregate(nodes, graph.edges, dyadic(WIDTH, 4 * WIDTH), dyadic(WIDTH, 4 * WIDTH, 3), np.zeros(4 * WIDTH)))
+    return long(agg.lstm_aggregate(nodes, graph.edges, dyadic(WIDTH, 4 * WIDTH), dyadic(WIDTH, 4 * WIDTH, 3), np.zeros(4 * WIDTH), within(graph)))
 
 
 @query
 def gcn_norm_hop(spark, sf_dir):
     graph, nodes = features(spark, sf_dir)
-    return long(agg.degree_normalised_sum(nodes, graph.edges, graph.degrees(), WIDTH))
+    return long(agg.degree_normalised_sum(nodes, graph.edges, graph.degrees(), WIDTH, reach=within(graph)))
 
 
 def sage_params(n_in: int, n_out: int, shift: int) -> dict[str, np.ndarray]:
