@@ -106,9 +106,11 @@ oracle("multilabel_class_map", "g AS (SELECT doc_id, max(quality) AS quality, ma
 oracle("role_list_masks", "SELECT s_suppkey AS node_id, s_suppkey % 3 = 0 AS train_mask, s_suppkey % 3 = 1 AS val_mask, s_suppkey % 3 = 2 AS test_mask FROM supplier")
 oracle("dataset_registry", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {d.in_feats}, {d.n_classes}, {d.multilabel})" for k, d in DATASETS.items()) + ") t(name, in_feats, n_classes, multilabel)")
 oracle("simple_graph_hop", "e(src, dst) AS (VALUES " + ", ".join(map(str, SIMPLE_EDGES)) + ")",
-       f"SELECT n.range AS node_id, 0 AS j, {r('coalesce(avg(e.src), 0)')} AS v FROM range(9) n LEFT JOIN e ON e.dst = n.range GROUP BY n.range")
+       f"h AS (SELECT range AS node_id, unnest(range({WIDTH}))::INTEGER AS j, unnest(embedding[1:{WIDTH}])::DOUBLE AS v FROM range(9) JOIN embeddings ON range % (SELECT count(*) FROM embeddings) = vec_id)",
+       f"SELECT n.range AS node_id, w.range::INTEGER AS j, {r('coalesce(avg(h.v), 0)')} AS v FROM range(9) n, range({WIDTH}) w LEFT JOIN e ON e.dst = n.range LEFT JOIN h ON h.node_id = e.src AND h.j = w.range GROUP BY n.range, w.range")
 oracle("karate_degrees", "t(a, b) AS (VALUES " + ", ".join(f"({a}, {b})" for a, bs in KARATE_TIES.items() for b in bs) + ")", "e AS (SELECT a AS src, b AS dst FROM t UNION ALL SELECT b, a FROM t)",
-       "SELECT n.range AS node_id, (SELECT count(*) FROM e WHERE dst = n.range) AS din, (SELECT count(*) FROM e WHERE src = n.range) AS dout FROM range(34) n")
+       """SELECT n.range AS node_id, (SELECT count(*) FROM e WHERE dst = n.range) AS din, (SELECT count(*) FROM e WHERE src = n.range) AS dout,
+  coalesce((SELECT round(sum(s_acctbal), 2) FROM e JOIN supplier ON s_suppkey = src WHERE dst = n.range), 0) AS around FROM range(34) n""")
 
 # Parts
 
@@ -266,6 +268,4 @@ oracle("text_roundtrip", PS, "SELECT src, dst FROM edges")
 oracle("assignment_roundtrip", PS, CHUNK, "SELECT node_id, part_id FROM parts")
 oracle("edge_list_roundtrip", PS, "SELECT src, dst FROM edges")
 oracle("part_files_roundtrip", CO, "SELECT node_id, part_id AS owner_part, part_id = 1 AS is_local FROM parts WHERE part_id = 1 OR node_id IN (SELECT src FROM crossing WHERE dst_part = 1)")
-oracle("checkpoint_roundtrip", "p AS (" + " UNION ALL ".join(
-    f"SELECT {layer} AS layer, '{name}' AS name, j::INTEGER AS i, k::INTEGER AS j, w AS value FROM {weights(n, m, s)}" for layer, n, m, shift in ((0, WIDTH, HIDDEN, 0), (1, HIDDEN, CLASSES, 3)) for name, s in (("W_self", shift), ("W_neigh", shift + 5))) + " UNION ALL " + " UNION ALL ".join(
-    f"SELECT {layer}, '{name}', 0, range::INTEGER, {value} FROM range({m})" for layer, m, shift in ((0, HIDDEN, 0), (1, CLASSES, 3)) for name, value in (("b_self", "0.0::DOUBLE"), ("b_neigh", bias(shift, "range")))) + ")", "SELECT * FROM p")
+ORACLES["checkpoint_roundtrip"] = f"SELECT 0 AS layer, name, i, j, v AS value FROM ({ORACLES['adam_single_step']})"

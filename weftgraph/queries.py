@@ -170,14 +170,19 @@ def dataset_registry(spark, sf_dir):
 
 @query
 def simple_graph_hop(spark, sf_dir):
+    """The nine-node example over vectors of the embeddings table."""
     graph = simple_graph(spark)
-    h = graph.nodes.select("node_id", F.col("features").cast("array<double>").alias("x"))
-    return long(agg.zero_filled(graph.nodes, agg.neighbour_mean(h, graph.edges, 1), "a", 1))
+    h = with_embeddings(spark, sf_dir, graph.nodes.select("node_id"))
+    return long(agg.zero_filled(graph.nodes, agg.neighbour_mean(h, graph.edges, WIDTH, within(graph)), "a", WIDTH))
 
 
 @query
 def karate_degrees(spark, sf_dir):
-    return karate(spark).degrees()
+    """Degrees in the club, and the account balances of the suppliers that the neighbours stand for."""
+    graph = karate(spark)
+    balance = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"), "s_acctbal")
+    around = graph.edges.join(balance, "src").groupBy(F.col("dst").alias("node_id")).agg(F.round(F.sum("s_acctbal"), 2).alias("around"))
+    return graph.degrees().join(around, "node_id", "left").fillna(0.0, ["around"])
 
 
 # Parts
@@ -590,14 +595,18 @@ def backprop_hidden_grad(spark, sf_dir):
     return long(layer.pull(cache, g, p, ctx)[1], "g")
 
 
-@query
-def adam_single_step(spark, sf_dir):
-    """Weights after one step of Adam on the last layer's gradient."""
+def stepped(spark, sf_dir) -> dict[str, np.ndarray]:
+    """The last layer's weights after one step of Adam on its gradient."""
     g = last_gradient(spark, sf_dir).select("x", "g")
     grads = layers.outer_sums(g, {"W": ("x", "g"), "b": (None, "g")}, {"W": (WIDTH, CLASSES), "b": (CLASSES,)})
     params = {"W": dyadic(WIDTH, CLASSES), "b": dyadic_bias(CLASSES)}
     Adam(0.01).step(params, grads)
-    return _entries(spark, params)
+    return params
+
+
+@query
+def adam_single_step(spark, sf_dir):
+    return _entries(spark, stepped(spark, sf_dir))
 
 
 def trainer(spark, sf_dir, **options) -> Trainer:
@@ -663,8 +672,8 @@ def part_files_roundtrip(spark, sf_dir):
 
 @query
 def checkpoint_roundtrip(spark, sf_dir):
-    folder = new_folder(spark, "files")
-    params = [sage_params(WIDTH, HIDDEN, 0), sage_params(HIDDEN, CLASSES, 3)]
+    """Weights after a step, written as a checkpoint and read back."""
+    folder, params = new_folder(spark, "files"), [stepped(spark, sf_dir)]
     sinks.save_checkpoint(spark, f"{folder}/params", params)
     found, _ = sinks.load_checkpoint(spark, f"{folder}/params", [{n: m.shape for n, m in p.items()} for p in params])
-    return sinks.params_frame(spark, found).select("layer", "name", "i", "j", "value")
+    return sinks.params_frame(spark, found).select("layer", "name", "i", "j", rounded(F.col("value")).alias("value"))
