@@ -44,6 +44,8 @@ from weftgraph.llm.words import WordValues
 ORDER, DISCOUNT, CALIBRATION = 5, 0.75, 2000
 #: Fives and contexts that tasks hold (12 bytes each); more are joined.
 HELD = 6_000_000
+#: Bytes of text that a task scores at a time, and words whose ratios a worker remembers.
+SLICE_BYTES, KNOWN_WORDS = 2 << 20, 200_000
 #: Counts that the shared backoff is worth after any context, so that few counts decide little.
 PRIOR = 4.0
 WINDOWS = (1, 4)  # words
@@ -186,10 +188,10 @@ def measure(docs: DataFrame, model: Model, keep: tuple[str, ...], text_col: str
         if held:
             m, key = shared.value
             if _worker.get("key") != key:
-                _worker.update(key=key, words=WordValues(lambda words: word_ratios(words, m)))
+                _worker.update(key=key, words=WordValues(lambda words: word_ratios(words, m), KNOWN_WORDS))
         for batch in batches:
             found = []
-            for part in slices(batch, at):
+            for part in slices(batch, at, SLICE_BYTES):
                 texts = [(t or "").lower().split() for t in part.column(at).to_pylist()]
                 if held:
                     found += [features(rows) for rows in _worker["words"].look_up(texts)]
