@@ -43,3 +43,21 @@ def test_bins_give_what_the_whole_graph_gives(case, kind):
     assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
     with pytest.raises(ValueError, match="means"):
         blocks.forward(graph, binned, graph.nodes, layers.sage(2, 3, 2, aggregator="gcn"), params)
+
+
+def test_a_node_that_many_bins_need_is_computed_once(case):
+    """A node that all of 100 bins need has its vector joined to an edge once a layer, not once a bin."""
+    spark = case[0].nodes.sparkSession
+    nodes = spark.range(101).select(F.col("id").alias("node_id"), F.array(F.col("id") / 8.0, F.lit(1.0)).alias("x"))
+    edges = spark.range(1, 101).select(F.explode(F.array(F.struct(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")), F.struct(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst")))).alias("e")).select("e.*")
+    binned = nodes.select(F.lit(0).alias("part_id"), F.col("node_id").cast("int").alias("bin_id"), "node_id")
+    seen = []
+
+    class Seen(layers.SageLayer):
+        def run(self, h, *rest, **options):
+            seen.append(h.count())
+            return super().run(h, *rest, **options)
+
+    model = [Seen(2, 3, relu=True), Seen(3, 2)]
+    out = blocks.forward(Graph(nodes, edges), binned, nodes, model, [layer.initial(np.random.default_rng(1)) for layer in model])
+    assert out.count() == 101 and seen == [101, 101]
