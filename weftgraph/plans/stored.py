@@ -187,6 +187,9 @@ class StoredContext(Context):
         """Rows with a node_id, with their home; they stay through all generations if they come before the first."""
         return self.keep(self.store.dealt(rows.join(self.store.table("nodes").select("home", "node_id"), "node_id")))
 
+    def mapped(self, rows: DataFrame) -> DataFrame:
+        return self.keep(rows)  # a step in Python forgets that its rows lie by home
+
     def neighbour_mean(self, h: DataFrame, width: int) -> DataFrame:
         return self.store.hop(h, width).select(*self.key, F.array(*(F.col(f"c{j}") / F.col("n") for j in range(width))).alias("a"))
 
