@@ -960,3 +960,27 @@ def test_license_scan_tells_relatives_apart(spark):
     files = spark.createDataFrame([(i, f"d{i}/f.txt", line) for i, line in enumerate(lines)], "id long, path string, text string")
     got = {r["id"]: r["license"] for r in license_scan.scan(files).collect()}
     assert [got[i] for i in range(len(lines))] == list(lines.values())
+
+
+def test_line_dedup_pairs_grow_with_lines_and_not_with_their_square(spark, monkeypatch):
+    """Forty variants of a line that share its first half are compared in blocks; few of their pairs are made by the join."""
+    made = spark.sparkContext.accumulator(0)
+    verify = line_dedup._verify
+
+    def counting(k):
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    made.add(len(batch))
+                    yield batch
+
+            yield from verify(k)(seen())
+
+        return run
+
+    monkeypatch.setattr(line_dedup, "_verify", counting)
+    head = "the same first half of every line here "
+    tail = lambda i: "".join(random.Random(i).choices("abcdefghijklmnop", k=len(head)))
+    docs = spark.createDataFrame([(i, head + tail(i)) for i in range(40)], "doc_id long, text string")
+    out = line_dedup.dedup_lines(docs).collect()
+    assert all(r["n_removed"] == 0 for r in out) and made.value <= 40 * 16

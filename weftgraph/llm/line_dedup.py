@@ -44,7 +44,7 @@ MAX_EDITS, MIN_CHARS = 1, 16
 #: A changed stretch may have one of so many characters of the longer line.
 STRETCH = 25
 #: Index rows of one key from which on its lines are compared by blocks, and lines in a block.
-HOT_KEY, BLOCK = 64, 500
+HOT_KEY, BLOCK = 16, 500
 #: Broadcast a set of line hashes (one long each) up to so many rows; beyond, it is shuffled.
 BROADCAST_ROWS = 500_000
 
