@@ -296,3 +296,27 @@ def test_hub_attention_with_hot_ends(spark):
     reach = agg.Reach(hot, False), agg.Reach(hot, True)
     got, want = ({r["node_id"]: [round(v, 9) for v in (*r["s"], *r["lse"])] for r in agg.attended_sum(edges, heads, 1, 2, reach=x).collect()} for x in (reach, (agg.Reach(), agg.Reach())))
     assert got == want
+
+
+def test_long_hops_send_vectors_where_nodes_have_every_component(spark, monkeypatch):
+    graph = simple_graph(spark)
+    rows = graph.nodes.select("node_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("j")).withColumn("v", F.col("node_id") * 2.0 + F.col("j"))
+    want = {(r["node_id"], r["j"]): r["v"] for r in graph.edges.join(rows.withColumnRenamed("node_id", "src"), "src").groupBy(F.col("dst").alias("node_id"), "j").agg(F.avg("v").alias("v")).collect()}
+    calls, mean = [], agg.neighbour_mean
+    monkeypatch.setattr(agg, "neighbour_mean", lambda *a: calls.append(a[2]) or mean(*a))
+    found = lambda long: {(r["node_id"], r["j"]): r["v"] for r in agg.neighbour_mean_long(long, graph.edges).collect()}
+    assert found(rows) == want and calls == [3]
+    gaps = rows.where("not (node_id = 2 and j = 1)")
+    twice = gaps.unionByName(rows.where("node_id = 2 and j = 0"))  # as many rows as components, but one is missing
+    for other in (gaps, twice, rows.withColumn("v", F.when(F.col("node_id") != 3, F.col("v")))):
+        found(other)
+        assert calls == [3]
+    assert found(gaps)[3, 1] == 2.0 and found(rows.limit(0)) == {}
+
+
+def test_edges_of_hot_sources_meet_their_destinations_before_vectors_do(spark):
+    edges = spark.range(400).select((F.col("id") % 2).alias("src"), (F.col("id") % 50).alias("dst"))
+    h = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 5.0])], "node_id long, x array<double>")
+    rows = agg.neighbour_mean(h, edges, 2, agg.Reach(h.select("node_id"), True))
+    assert "RebalancePartitions [dst" in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["node_id"]: r["a"] for r in rows.collect()} == {d: [1.0, 2.0] if d % 2 == 0 else [3.0, 5.0] for d in range(50)}
