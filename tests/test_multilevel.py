@@ -94,3 +94,12 @@ def test_moves_in_one_task_keep_count(seed):
     before = cut_of(start)
     lost, part = multilevel.moved(np.ones(n), near, start.copy(), k, 15)
     assert lost == cut_of(part) <= before and np.bincount(part, minlength=k).max() <= 15
+
+
+def test_neighbourhoods_share_one_copy_of_the_edges():
+    n = 200
+    src, dst = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n)))
+    near = multilevel.neighbourhoods(n, src, dst, (src * n + dst).astype(float))
+    assert all((v == np.arange(n)).all() and (w == u * n + np.arange(n)).all() for u, (v, w) in enumerate(near))
+    held = {id(x.base): x.base.nbytes for pair in near for x in pair}  # before: a copy of all edges for each node
+    assert sum(held.values()) <= 2 * n * n * 8

@@ -110,6 +110,14 @@ def contracted(level: Level, into: DataFrame) -> Level:
 # The coarsest graph, in one task
 
 
+def neighbourhoods(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(neighbours, weights) of each node, as views into one sorted copy of the edges."""
+    by = np.lexsort((dst, src))
+    src, dst, w = src[by], dst[by], w[by]
+    bounds = np.searchsorted(src, np.arange(n + 1))
+    return [(dst[a:b], w[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
 def grown(weights: np.ndarray, near: list[tuple[np.ndarray, np.ndarray]], k: int, seed: int) -> np.ndarray:
     """Parts one after another: each takes what it has most edges to, until it has its share of the weight that is left."""
     rng = np.random.default_rng(seed)
@@ -200,9 +208,7 @@ def coarse_parts(level: Level, k: int, room: float, tries: int = 4) -> DataFrame
         order = np.argsort(ids)
         ids, weights = ids[order], weights[order]
         src, dst, w = np.searchsorted(ids, edges.column("src").to_numpy()), np.searchsorted(ids, edges.column("dst").to_numpy()), edges.column("w").to_numpy().astype(float)
-        by = np.lexsort((dst, src))
-        bounds = np.searchsorted(src[by], np.arange(len(ids) + 1))
-        near = [(dst[by][a:b], w[by][a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+        near = neighbourhoods(len(ids), src, dst, w)
         states = [moved(weights, near, grown(weights, near, k, seed), k, room) for seed in range(tries)]
         best = min(states, key=lambda s: (max(np.bincount(s[1], weights, k).max(), room), s[0]))[1]
         return pa.table({"node_id": ids, "part_id": pa.array(best, pa.int32())})
