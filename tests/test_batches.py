@@ -99,3 +99,23 @@ def test_parts_without_dependencies(spark):
     graph = Graph(spark.range(8).withColumnRenamed("id", "node_id"), spark.createDataFrame([(0, 1), (4, 5)], "src long, dst long"))
     parts = partitioning.chunk_parts(graph.nodes, 2)
     assert batches.refine_batches(graph, parts).where(F.col("part_id") == 1).count() == 4
+
+
+def test_single_swaps_follow_the_rule_and_read_what_lies_around(spark, monkeypatch):
+    """Each iteration against the rule by definition, over a base written anew after two."""
+    monkeypatch.setattr(partitioning, "PASSES_A_BASE", 2)
+    edges, parts, graph, frame = made(spark, 3)
+    near = {x: {b for u, v in edges for a, b in ((u, v), (v, u)) if a == x != b} for x in parts}
+    log: list[dict] = []
+    with pytest.warns(UserWarning):
+        got = partitioning.refine(graph, frame, max_iter=3, log=log)
+    for row in log:
+        sizes = sizes_of(edges, parts)
+        ps, pt = max((n, p) for p, n in sizes.items())[1], min((n, p) for p, n in sizes.items())[1]
+        members = lambda p: [x for x in parts if parts[x] == p]  # noqa: B023, E731
+        single = {x for x in parts if parts[x] != ps and sum(parts[y] == ps for y in near[x]) == 1}
+        ns, nt = min(members(ps), key=lambda x: (-len(near[x] & single), x)), min(members(pt), key=lambda x: (len(near[x]), x))
+        parts |= {ns: pt, nt: ps}
+        sizes = sizes_of(edges, parts)
+        assert (row["ps"], row["pt"], row["least"], row["most"]) == (ps, pt, min(sizes.values()), max(sizes.values()))
+    assert len(log) == 3 and {r["node_id"]: r["part_id"] for r in got.collect()} == parts
