@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import time
 import zlib
@@ -354,6 +355,23 @@ def test_kneser_ney_against_its_definition(spark):
             assert sum(plain.p(context + c, y) for c in plain.characters) == pytest.approx(1, abs=1e-9)
 
 
+def shuffles_on_disk(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {name.split("_")[1] for folder in folders for _, _, names in os.walk(folder.getPath()) for name in names if name.startswith("shuffle_")}
+
+
+def test_toxicity_does_not_keep_its_shuffles(spark):
+    frame = docs(spark, ["quxzy mnop"] * 40 + ["mnop ponm"] * 40)
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "doc_id long, y int")
+    before, key = shuffles_on_disk(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    toxicity.fit(frame, labels)
+    end = time.time() + 20
+    while len(left := shuffles_on_disk(spark) - before) > 3 and time.time() < end:  # removed in the background
+        time.sleep(0.2)
+    assert len(left) <= 3 and spark.conf.get(key) == was
+
+
 def test_toxicity_with_odd_labels(spark, odd):
     frame = odd.withColumns({"y": F.lit("clash"), "features": F.lit(1), "score": F.lit(2), "measured text": F.lit("clash")})
     kinds = "doc_id long, toxic int"

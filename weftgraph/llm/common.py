@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftgraph.common import cut, hot_keys, join_unique, table
+from weftgraph.common import cut, hot_keys, join_unique, releasing, table
 
-__all__ = ["DOCUMENT_COLUMNS", "cut", "hot_keys", "join_unique", "row_key", "slices", "table"]
+__all__ = ["DOCUMENT_COLUMNS", "cut", "hot_keys", "join_unique", "releasing", "row_key", "slices", "table"]
 
 #: The columns of ``documents``, in order.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")

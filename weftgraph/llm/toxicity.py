@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import cut, hot_keys, join_unique, slices
+from weftgraph.llm.common import cut, hot_keys, join_unique, releasing, slices
 from weftgraph.llm.labelled import sample, with_texts
 from weftgraph.llm.words import WordValues
 
@@ -243,7 +243,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, share: float, penalty: float = 1e-2)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> Model:
-    """``labels`` has (id, y), all of them counted in the end. Some of a quarter, by the hash of the id, serve to calibrate."""
+    """``labels`` has (id, y), all of them counted in the end. Some of a quarter, by the hash of the id, serve to calibrate.
+
+    Some forty shuffles, each of as many files as there are partitions or more, are not all kept to the end.
+    """
+    with releasing(docs.sparkSession):
+        return _fit(docs, labels, id_col, text_col, held)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, held: int) -> Model:
     labels = cut(labels)
     quarter = F.pmod(F.xxhash64(F.lit("calibrate"), F.col(id_col)), F.lit(4)) == 0
     kept_out = cut(sample(labels.where(quarter), CALIBRATION, "toxicity", id_col))
