@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftgraph import common
 from weftgraph.common import cut
 from weftgraph.graph import Graph
 from weftgraph.operators import multilevel, partitioning
@@ -103,3 +104,15 @@ def test_neighbourhoods_share_one_copy_of_the_edges():
     assert all((v == np.arange(n)).all() and (w == u * n + np.arange(n)).all() for u, (v, w) in enumerate(near))
     held = {id(x.base): x.base.nbytes for pair in near for x in pair}  # before: a copy of all edges for each node
     assert sum(held.values()) <= 2 * n * n * 8
+
+
+def test_edges_are_dealt_into_more_tasks_where_a_task_has_much(spark, monkeypatch):
+    monkeypatch.setattr(common, "TASK_BYTES", 2048)
+    tasks, n = [], spark.conf.get("spark.sql.shuffle.partitions")
+    noted = lambda df: (kept := common.cut(df), tasks.append(kept.rdd.getNumPartitions()))[0]
+    edges = common.cut(spark.range(6000).select((F.col("id") % 997).alias("src"), (F.col("id") * 7919 % 1009).alias("dst")))
+    graph = Graph(spark.range(1009).withColumnRenamed("id", "node_id"), edges)
+    adaptive = "spark.sql.adaptive.coalescePartitions"
+    with common.setting(spark, f"{adaptive}.parallelismFirst", "false"), common.setting(spark, f"{adaptive}.minPartitionSize", "1k"):
+        multilevel.matches(multilevel.first_level(graph, noted).edges, noted)
+    assert max(tasks) > int(n) and tasks[-1] > int(n) and spark.conf.get("spark.sql.shuffle.partitions") == n

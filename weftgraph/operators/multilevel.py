@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.common import Scratch, cut, hot_keys, join_unique
+from weftgraph.common import Scratch, cut, hot_keys, join_unique, small_tasks
 from weftgraph.graph import Graph, both_directions
 
 #: The coarsest graph has as many nodes at most, or as many for each part.
@@ -67,7 +67,8 @@ def proposals(edges: DataFrame) -> DataFrame:
 
 def matches(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(a, b), a < b: the pairs that propose to each other."""
-    to = keep(proposals(edges))
+    with small_tasks(edges.sparkSession):
+        to = keep(proposals(edges))
     back = to.select(F.col("src").alias("b"), F.col("dst").alias("a"))
     return to.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a < b").join(back, ["a", "b"])
 
@@ -258,7 +259,8 @@ def refined(level: Level, parts: DataFrame, k: int, room: int, rounds: int = 4)
 def first_level(graph: Graph, keep: Callable[[DataFrame], DataFrame] = cut) -> Level:
     """The graph without directions and loops; an edge weighs as many as there are between its ends."""
     edges = both_directions(graph.edges.where("src <> dst")).groupBy("src", "dst").agg(F.count("*").alias("w"))
-    return Level.of(graph.nodes.select("node_id", F.lit(1).cast("long").alias("w")), edges, keep)
+    with small_tasks(edges.sparkSession):
+        return Level.of(graph.nodes.select("node_id", F.lit(1).cast("long").alias("w")), edges, keep)
 
 
 def multilevel_parts(graph: Graph, k: int, imbalance: float = 0.03, rounds: int = 4, levels: list[int] | None = None) -> DataFrame:
