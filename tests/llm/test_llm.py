@@ -980,6 +980,17 @@ def test_license_scan_tells_relatives_apart(spark):
     assert [got[i] for i in range(len(lines))] == list(lines.values())
 
 
+def test_lines_carry_no_text_of_their_document_along(spark):
+    """Keys of a document are made once a document, below the explode, and lengths once a line."""
+    docs = spark.createDataFrame([(1, "a b\n \t\r\n\x0b\x0c\n\u00a0\nc")], "doc_id long, text string")
+    lines = line_dedup.lines_of(docs)
+    assert [(r["no"], r["line"]) for r in lines.orderBy("ord").collect()] == [(0, "a b"), (3, "\u00a0"), (4, "c")]
+    plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().optimizedPlan().toString()
+    tops = lines._jdf.queryExecution().optimizedPlan().toString().split("Generate")
+    assert len(tops) == 2 and "text#" not in tops[0]
+    assert "RLIKE" not in plan
+
+
 def test_line_dedup_pairs_grow_with_lines_and_not_with_their_square(spark, monkeypatch):
     """Forty variants of a line that share its first half are compared in blocks; few of their pairs are made by the join."""
     made = spark.sparkContext.accumulator(0)

@@ -86,11 +86,14 @@ def edit_distance_within(a: str, b: str, k: int) -> int | None:
     return d
 
 
-def segment_keys(line: Column, k: int) -> list[tuple[bool, Column]]:
-    """(own, hash): hashes of the line's own k + 1 segments, and of its substrings that may be a segment of a line shorter by 0 to k."""
-    out = []
+def segment_keys(line: Column, k: int, length: Column | None = None) -> list[tuple[bool, Column]]:
+    """(own, hash): hashes of the line's own k + 1 segments, and of its substrings that may be a segment of a line shorter by 0 to k.
+
+    A length that is a column already is not counted anew for each of them.
+    """
+    out, own_length = [], F.char_length(line) if length is None else length
     for shorter in range(k + 1):
-        length = F.char_length(line) - shorter
+        length = own_length - shorter
         short, longer = F.floor(length / (k + 1)).cast("int"), (length % (k + 1)).cast("int")
         for i in range(k + 1):
             before = F.greatest(F.lit(0), longer - (k + 1 - i))  # of the longer segments, which come last
@@ -101,12 +104,14 @@ def segment_keys(line: Column, k: int) -> list[tuple[bool, Column]]:
     return out
 
 
-def end_keys(line: Column) -> list[tuple[bool, Column]]:
-    """(own, hash): hashes of the line's ends, each nearly half of it, by its own length class and the one below.
+def length_class(line: Column) -> Column:
+    """A class spans a twentieth, more than a stretch, so a line is in the class of any shorter one or in the next."""
+    return F.floor(F.log(F.char_length(line)) / math.log(1.05)).cast("int")
 
-    A class spans a twentieth, more than a stretch, so a line is in the class of any shorter one or in the next.
-    """
-    of = F.floor(F.log(F.char_length(line)) / math.log(1.05)).cast("int")
+
+def end_keys(line: Column, of: Column | None = None) -> list[tuple[bool, Column]]:
+    """(own, hash): hashes of the line's ends, each nearly half of it, by its own length class ``of`` and the one below."""
+    of = length_class(line) if of is None else of
     out = []
     for below in (0, 1):
         size = F.floor(F.lit(0.45) * F.pow(F.lit(1.05), of - below)).cast("int")
@@ -134,13 +139,21 @@ def is_near(a: str, b: str, k: int) -> bool:
     return most - common_ends(a, b) <= most // STRETCH or edit_distance_within(a, b, k) is not None
 
 
+def has_word(line: Column) -> Column:
+    return F.ltrim(line, F.lit(" \t\n\x0b\f\r")) != ""
+
+
 def lines_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(row, no, ord, h1, h2, line) of every line with a word; ord orders the lines of the corpus."""
-    split = docs.select(row_key().alias("row"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.posexplode(F.split(text_col, "\n", -1)).alias("no", "line"))
-    split = split.where(F.col("line").rlike("[^ \\t-\\r]"))
-    at = F.pmod("row.a", F.lit(10**9)) * F.lit(10**10).cast("decimal(11,0)") + F.col("no")  # ten digits for the line, nine to tell texts of one id apart
-    order = (F.col("d").cast("decimal(19,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + at).cast("decimal(38,0)")
-    return split.select("row", "no", order.alias("ord"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), "line")
+    """(row, no, ord, h1, h2, line) of every line with a word; ord orders the lines of the corpus.
+
+    What a document's lines share is computed below the explode, once a document.
+    """
+    whole = docs.select(row_key().alias("row"), F.coalesce("doc_id", F.lit(2**63 - 1)).cast("decimal(19,0)").alias("d"), F.col(text_col).alias("text"))
+    at = F.pmod("row.a", F.lit(10**9)) * F.lit(10**10).cast("decimal(11,0)")  # ten digits for the line, nine to tell texts of one id apart
+    first = (F.col("d") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + at).cast("decimal(38,0)")
+    split = whole.select("row", first.alias("at"), "text").select("row", "at", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
+    split = split.where(has_word(F.col("line")))
+    return split.select("row", "no", (F.col("at") + F.col("no")).cast("decimal(38,0)").alias("ord"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), "line")
 
 
 def late_lines(lines: DataFrame, keys: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
@@ -219,10 +232,10 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
     """``docs`` with the text of its kept lines, and n_lines, n_removed (of lines with a word)."""
     docs = docs.drop("row", "gone", "n_lines", "n_removed")
     lines = lines_of(docs, text_col)
-    found = segment_keys(F.col("line"), max_edits) + end_keys(F.col("line"))
-    keys = F.when(F.char_length("line") >= min_chars, F.array(*(k for _, k in found)))
+    found = segment_keys(F.col("line"), max_edits, F.col("length")) + end_keys(F.col("line"), F.col("class"))
     slots = [f"k{i}" for i in range(len(found))]
-    each = lines.select("h1", "h2", "ord", keys.alias("k")).select("h1", "h2", "ord", *(F.col("k")[i].alias(s) for i, s in enumerate(slots)))
+    each = lines.withColumns({"length": F.char_length("line"), "class": length_class(F.col("line"))})
+    each = each.select("h1", "h2", "ord", *(F.when(F.col("length") >= min_chars, k).alias(s) for (_, k), s in zip(found, slots, strict=True)))
     distinct = cut(each.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.count("*").alias("n"), *(F.min(s).alias(s) for s in slots)))
     rows = F.explode(F.array(*(F.struct(F.lit(own).alias("own"), F.col(s).alias("key")) for (own, _), s in zip(found, slots, strict=True)))).alias("k")
     late = late_lines(lines, distinct.where(f"{slots[0]} is not null").select("h1", rows).select("h1", "k.own", "k.key"), max_edits, min_chars)
@@ -234,7 +247,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
 
     split = F.split(text_col, "\n", -1)
     kept = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    n_lines = F.coalesce(F.size(F.filter(split, lambda x: x.rlike("[^ \\t-\\r]"))), F.lit(0))
+    n_lines = F.coalesce(F.size(F.filter(split, has_word)), F.lit(0))
     out = docs.withColumn("row", row_key()).join(gone, "row", "left")
     columns = [kept.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     return out.select(*columns, F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))
