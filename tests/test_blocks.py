@@ -28,6 +28,13 @@ def test_frontiers_of_the_toy_graph(spark):
     assert sizes[0, 1] == (6, 5, 8) and sizes[0, 0] == (9, 6, 11) and sizes[1, 0][:2] == (4, 4)
 
 
+def test_a_frontier_is_never_broadcast(case):
+    """A checkpoint's estimate may say that a frontier is small; its hash table would be in every task's memory and grow with the nodes."""
+    graph, parts = case
+    binned = bins.naive(parts, 4)
+    assert "Broadcast" not in blocks.block(graph.edges, binned.localCheckpoint())._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("kind", ["naive", "priority"])
 def test_bins_give_what_the_whole_graph_gives(case, kind):
     graph, parts = case
