@@ -1,5 +1,7 @@
 """Bins as units: their frontiers, and the same results as of the whole graph."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -68,3 +70,21 @@ def test_a_node_that_many_bins_need_is_computed_once(case):
     model = [Seen(2, 3, relu=True), Seen(3, 2)]
     out = blocks.forward(Graph(nodes, edges), binned, nodes, model, [layer.initial(np.random.default_rng(1)) for layer in model])
     assert out.count() == 101 and seen == [101, 101]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_the_query_tells_the_bin_of_each_result(spark):
+    """Results that lose their bins are those of the whole graph: the binning had no effect on them."""
+    from weftgraph.oracles import ORACLES
+    from weftgraph.queries import QUERIES
+
+    duckdb, folder = pytest.importorskip("duckdb"), "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for t in ("part", "supplier", "lineitem", "embeddings"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    columns = ["part_id", "bin_id", "node_id", "j", "v"]
+    rows = QUERIES["bin_two_layer_forward"](spark, folder)
+    assert rows.columns == columns
+    got = sorted(map(tuple, rows.collect()))
+    want = db.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES['bin_two_layer_forward']})").fetchall()
+    assert got == sorted(want) and len({r[:2] for r in got}) > 4
