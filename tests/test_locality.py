@@ -50,3 +50,13 @@ def test_edges_and_vectors_meet_by_blocks(spark):
     mean = plan(agg.neighbour_mean(h, edges, 2, agg.Reach(None, True)))
     assert mean.count("hashpartitioning(block") == 2 and "hashpartitioning(src" not in mean
     assert "hashpartitioning(dst" not in plan(agg._sequences(edges, h, 2, agg.Reach(None, True)))
+
+
+def test_edges_are_sorted_before_they_have_vectors(spark):
+    """A sort after the join would hold a vector for each edge, in memory and on disk."""
+    _, _, edges, h = made(spark, DENSE)
+    rows = agg._sequences(edges, h, 2, agg.Reach(None, True))
+    rows.collect()
+    lines = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    sorts, joins = ([k for k, line in enumerate(lines) if name in line] for name in ("Sort [dst", "ShuffledHashJoin [block"))
+    assert len(sorts) == 1 and joins and joins[0] < sorts[0]
